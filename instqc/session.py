@@ -58,10 +58,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and continue from the written copy.
+    """Write ``df`` to the shared folder as Parquet and continue from the copy.
 
-    Used where a table feeds several consumers or a loop, so that a lost
-    executor costs a re-read and not a recomputation.
+    Used where a table feeds several consumers or a loop: a lost executor then
+    costs a re-read and not a recomputation, consumers read only the columns
+    they need, and the copy's true size is known to the planner.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -101,7 +101,7 @@ def test_overlap_with_base(spark, cohort):
 
 def test_evaluation(spark, cohort):
     voxels, grids = cohort
-    run = evaluate(boxes.base(spark), voxels, grids, boxes.expected(spark))
+    run = evaluate(cut_lineage(boxes.base(spark)), voxels, grids, boxes.expected(spark))
     modes = {(r["case_id"], r["mode"]): r["value"] for r in run.modes.collect()}
     assert [modes["clean_control", m] for m in range(1, 9)] == [0, 1, 0, 0, 0, 0, 0, 0]
     assert modes["mode1_displace", 1] > 0
@@ -113,7 +113,6 @@ def test_evaluation(spark, cohort):
     assert modes["mode7_sequence_break", 7] == 1
     outcome = {r["case_id"]: r["outcome"] for r in run.outcomes.collect()}
     assert outcome["clean_control"] == "TN"
-    assert all(outcome[f"mode{m}"] == "TP" for m in ()) 
     assert {c for c, o in outcome.items() if o == "TP"} >= {row[0] for row in boxes.CORPUS[1:8]}
     dice = {r["case_id"]: r for r in run.case_overlap.collect()}
     assert dice["clean_control"]["mean_dice"] == 1.0
