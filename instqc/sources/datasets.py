@@ -126,10 +126,10 @@ MANIFEST_CASE = (
 )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per case of a JSON manifest ({"cases": [...]})."""
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per case of JSON manifests ({"cases": [...]}), one per file or per line."""
     schema = f"manifest_version string, cases array<struct<{MANIFEST_CASE.replace(' string', ':string').replace('expected struct', 'expected:struct')}>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.inline("cases"))
+    return spark.read.schema(schema).json(path, multiLine=multi_line).select(F.inline("cases"))
 
 
 def check_manifest(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
