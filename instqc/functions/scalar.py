@@ -1,9 +1,7 @@
-"""Scalar column expressions: geometry, 3x3 eigenvalues and number formats."""
+"""Scalar column expressions: geometry and number formats."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,46 +21,22 @@ def angle_deg(cosine: Column) -> Column:
     return F.degrees(F.acos(clipped(cosine, -1.0, 1.0)))
 
 
-def covariance(sab: Column, sa: Column, sb: Column, n: Column) -> Column:
-    """Sample covariance from sums; NULL for a single observation."""
-    return F.try_divide(sab - sa * F.try_divide(sb, n), n - 1)
-
-
-def symmetric_eigenvalues(xx, yy, zz, xy, xz, yz) -> tuple[Column, Column]:
-    """The two largest eigenvalues of a symmetric 3x3 matrix (trigonometric form)."""
-    mean = (xx + yy + zz) / 3.0
-    off = xy * xy + xz * xz + yz * yz
-    dx, dy, dz = xx - mean, yy - mean, zz - mean
-    p = F.sqrt((dx * dx + dy * dy + dz * dz + 2.0 * off) / 6.0)
-    det = dx * (dy * dz - yz * yz) - xy * (xy * dz - yz * xz) + xz * (xy * yz - dy * xz)
-    half = F.coalesce(F.try_divide(det, 2.0 * p * p * p), F.lit(1.0))
-    phi = F.acos(clipped(half, -1.0, 1.0)) / 3.0
-    first = mean + 2.0 * p * F.cos(phi)
-    last = mean + 2.0 * p * F.cos(phi + 2.0 * math.pi / 3.0)
-    return first, 3.0 * mean - first - last
-
-
-def general_format(x: Column, digits: int = 6) -> Column:
-    """Number text with ``digits`` significant digits and no trailing zeros.
-
-    Plain notation for exponents from -4 up to ``digits``, else scientific.
-    """
-    raw = F.abs(x)
-    exponent = F.floor(F.log10(raw))
-    scale = F.pow(F.lit(10.0), digits - 1 - exponent)
-    rounded = F.rint(raw * scale) / scale
-    power = F.floor(F.log10(rounded) + 1e-12).cast("int")
-    sign = F.when(x < 0, "-").otherwise("")
-    trim = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    plain = trim(F.format_string("%.10f", rounded))
-    mantissa = trim(F.format_string(f"%.{digits - 1}f", rounded / F.pow(F.lit(10.0), power)))
-    tail = F.concat(
-        F.lit("e"),
-        F.when(power < 0, "-").otherwise("+"),
-        F.lpad(F.abs(power).cast("string"), 2, "0"),
+def general_format(x: str, digits: int = 6) -> Column:
+    """Number text of a SQL expression with ``digits`` significant digits and no
+    trailing zeros; plain notation for exponents from -4 up to ``digits``, else
+    scientific."""
+    exponent = f"floor(log10(abs({x})))"
+    scale = f"pow(10D, {digits - 1} - {exponent})"
+    rounded = f"rint(abs({x}) * {scale}) / {scale}"
+    power = f"int(floor(log10({rounded}) + 1e-12))"
+    trim = "regexp_replace(regexp_replace({}, '([.][0-9]*?)0+$', '$1'), '[.]$', '')"
+    plain = trim.format(f"format_string('%.10f', {rounded})")
+    mantissa = trim.format(f"format_string('%.{digits - 1}f', ({rounded}) / pow(10D, {power}))")
+    tail = f"concat('e', IF({power} < 0, '-', '+'), lpad(string(abs({power})), 2, '0'))"
+    return F.expr(
+        f"CASE WHEN {x} = 0 THEN '0' ELSE concat(IF({x} < 0, '-', ''), "
+        f"IF({power} >= -4 AND {power} < {digits}, {plain}, concat({mantissa}, {tail}))) END"
     )
-    body = F.when((power >= -4) & (power < digits), plain).otherwise(F.concat(mantissa, tail))
-    return F.when(x == 0, "0").otherwise(F.concat(sign, body))
 
 
 def list_text(array: Column) -> Column:

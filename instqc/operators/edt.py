@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from instqc.functions.scalar import norm
 from instqc.functions.skew import salted_join
 from instqc.operators.inventory import with_levels
+from instqc.session import cut_lineage
 
 KEYS = ["case_id", "label"]
 AXES = ("x", "y", "z")
@@ -117,8 +118,12 @@ def depth_at(centres: DataFrame, field: DataFrame, prefix: str) -> DataFrame:
 
 
 def centres(voxels: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
-    """Smooth and strict centres (voxel and mm) and their depths per label."""
-    field = distance(voxels, grids)
+    """Smooth and strict centres (voxel and mm) and their depths per label.
+
+    The distance field has four consumers and takes three shuffles to make, so
+    it is written once.
+    """
+    field = cut_lineage(distance(voxels, grids))
     both = smooth_centre(field).join(strict_centre(field), KEYS)
     for prefix in ("smooth", "strict"):
         both = both.join(depth_at(both, field, prefix), KEYS)

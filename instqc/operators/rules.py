@@ -56,8 +56,8 @@ def register_rule(rule_id: str) -> Callable[[Rule], Rule]:
     return add
 
 
-def _num(x: Column | str) -> Column:
-    return general_format(F.col(x) if isinstance(x, str) else x)
+def _num(x: str) -> Column:
+    return general_format(x)
 
 
 def _text(x: Column | str) -> Column:
@@ -196,7 +196,7 @@ def bounds(tables: Tables, params: dict[str, Any]) -> DataFrame:
     return findings(
         df, "bounds", params,
         "Label ", _text("label"), " (", F.col("level_name"), "): ", F.col("name"), " = ", _num("value"), " ", word,
-        F.when(by_reference, "reference ").otherwise(""), bound, _num(F.when(low, F.col("lo")).otherwise(F.col("hi"))), tail,
+        F.when(by_reference, "reference ").otherwise(""), bound, _num("IF(value < lo, lo, hi)"), tail,
         k2=F.col("k2"),
     )
 
@@ -277,16 +277,16 @@ def fragmentation(tables: Tables, params: dict[str, Any]) -> DataFrame | None:
     sizes = list_text(F.col("component_sizes"))
     counted = ("component_count=", _text("component_count"), ", component_sizes=", sizes)
     lo, hi = params.get("reference_lower_pct", 1), params.get("reference_upper_pct", 99)
-    index, hand = F.col("fragmentation_index"), F.lit(float(params["fragmentation_index_threshold"]))
+    index, hand = F.col("fragmentation_index"), float(params["fragmentation_index_threshold"])
     by_level = (" (", F.col("level_name"), "): ")
     from_ref = F.col("ref_index").isNotNull()
     split = findings(
-        df.filter(index < F.coalesce("ref_index", hand)), "fragmentation", params,
+        df.filter(index < F.coalesce("ref_index", F.lit(hand))), "fragmentation", params,
         "Fragmentation: Label ", _text("label"),
         F.when(from_ref, F.concat(F.lit(" ("), F.col("level_name"), F.lit(")"))).otherwise(""),
         ": fragmentation_index=", _num("fragmentation_index"),
         F.when(from_ref, " is below reference floor ").otherwise(" is strictly below threshold "),
-        _num(F.coalesce("ref_index", hand)),
+        _num(f"coalesce(ref_index, {hand!r}D)"),
         F.when(from_ref, F.concat(F.lit(f" (p{lo}) for level "), F.col("level_name"))).otherwise(""),
         ". ", *counted, k2=0,
     )
