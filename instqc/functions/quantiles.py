@@ -34,32 +34,28 @@ def cumulative(
     these columns and ``n_missing`` (observations whose value is NULL).
     """
     keys = list(keys)
-    present = F.col("value").isNotNull()
-    groups = counts.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(present, F.col("cnt"))), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(~present, F.col("cnt"))), F.lit(0)).alias("n_missing"),
-        F.count("value").alias("n_values"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-        F.try_divide(F.sum(F.col("value") * F.col("cnt")), F.sum(F.when(present, F.col("cnt")))).alias("mean"),
-    )
-    values = counts.filter(present)
+    groups = counts.groupBy(*keys).agg(*[F.expr(e) for e in (
+        "coalesce(sum(IF(value IS NULL, 0, cnt)), 0) AS n",
+        "coalesce(sum(IF(value IS NULL, cnt, 0)), 0) AS n_missing",
+        "count(value) AS n_values",
+        "min(value) AS lo",
+        "max(value) AS hi",
+        "try_divide(sum(value * cnt), sum(IF(value IS NULL, 0, cnt))) AS mean",
+    )])
+    values = counts.filter("value IS NOT NULL")
 
     # Cut points only for groups too large for one task; they balance the
     # buckets and do not affect the result, so an approximate sketch suffices.
     large = groups.filter(F.col("n_values") > group_limit).select(*keys)
-    at = [i / BUCKETS for i in range(1, BUCKETS)]
+    at = ", ".join(f"{i / BUCKETS!r}D" for i in range(1, BUCKETS))
     cuts = (
         values.join(large, keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx("value", at, 10_000).alias("_cuts"))
+        .agg(F.expr(f"percentile_approx(value, array({at}), 10000) AS _cuts"))
     )
     shape = groups.join(cuts, keys, "left")
     rows = salted_join(values, shape.drop("n_missing", "n_values"), keys, ["value"])
-    bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(
-        F.size(F.filter("_cuts", lambda c: c < F.col("value")))
-    )
-    rows = rows.withColumn("_bucket", bucket)
+    rows = rows.withColumn("_bucket", F.expr("IF(_cuts IS NULL, 0, size(filter(_cuts, c -> c < value)))"))
 
     before = Window.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(
         Window.unboundedPreceding, -1
@@ -82,27 +78,24 @@ def cumulative(
     return ranked, groups
 
 
-def _position(q: float) -> Column:
-    return F.lit(float(q)) * (F.col("n") - 1)
+def _position(q: float) -> str:
+    return f"({float(q)!r}D * (n - 1))"
 
 
-def order_statistics(fractions: Sequence[float], value: str = "value") -> list[Column]:
+def order_statistics(fractions: Sequence[float]) -> list[Column]:
     """Aggregates picking the two neighbours of every fraction's position."""
-    out = []
-    for i, q in enumerate(fractions):
-        for side, at in (("a", F.floor(_position(q))), ("b", F.ceil(_position(q)))):
-            hit = (F.col("below") <= at) & (at < F.col("below") + F.col("cnt"))
-            out.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}{i}"))
-    return out
-
-
-def interpolated(fractions: Sequence[float]) -> list[Column]:
-    """Linear interpolation between the picked neighbours (needs ``n``)."""
-    out = []
-    for i, q in enumerate(fractions):
-        part = _position(q) - F.floor(_position(q))
-        out.append(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * part)
-    return out
+    return [
+        F.expr(f"max(CASE WHEN below <= {at}({_position(q)}) AND {at}({_position(q)}) < below + cnt THEN value END) AS _{side}{i}")
+        for i, q in enumerate(fractions)
+        for side, at in (("a", "floor"), ("b", "ceil"))
+    ]
+
+
+def interpolated(fractions: Sequence[float]) -> list[str]:
+    """SQL of the linear interpolation between the picked neighbours (needs ``n``)."""
+    return [
+        f"(_a{i} + (_b{i} - _a{i}) * ({_position(q)} - floor({_position(q)})))" for i, q in enumerate(fractions)
+    ]
 
 
 def average_rank() -> Column:

@@ -13,14 +13,6 @@ def norm(*parts: Column) -> Column:
     return F.sqrt(total)
 
 
-def clipped(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
-
-
-def angle_deg(cosine: Column) -> Column:
-    return F.degrees(F.acos(clipped(cosine, -1.0, 1.0)))
-
-
 def general_format(x: str, digits: int = 6) -> Column:
     """Number text of a SQL expression with ``digits`` significant digits and no
     trailing zeros; plain notation for exponents from -4 up to ``digits``, else

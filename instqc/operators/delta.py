@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from instqc.operators.reference import ALL, GEOMETRY, INTENSITY, MORPHOLOGY, PERCENTILES
@@ -11,18 +11,20 @@ IQR_TO_SIGMA = 1.349
 FAMILIES = {"geometry": GEOMETRY, "intensity": INTENSITY, "morphology": MORPHOLOGY}
 
 
-def percentile_rank(value: Column, low: Column, high: Column, pcts: Column, percentiles) -> Column:
-    """Piecewise-linear rank of ``value`` over (min, 0), the stored percentiles, (max, 100).
+def percentile_rank(percentiles) -> str:
+    """SQL of the piecewise-linear rank of ``value`` over (_min, 0), the stored
+    percentiles, and (_max, 100).
 
     Clamped to [0, 100]; on a flat stretch the lower rank counts, so the first
     bracketing pair decides.
     """
-    grid = [(low, 0.0)] + [(pcts[p], float(p)) for p in sorted(percentiles)] + [(high, 100.0)]
-    rank = F.when(value <= low, F.lit(0.0)).when(value >= high, F.lit(100.0))
-    for (v0, r0), (v1, r1) in zip(grid, grid[1:]):
-        inside = F.coalesce(r0 + (r1 - r0) * F.try_divide(value - v0, v1 - v0), F.lit(r0))
-        rank = rank.when((v0 <= value) & (value <= v1), inside)
-    return rank
+    grid = [("_min", 0.0)] + [(f"pcts[{p}]", float(p)) for p in sorted(percentiles)] + [("_max", 100.0)]
+    steps = " ".join(
+        f"WHEN {v0} <= value AND value <= {v1} "
+        f"THEN coalesce({r0!r}D + {r1 - r0!r}D * try_divide(value - {v0}, {v1} - {v0}), {r0!r}D)"
+        for (v0, r0), (v1, r1) in zip(grid, grid[1:])
+    )
+    return f"CASE WHEN value <= _min THEN 0D WHEN value >= _max THEN 100D {steps} END"
 
 
 def feature_deltas(
@@ -46,14 +48,12 @@ def feature_deltas(
         {"mean": "_mean", "std": "_std", "min": "_min", "max": "_max"}
     ).drop("n")
     joined = features.filter(F.col("feature").isin(*FAMILIES[family])).join(side, ["level_name", "feature"])
-    value, pcts = F.col("value"), F.col("pcts")
-    iqr = pcts[75] - pcts[25]
-    return joined.select(
+    return joined.selectExpr(
         "case_id", "label", "level_name", "stratum", "feature", "value",
-        F.when(F.col("_std") != 0, (value - F.col("_mean")) / F.col("_std")).alias("z"),
-        F.try_divide(value - pcts[50], iqr / IQR_TO_SIGMA).alias("robust_z"),
-        percentile_rank(value, F.col("_min"), F.col("_max"), pcts, percentiles).alias("pct_rank"),
-        ((value < pcts[lower_pct]) | (value > pcts[upper_pct])).alias("out_of_range"),
+        "IF(_std <> 0, try_divide(value - _mean, _std), NULL) AS z",
+        f"try_divide(value - pcts[50], (pcts[75] - pcts[25]) / {IQR_TO_SIGMA!r}D) AS robust_z",
+        f"{percentile_rank(percentiles)} AS pct_rank",
+        f"value < pcts[{lower_pct}] OR value > pcts[{upper_pct}] AS out_of_range",
     )
 
 

@@ -13,7 +13,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from instqc.functions.scalar import norm
 from instqc.functions.skew import salted_join
 from instqc.operators.inventory import with_levels
 from instqc.session import cut_lineage

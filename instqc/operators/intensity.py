@@ -31,43 +31,32 @@ def label_intensity(voxels: DataFrame, scans: DataFrame) -> DataFrame:
     """
     counts = value_counts(sampled(voxels, scans), KEYS, "hu")
     rows, groups = cumulative(counts, KEYS)
-    width = F.col("hi") - F.col("lo")
-    bin_of = F.when(width == 0, 0).otherwise(
-        F.least(F.lit(BINS - 1), F.floor((F.col("value") - F.col("lo")) / width * BINS))
+    bin_of = f"IF(hi = lo, 0, least({BINS - 1}, floor((value - lo) / (hi - lo) * {BINS})))"
+    fractions = list(FRACTIONS.values())
+    stats = rows.withColumn("_bin", F.expr(bin_of)).groupBy(*KEYS, "n").agg(
+        F.expr("sum(cnt * (value - mean) * (value - mean)) AS _ss"),
+        *order_statistics(fractions),
+        *[F.expr(f"sum(IF(_bin = {i}, cnt, 0)) AS _h{i}") for i in range(BINS)],
     )
-    rows = rows.withColumn("_bin", bin_of)
-    centred = F.col("value") - F.col("mean")
-    stats = rows.groupBy(*KEYS, "n").agg(
-        F.sum(F.col("cnt") * centred * centred).alias("_ss"),
-        *order_statistics(list(FRACTIONS.values())),
-        *[
-            F.sum(F.when(F.col("_bin") == i, F.col("cnt")).otherwise(0)).alias(f"_h{i}")
-            for i in range(BINS)
-        ],
-    )
-    quantile = dict(zip(FRACTIONS, interpolated(list(FRACTIONS.values()))))
-    entropy = F.lit(0.0)
-    for i in range(BINS):
-        p = F.col(f"_h{i}") / F.col("n")
-        entropy = entropy - F.when(p > 0, p * F.log2(p)).otherwise(0.0)
-    stats = stats.select(
+    shares = ", ".join(f"_h{i} / n" for i in range(BINS))
+    stats = stats.selectExpr(
         *KEYS,
-        F.sqrt(F.col("_ss") / F.col("n")).alias("std"),
-        *[c.alias(name) for name, c in quantile.items()],
-        (entropy + F.lit(0.0)).alias("entropy"),
+        "sqrt(_ss / n) AS std",
+        *[f"{text} AS {name}" for name, text in zip(FRACTIONS, interpolated(fractions))],
+        f"aggregate(array({shares}), 0D, (t, p) -> IF(p > 0, t - p * log2(p), t)) AS entropy",
     )
     df = groups.join(stats, KEYS, "left")
-    return df.select(
+    return df.selectExpr(
         *KEYS,
-        F.col("n").alias("voxel_count"),
-        F.col("n_missing").alias("n_nonfinite_excluded"),
+        "n AS voxel_count",
+        "n_missing AS n_nonfinite_excluded",
         "mean",
-        F.col("p50").alias("median"),
+        "p50 AS median",
         "std",
-        F.col("lo").alias("min"),
-        F.col("hi").alias("max"),
+        "lo AS min",
+        "hi AS max",
         *FRACTIONS,
-        (F.col("hi") - F.col("lo")).alias("range"),
-        (F.col("p75") - F.col("p25")).alias("iqr"),
+        "hi - lo AS range",
+        "p75 - p25 AS iqr",
         "entropy",
     )

@@ -85,16 +85,13 @@ def aggregate_reference(
     """
     fractions = [p / 100.0 for p in percentiles]
     rows, groups = cumulative(value_counts(obs, CELL, "value"), CELL)
-    centred = F.col("value") - F.col("mean")
     stats = rows.groupBy(*CELL, "n", "mean", "lo", "hi").agg(
-        F.sum(F.col("cnt") * centred * centred).alias("_ss"), *order_statistics(fractions)
+        F.expr("sum(cnt * (value - mean) * (value - mean)) AS _ss"), *order_statistics(fractions)
     )
-    pairs = [x for p, q in zip(percentiles, interpolated(fractions)) for x in (F.lit(p), q)]
-    return stats.select(
-        *CELL, "n", "mean",
-        F.coalesce(F.sqrt(F.try_divide("_ss", F.col("n") - 1)), F.lit(0.0)).alias("std"),
-        F.col("lo").alias("min"), F.col("hi").alias("max"),
-        F.create_map(*pairs).alias("pcts"),
+    pairs = ", ".join(f"{p}, {text}" for p, text in zip(percentiles, interpolated(fractions)))
+    return stats.selectExpr(
+        *CELL, "n", "mean", "coalesce(sqrt(try_divide(_ss, n - 1)), 0D) AS std",
+        "lo AS min", "hi AS max", f"map({pairs}) AS pcts",
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from instqc.functions.scalar import angle_deg, clipped, norm
+from instqc.functions.scalar import norm
 from instqc.operators.inventory import with_levels
 
 AXES = ("x", "y", "z")
@@ -144,29 +144,35 @@ def spacing_consistency(
     )
 
 
+LABEL_WINDOW = "(PARTITION BY case_id ORDER BY label)"
+
+
 def curve_offsets(features: DataFrame) -> DataFrame:
     """Distance of each interior centroid from the chord of its two neighbours.
 
     The point itself takes no part in the chord, so a displaced label cannot
     pull the curve towards itself. Ends have no chord and stay NULL.
     """
-    df = features
-    for a in AXES:
-        df = df.withColumn(f"_p{a}", F.lag(f"c{a}_mm").over(by_label())).withColumn(
-            f"_d{a}", F.lead(f"c{a}_mm").over(by_label()) - F.lag(f"c{a}_mm").over(by_label())
-        )
-    dot = sum(((F.col(f"c{a}_mm") - F.col(f"_p{a}")) * F.col(f"_d{a}") for a in AXES), F.lit(0.0))
-    length = sum((F.col(f"_d{a}") * F.col(f"_d{a}") for a in AXES), F.lit(0.0))
-    df = df.withColumn("closest_t", F.when(length == 0, 0.0).otherwise(clipped(F.try_divide(dot, length), 0.0, 1.0)))
-    interior = F.col("_dx").isNotNull()
-    df = df.withColumn("closest_t", F.when(interior, F.col("closest_t")))
-    for a in AXES:
-        df = df.withColumn(
-            f"d{a}_mm", F.col(f"c{a}_mm") - F.col(f"_p{a}") - F.col("closest_t") * F.col(f"_d{a}")
-        )
-    return df.withColumn("curve_offset_mm", norm(*[F.col(f"d{a}_mm") for a in AXES])).withColumn(
-        "curve_offset_voxel", norm(*[F.col(f"d{a}_mm") / F.col(f"step_{a}") for a in AXES])
-    ).drop(*[f"_p{a}" for a in AXES], *[f"_d{a}" for a in AXES])
+    w = LABEL_WINDOW
+    df = features.selectExpr(
+        "*",
+        *[f"lag(c{a}_mm) OVER {w} AS _p{a}" for a in AXES],
+        *[f"lead(c{a}_mm) OVER {w} - lag(c{a}_mm) OVER {w} AS _d{a}" for a in AXES],
+    )
+    dot = " + ".join(f"(c{a}_mm - _p{a}) * _d{a}" for a in AXES)
+    length = " + ".join(f"_d{a} * _d{a}" for a in AXES)
+    df = df.selectExpr(
+        "*",
+        f"CASE WHEN _dx IS NULL THEN NULL WHEN {length} = 0 THEN 0D "
+        f"ELSE greatest(0D, least(1D, try_divide({dot}, {length}))) END AS closest_t",
+    )
+    df = df.selectExpr("*", *[f"c{a}_mm - _p{a} - closest_t * _d{a} AS d{a}_mm" for a in AXES])
+    size = " + ".join(f"d{a}_mm * d{a}_mm" for a in AXES)
+    in_voxels = " + ".join(f"pow(d{a}_mm / step_{a}, 2)" for a in AXES)
+    return df.selectExpr(
+        *features.columns, "closest_t", *[f"d{a}_mm" for a in AXES],
+        f"sqrt({size}) AS curve_offset_mm", f"sqrt({in_voxels}) AS curve_offset_voxel",
+    )
 
 
 def curvature(features: DataFrame) -> DataFrame:
@@ -175,25 +181,26 @@ def curvature(features: DataFrame) -> DataFrame:
     Tangents are central differences, one-sided at the ends; cases with a
     single label have none.
     """
-    df = features
-    for a in AXES:
-        here = F.col(f"c{a}_mm")
-        ahead = F.coalesce(F.lead(here).over(by_label()), here)
-        behind = F.coalesce(F.lag(here).over(by_label()), here)
-        df = df.withColumn(f"_t{a}", ahead - behind)
-    size = norm(*[F.col(f"_t{a}") for a in AXES])
-    df = df.withColumn("_size", size).withColumn("_labels", F.count(F.lit(1)).over(by_case())).filter("_labels > 1")
-    for a in AXES:
-        df = df.withColumn(f"_u{a}", F.when(F.col("_size") < 1e-12, 0.0).otherwise(F.try_divide(F.col(f"_t{a}"), F.col("_size"))))
-    tilt = F.when(F.col("_size") < 1e-12, 0.0).otherwise(angle_deg(F.col("_uz")))
-    cosine = sum((F.col(f"_u{a}") * F.lead(f"_u{a}").over(by_label()) for a in AXES), F.lit(0.0))
-    flat = (F.col("_size") < 1e-12) | (F.lead("_size").over(by_label()) < 1e-12)
-    turn = F.when(F.lead("label").over(by_label()).isNull(), None).when(flat, 0.0).otherwise(angle_deg(cosine))
-    df = df.withColumn("tangent_angle_deg", tilt).withColumn("inter_tangent_angle_deg", turn)
-    total = F.max("tangent_angle_deg").over(by_case()) - F.min("tangent_angle_deg").over(by_case())
-    return df.select(
+    w = LABEL_WINDOW
+    df = features.selectExpr(
+        "case_id", "label", "level_name",
+        *[f"coalesce(lead(c{a}_mm) OVER {w}, c{a}_mm) - coalesce(lag(c{a}_mm) OVER {w}, c{a}_mm) AS _t{a}" for a in AXES],
+        "count(1) OVER (PARTITION BY case_id) AS _labels",
+    ).filter("_labels > 1")
+    df = df.selectExpr("*", "sqrt({}) AS _size".format(" + ".join(f"_t{a} * _t{a}" for a in AXES)))
+    df = df.selectExpr("*", *[f"IF(_size < 1e-12, 0D, try_divide(_t{a}, _size)) AS _u{a}" for a in AXES])
+    angle = "degrees(acos(greatest(-1D, least(1D, {}))))"
+    turn = " + ".join(f"_u{a} * lead(_u{a}) OVER {w}" for a in AXES)
+    df = df.selectExpr(
+        "*",
+        f"IF(_size < 1e-12, 0D, {angle.format('_uz')}) AS tangent_angle_deg",
+        f"CASE WHEN lead(label) OVER {w} IS NULL THEN NULL WHEN _size < 1e-12 OR lead(_size) OVER {w} < 1e-12 THEN 0D "
+        f"ELSE {angle.format(turn)} END AS inter_tangent_angle_deg",
+    )
+    return df.selectExpr(
         "case_id", "label", "level_name", "tangent_angle_deg", "inter_tangent_angle_deg",
-        total.alias("total_curvature_deg"),
+        "max(tangent_angle_deg) OVER (PARTITION BY case_id) - min(tangent_angle_deg) OVER (PARTITION BY case_id) "
+        "AS total_curvature_deg",
     )
 
 
@@ -204,29 +211,24 @@ def progression(features: DataFrame) -> DataFrame:
     stacking axis; it is reversed where labels run against that axis. A pair
     (label, next_label) is non-monotonic when u does not advance.
     """
-    spatial = by_case().orderBy("stack_position", "label")
-    df = features.withColumn("_step", _gap(spatial))
-    walked = F.coalesce(
-        F.sum("_step").over(spatial.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
-    )
-    df = (
-        df.withColumn("_walk", walked)
-        .withColumn("_total", F.sum("_step").over(by_case()))
-        .withColumn("_n", F.count(F.lit(1)).over(by_case()))
-        .withColumn("_slot", F.row_number().over(spatial))
-        .withColumn("_order", F.row_number().over(by_label()))
-        .filter("_n > 1")
+    w, case = LABEL_WINDOW, "(PARTITION BY case_id)"
+    s = "(PARTITION BY case_id ORDER BY stack_position, label)"
+    gap = " + ".join(f"pow(lead(c{a}_mm) OVER {s} - c{a}_mm, 2)" for a in AXES)
+    df = features.selectExpr(
+        "case_id", "label", "level_name", "stack_position", f"sqrt({gap}) AS _step",
+        f"row_number() OVER {s} AS _slot", f"row_number() OVER {w} AS _order", f"count(1) OVER {case} AS _n",
+    ).filter("_n > 1")
+    walked = "(PARTITION BY case_id ORDER BY stack_position, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    df = df.selectExpr("*", f"coalesce(sum(_step) OVER {walked}, 0D) AS _walk", f"sum(_step) OVER {case} AS _total")
+    df = df.selectExpr(
+        "*", "coalesce(try_divide(_walk, _total), (_slot - 1) / (_n - 1)) AS _u",
+        f"covar_samp(double(_order), stack_position) OVER {case} < 0 AS _backwards",
     )
-    u = F.coalesce(F.try_divide(F.col("_walk"), F.col("_total")), (F.col("_slot") - 1) / (F.col("_n") - 1))
-    df = df.withColumn("_u", u)
-    backwards = F.covar_samp(F.col("_order").cast("double"), "stack_position").over(by_case()) < 0
-    df = df.withColumn("u", F.when(backwards, 1.0 - F.col("_u")).otherwise(F.col("_u")))
-    advance = F.lead("u").over(by_label())
-    return df.select(
+    df = df.selectExpr("*", "IF(_backwards, 1 - _u, _u) AS u")
+    return df.selectExpr(
         "case_id", "label", "level_name", "u",
-        F.lead("label").over(by_label()).alias("next_label"),
-        F.lead("level_name").over(by_label()).alias("next_level"),
-        (F.col("u") >= advance).alias("non_monotonic"),
+        f"lead(label) OVER {w} AS next_label", f"lead(level_name) OVER {w} AS next_level",
+        f"u >= lead(u) OVER {w} AS non_monotonic",
     )
 
 
@@ -238,52 +240,35 @@ def neighbourhood(features: DataFrame, window_n: int = 3, threshold: float = 2.0
     part in a window, and its own z is NULL.
     """
     half = window_n // 2
-    df = consecutive_spacing(curve_offsets(features)).withColumn("_n", F.count(F.lit(1)).over(by_case())).filter("_n > 1")
-    frame = by_label().rowsBetween(-half, half)
+    frame = f"(PARTITION BY case_id ORDER BY label ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
     values = {"spacing_mm": "spacing_mm", "offset_mm": "curve_offset_mm", "volume_mm3": "physical_volume_mm3"}
-    stats = []
-    for name, column in values.items():
-        df = df.withColumn(f"_w_{name}", F.collect_list(F.struct("label", F.col(column).alias("v"))).over(frame))
-        window = F.transform(
-            F.filter(f"_w_{name}", lambda s: s["v"].isNotNull()), lambda s: s["v"]
-        )
-        others = F.transform(
-            F.filter(f"_w_{name}", lambda s: s["v"].isNotNull() & (s["label"] != F.col("label"))),
-            lambda s: s["v"],
-        )
-        stats.append(F.struct(
-            F.lit(name).alias("feature"), F.col(column).alias("value"),
-            window.alias("window"), others.alias("others"),
-        ))
-    labels = F.transform("_w_volume_mm3", lambda s: s["label"])
-    long = df.select("case_id", "label", "level_name", labels.alias("window_labels"), F.explode(F.array(*stats)).alias("s"))
-    long = long.select("case_id", "label", "level_name", "window_labels", "s.*")
-
-    def mean(a: str) -> Column:
-        return F.try_divide(F.aggregate(a, F.lit(0.0), lambda t, v: t + v), F.size(a))
-
-    long = long.withColumn("mean", mean("window")).withColumn("_om", mean("others"))
-
-    def std(a: str, centre: str) -> Column:
-        total = F.aggregate(a, F.lit(0.0), lambda t, v: t + (v - F.col(centre)) * (v - F.col(centre)))
-        return F.sqrt(F.try_divide(total, F.size(a)))
-
-    ordered = F.array_sort("window")
-    count = F.size("window")
-    median = F.when(
-        count > 0,
-        (F.try_element_at(ordered, F.floor((count + 1) / 2).cast("int"))
-         + F.try_element_at(ordered, F.floor((count + 2) / 2).cast("int"))) / 2.0,
+    df = consecutive_spacing(curve_offsets(features)).selectExpr(
+        "case_id", "label", "level_name", *values.values(), "count(1) OVER (PARTITION BY case_id) AS _n",
+        *[f"collect_list(struct(label, {column} AS v)) OVER {frame} AS _w_{name}" for name, column in values.items()],
+    ).filter("_n > 1")
+    rows = ", ".join(
+        f"named_struct('f', '{name}', 'v', {column}, 'a', transform(filter(_w_{name}, s -> s.v IS NOT NULL), s -> s.v), "
+        f"'o', transform(filter(_w_{name}, s -> s.v IS NOT NULL AND s.label <> label), s -> s.v))"
+        for name, column in values.items()
+    )
+    long = df.selectExpr(
+        "case_id", "label", "level_name", "transform(_w_volume_mm3, s -> s.label) AS window_labels",
+        f"inline(array({rows})) AS (feature, value, _all, _others)",
     )
-    z = F.when(F.col("value").isNull(), None).when(F.size("others") == 0, 0.0).otherwise(
-        F.abs(F.col("value") - F.col("_om")) / F.greatest(std("others", "_om"), F.lit(1e-6))
+    mean = "try_divide(aggregate({0}, 0D, (t, v) -> t + v), size({0}))"
+    std = "sqrt(try_divide(aggregate({0}, 0D, (t, v) -> t + (v - {1}) * (v - {1})), size({0})))"
+    long = long.selectExpr(
+        "*", f"{mean.format('_all')} AS mean", f"{mean.format('_others')} AS _om", "array_sort(_all) AS _sorted"
     )
-    long = long.select(
+    long = long.selectExpr(
         "case_id", "label", "level_name", "window_labels", "feature", "value", "mean",
-        median.alias("median"), std("window", "mean").alias("std"), z.alias("z_score"),
+        "IF(size(_all) > 0, (try_element_at(_sorted, int(floor((size(_all) + 1) / 2))) "
+        "+ try_element_at(_sorted, int(floor((size(_all) + 2) / 2)))) / 2, NULL) AS median",
+        f"{std.format('_all', 'mean')} AS std",
+        "CASE WHEN value IS NULL THEN NULL WHEN size(_others) = 0 THEN 0D "
+        f"ELSE abs(value - _om) / greatest({std.format('_others', '_om')}, 1e-6D) END AS z_score",
     )
-    per_label = Window.partitionBy("case_id", "label")
-    scored = F.max(F.when(F.col("feature").isin("offset_mm", "volume_mm3"), F.col("z_score")))
-    return long.withColumn("deviation_score", F.coalesce(scored.over(per_label), F.lit(0.0))).withColumn(
-        "is_outlier", F.col("deviation_score") >= threshold
+    scored = "max(IF(feature IN ('offset_mm', 'volume_mm3'), z_score, NULL)) OVER (PARTITION BY case_id, label)"
+    return long.selectExpr("*", f"coalesce({scored}, 0D) AS deviation_score").selectExpr(
+        "*", f"deviation_score >= {float(threshold)!r}D AS is_outlier"
     )

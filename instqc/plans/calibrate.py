@@ -104,44 +104,47 @@ def calibrate(
     """
     grid = grid_of(axes, max_size)
 
-    def exceeded(axis: Axis, column: str):
-        value = F.col(column)
-        hits = [(value >= v) if axis.inclusive else (value > v) for v in sorted(axis.values)]
-        return sum((F.when(h, 1).otherwise(0) for h in hits), F.lit(0))
-
-    positions = []
-    for i, axis in enumerate(axes):
-        positions += [exceeded(axis, axis.metric).alias(f"_p{i}"), exceeded(axis, axis.designated).alias(f"_d{i}")]
-    cells = cases.select("expected_failure", "failure_mode", "fixed_flag", "fixed_designated", *positions)
+    def exceeded(axis: Axis, column: str) -> str:
+        test = ">=" if axis.inclusive else ">"
+        return " + ".join(f"int(coalesce({column} {test} {float(v)!r}D, false))" for v in axis.values)
+
+    n_axes = range(len(axes))
+    cells = cases.selectExpr(
+        "expected_failure", "failure_mode", "fixed_flag", "fixed_designated",
+        *[f"{exceeded(a, a.metric)} AS _p{i}" for i, a in enumerate(axes)],
+        *[f"{exceeded(a, a.designated)} AS _d{i}" for i, a in enumerate(axes)],
+    )
     cells = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("n"))
 
-    settings = F.array(*[
-        F.struct(F.lit(g).alias("grid_id"), *[F.lit(float(a.values[j])).alias(f"_v{i}") for i, (a, j) in enumerate(zip(axes, at))],
-                 *[F.lit(sorted(a.values).index(a.values[j])).alias(f"_t{i}") for i, (a, j) in enumerate(zip(axes, at))])
+    # Position of a setting's value among the sorted values of its axis.
+    settings = ", ".join(
+        "struct({})".format(", ".join(
+            [str(g)] + [f"{float(a.values[j])!r}D" for a, j in zip(axes, at)]
+            + [str(sorted(a.values).index(a.values[j])) for a, j in zip(axes, at)]
+        ))
         for g, at in enumerate(grid)
-    ])
-    tried = cells.withColumn("s", F.explode(settings)).select(*cells.columns, "s.*")
-    fires, named = F.col("fixed_flag"), F.col("fixed_designated")
-    for i in range(len(axes)):
-        fires = fires | (F.col(f"_p{i}") > F.col(f"_t{i}"))
-        named = named | (F.col(f"_d{i}") > F.col(f"_t{i}"))
-    tried = tried.withColumn("flagged", fires).withColumn("named", named)
-    keys = ["grid_id", *[f"_v{i}" for i in range(len(axes))]]
-    failing = F.col("expected_failure")
-    count = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
-    modes = tried.filter(failing).groupBy("grid_id", "failure_mode").agg(
-        F.try_divide(count(F.col("named")) * F.lit(1.0), F.sum("n")).alias("caught")
-    ).groupBy("grid_id").agg(F.bool_and(F.col("caught") >= sensitivity_floor).alias("_ok"))
-    scored = tried.groupBy(*keys).agg(
-        count(failing & F.col("flagged")).alias("tp"), count(~failing & F.col("flagged")).alias("fp"),
-        count(~failing & ~F.col("flagged")).alias("tn"), count(failing & ~F.col("flagged")).alias("fn"),
+    )
+    names = ["grid_id", *[f"_v{i}" for i in n_axes], *[f"_t{i}" for i in n_axes]]
+    tried = cells.selectExpr("*", f"inline(array({settings})) AS ({', '.join(names)})")
+    tried = tried.selectExpr(
+        "*",
+        " OR ".join(["fixed_flag"] + [f"_p{i} > _t{i}" for i in n_axes]) + " AS flagged",
+        " OR ".join(["fixed_designated"] + [f"_d{i} > _t{i}" for i in n_axes]) + " AS named",
+    )
+    modes = tried.filter("expected_failure").groupBy("grid_id", "failure_mode").agg(
+        F.expr("sum(IF(named, n, 0)) / sum(n) AS caught")
+    ).groupBy("grid_id").agg(F.expr(f"bool_and(caught >= {float(sensitivity_floor)!r}D) AS _ok"))
+    tally = {"tp": "expected_failure AND flagged", "fp": "NOT expected_failure AND flagged",
+             "tn": "NOT expected_failure AND NOT flagged", "fn": "expected_failure AND NOT flagged"}
+    scored = tried.groupBy("grid_id", *[f"_v{i}" for i in n_axes]).agg(
+        *[F.expr(f"sum(IF({test}, n, 0)) AS {name}") for name, test in tally.items()]
     ).join(modes, "grid_id", "left")
-    scored = scored.select(
-        "grid_id", *[F.col(f"_v{i}").alias(a.name.replace(".", "_")) for i, a in enumerate(axes)],
+    scored = scored.selectExpr(
+        "grid_id", *[f"_v{i} AS {a.name.replace('.', '_')}" for i, a in enumerate(axes)],
         "tp", "fp", "tn", "fn",
-        F.try_divide(F.col("fp") * F.lit(1.0), F.col("fp") + F.col("tn")).alias("false_positive_rate"),
-        F.try_divide(F.col("tp") * F.lit(1.0), F.col("tp") + F.col("fn")).alias("sensitivity"),
-        F.coalesce("_ok", F.lit(True)).alias("feasible"),
+        "try_divide(double(fp), fp + tn) AS false_positive_rate",
+        "try_divide(double(tp), tp + fn) AS sensitivity",
+        "coalesce(_ok, true) AS feasible",
     )
     # At most MAX_GRID rows are ranked here.
     order = Window.partitionBy("feasible").orderBy(

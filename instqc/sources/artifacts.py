@@ -32,13 +32,24 @@ def reference_document(stats: DataFrame) -> DataFrame:
     """Nested form: one row per level, stratum -> feature -> statistics."""
     cell = F.struct("n", "mean", "std", "min", "max", "pcts")
     by_stratum = stats.groupBy("level_name", "stratum").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", cell.alias("stats"))))).alias("features")
+        F.map_from_entries(_in_order(F.collect_list(F.struct("feature", cell.alias("stats"))), "feature")).alias("features")
     )
     return by_stratum.groupBy("level_name").agg(
         F.map_from_entries(F.collect_list(F.struct("stratum", "features"))).alias("strata")
     )
 
 
+def _in_order(items, key: str):
+    """Gathered structs sorted by one field (the others may hold maps)."""
+    return F.array_sort(items, lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0))
+
+
+def _per_label(entry):
+    """Map label -> entry, in ascending label order."""
+    gathered = _in_order(F.collect_list(F.struct("label", entry.alias("v"))), "label")
+    return F.map_from_entries(F.transform(gathered, lambda s: F.struct(s["label"].cast("string"), s["v"])))
+
+
 def _vector(*names: str):
     return F.array(*[F.col(n).cast("double") for n in names])
 
@@ -50,7 +61,7 @@ def _box(suffix: str):
 def _by_label(df: DataFrame, name: str, entry) -> DataFrame:
     """(case_id, name): list of entries in ascending label order."""
     return df.groupBy("case_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("label", entry.alias("e")))), lambda s: s["e"]).alias(name)
+        F.transform(_in_order(F.collect_list(F.struct("label", entry.alias("e"))), "label"), lambda s: s["e"]).alias(name)
     )
 
 
@@ -75,7 +86,7 @@ def feature_document(
     entry = F.struct("label", "level_name", geometry.alias("geometry"), components.alias("components"), centroid.alias("centroid"))
     joined = features.join(parts, ["case_id", "label"])
     doc = joined.groupBy("case_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("label").cast("string").alias("k"), entry.alias("v"))))).alias("per_label"),
+        _per_label(entry).alias("per_label"),
         F.count(F.lit(1)).alias("_labels"),
     )
     pairs = overlaps.groupBy("case_id").agg(F.array_sort(F.collect_list(
@@ -123,7 +134,7 @@ def image_document(bright: DataFrame) -> DataFrame:
     entry = F.struct(
         "label", stats.alias("first_order"), F.create_map().cast("map<string,double>").alias("extended"))
     return bright.groupBy("case_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("label").cast("string").alias("k"), entry.alias("v"))))).alias("per_label")
+        _per_label(entry).alias("per_label")
     ).select(
         "case_id", F.lit("0.1").alias("image_features_version"), F.lit(True).alias("available"),
         F.lit(False).alias("radiomics_available"), F.lit("builtin").alias("backend"), "per_label",
@@ -137,7 +148,7 @@ def delta_document(deltas: DataFrame, labels: DataFrame, lower_pct: int = 1, upp
     full = labels.join(cells, ["case_id", "label"], "left")
     entry = F.struct("label", "level_name", "stratum", "available", "features", "distribution_distance", "out_of_range_features")
     return full.groupBy("case_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("label").cast("string").alias("k"), entry.alias("v"))))).alias("per_label")
+        _per_label(entry).alias("per_label")
     ).select("case_id", F.lit(lower_pct).alias("lower_pct"), F.lit(upper_pct).alias("upper_pct"), "per_label")
 
 

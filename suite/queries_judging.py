@@ -566,8 +566,7 @@ def snk8(i):
 
 
 @query("snk5", f"""SELECT count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) AS n_case_rows, (SELECT count(DISTINCT failure_mode) FROM {OUTCOME} WHERE expected_failure) AS modes,
-    'pearson' AS method, CASE WHEN var_pop(CAST(actual_flagged AS INT)) = 0 THEN NULL ELSE corr(d.mean_dice, CAST(actual_flagged AS INT)) END AS coefficient FROM {OUTCOME} o LEFT JOIN o_casedice d USING (case_id)
-    WHERE d.mean_dice IS NOT NULL OR d.mean_dice IS NULL""".replace("corr(d.mean_dice", "corr(d.mean_dice"), "coefficient")
+    'pearson' AS method, CASE WHEN var_pop(CAST(actual_flagged AS INT)) FILTER (d.mean_dice IS NOT NULL) > 0 THEN corr(d.mean_dice, CAST(actual_flagged AS INT)) END AS coefficient FROM {OUTCOME} o LEFT JOIN o_casedice d USING (case_id)""", "coefficient")
 def snk5(i):
     run = evaluated(i)
     outcome = cut_lineage(run.outcomes)
