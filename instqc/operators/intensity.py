@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from instqc.functions.quantiles import cumulative, interpolated, order_statistics, value_counts
+from instqc.functions.quantiles import cumulative, group_totals, interpolated, order_statistics, value_counts
 
 KEYS = ["case_id", "label"]
 BINS = 32
@@ -30,7 +30,7 @@ def label_intensity(voxels: DataFrame, scans: DataFrame) -> DataFrame:
     percentiles and the entropy histogram come from these in one aggregation.
     """
     counts = value_counts(sampled(voxels, scans), KEYS, "hu")
-    rows, groups = cumulative(counts, KEYS)
+    rows = cumulative(counts, KEYS)
     bin_of = f"IF(hi = lo, 0, least({BINS - 1}, floor((value - lo) / (hi - lo) * {BINS})))"
     fractions = list(FRACTIONS.values())
     stats = rows.withColumn("_bin", F.expr(bin_of)).groupBy(*KEYS, "n").agg(
@@ -45,7 +45,7 @@ def label_intensity(voxels: DataFrame, scans: DataFrame) -> DataFrame:
         *[f"{text} AS {name}" for name, text in zip(FRACTIONS, interpolated(fractions))],
         f"aggregate(array({shares}), 0D, (t, p) -> IF(p > 0, t - p * log2(p), t)) AS entropy",
     )
-    df = groups.join(stats, KEYS, "left")
+    df = group_totals(counts, KEYS).join(stats, KEYS, "left")
     return df.selectExpr(
         *KEYS,
         "n AS voxel_count",

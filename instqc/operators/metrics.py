@@ -139,8 +139,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
     Ranks are computed on counted distinct values, so a binary flag over any
     number of cases costs two rows.
     """
-    rows, _ = cumulative(value_counts(df, keys, value), keys)
-    ranks = rows.select(*keys, F.col("value").alias(value), average_rank().alias(name))
+    ranks = cumulative(value_counts(df, keys, value), keys).select(*keys, F.col("value").alias(value), average_rank().alias(name))
     return df.join(ranks, [*keys, value], "left")
 
 

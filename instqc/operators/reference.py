@@ -84,7 +84,7 @@ def aggregate_reference(
     observation is 0.
     """
     fractions = [p / 100.0 for p in percentiles]
-    rows, groups = cumulative(value_counts(obs, CELL, "value"), CELL)
+    rows = cumulative(value_counts(obs, CELL, "value"), CELL)
     stats = rows.groupBy(*CELL, "n", "mean", "lo", "hi").agg(
         F.expr("sum(cnt * (value - mean) * (value - mean)) AS _ss"), *order_statistics(fractions)
     )

@@ -69,6 +69,7 @@ def voxel_modes(agreement: DataFrame) -> DataFrame:
     Mode 1 is divided by the ground-truth foreground. A case without
     ground-truth foreground has no mode 1 and a mode 4 of zero.
     """
+    agreement = cut_lineage(agreement)
     gt, cand, n = F.col("gt_label"), F.col("cand_label"), F.col("n")
     count = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
     gt_labels = agreement.filter(gt.isNotNull()).select("case_id", gt.alias("cand_label")).distinct().withColumn(
@@ -186,9 +187,9 @@ def evaluate(
         both = candidate.select("case_id").distinct()
         subject = candidate.unionByName(gt.join(both, "case_id", "left_anti"))
     tables = build_tables(subject, grids, config, reference=reference, levels=levels)
-    findings = run_rules(tables, config)
+    findings = cut_lineage(run_rules(tables, config))
     verdict = verdicts(grids, findings, config)
-    outcome = metrics.outcomes(verdict, expected, findings)
+    outcome = cut_lineage(metrics.outcomes(verdict, expected, findings))
     by_record = record_modes(grids, tables.features, tables.components, tables.overlaps)
 
     if both is not None:

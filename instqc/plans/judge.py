@@ -59,13 +59,13 @@ def build_tables(
     tables = Tables(features, levels, parts, over, bright, reference)
     if reference is not None:
         limits = dict(stratum=stratum, lower_pct=lower_pct, upper_pct=upper_pct)
-        tables.deltas = feature_deltas(
+        tables.deltas = cut_lineage(feature_deltas(
             feature_long(sequence.curve_offsets(features)), reference, "geometry", **limits
-        )
+        ))
         tables.label_deltas = label_deltas(features, tables.deltas, reference, stratum)
         if bright is not None:
             long = feature_long(intensity_wide(features, bright))
-            tables.intensity_deltas = feature_deltas(long, reference, "intensity", **limits)
+            tables.intensity_deltas = cut_lineage(feature_deltas(long, reference, "intensity", **limits))
             tables.intensity_label_deltas = label_deltas(features, tables.intensity_deltas, reference, stratum)
     return tables
 
@@ -123,6 +123,6 @@ def judge(
         grids, errors = aligned(grids, scan_grids)
         voxels = voxels.join(errors.select("case_id"), "case_id", "left_anti")
     tables = build_tables(voxels, grids, config, scans, reference, levels, **limits)
-    findings = run_rules(tables, config)
+    findings = cut_lineage(run_rules(tables, config))
     empty = inventory.check_empty(grids, voxels, config)
     return Judged(tables, findings, verdicts(grids, findings, config, empty), errors, empty)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from instqc.functions.quantiles import GROUP_LIMIT
 from instqc.operators import components, edits, edt, geometry, inventory, overlap, reference, rules, sequence
 from instqc.operators.intensity import STATISTICS, label_intensity
 from instqc.operators.metrics import average_ranks
@@ -484,7 +483,7 @@ def win12(i):
 def geometry_deltas(i, family="geometry"):
     from instqc.operators.delta import feature_deltas
 
-    return feature_deltas(reference.feature_long(i.wide), cut_lineage(reference_of(i)), family)
+    return cut_lineage(feature_deltas(reference.feature_long(i.wide), reference_of(i), family))
 
 
 # --- components and distance transform --------------------------------------------------

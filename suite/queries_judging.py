@@ -64,10 +64,9 @@ def dlt3(i):
     return geometry_deltas(i, "morphology").drop("stratum")
 
 
-def rolled(i):
+def rolled(i, deltas=None):
     ref = cut_lineage(reference_of(i))
-    deltas = geometry_deltas(i)
-    return label_deltas(i.wide, deltas, ref)
+    return label_deltas(i.wide, geometry_deltas(i) if deltas is None else deltas, ref)
 
 
 @query("dlt4", "SELECT w.case_id, w.label, w.level_name, true AS available, r.distance AS distribution_distance, coalesce(r.oor, '') AS out_of_range_features FROM o_known w LEFT JOIN o_roll r USING (case_id, label)", "distribution_distance")
@@ -404,7 +403,8 @@ def calibration_cases(i):
         F.array().cast("array<int>").alias("expected_labels"), mode.alias("failure_mode"))
     none = i.spark.createDataFrame([], "case_id string, rule_id string, severity int, labels array<int>")
     volumes = wide.withColumn("physical_volume_mm3", F.col("physical_volume_mm3") * 25)
-    return case_maxima(expected, none, geometry_deltas(i), rolled(i), volumes)
+    deltas = geometry_deltas(i)
+    return case_maxima(expected, none, deltas, rolled(i, deltas), volumes)
 
 
 NAMES = [a.name.replace(".", "_") for a in DEFAULT_AXES]
