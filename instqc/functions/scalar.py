@@ -1,7 +1,9 @@
-"""Scalar column expressions: geometry and number formats."""
+"""Scalar expressions: distances, number formats and text templates."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ def norm(*parts: Column) -> Column:
     return F.sqrt(total)
 
 
-def general_format(x: str, digits: int = 6) -> Column:
-    """Number text of a SQL expression with ``digits`` significant digits and no
+def general_format(x: str, digits: int = 6) -> str:
+    """SQL for the number text of ``x`` with ``digits`` significant digits and no
     trailing zeros; plain notation for exponents from -4 up to ``digits``, else
     scientific."""
     exponent = f"floor(log10(abs({x})))"
@@ -25,12 +27,31 @@ def general_format(x: str, digits: int = 6) -> Column:
     plain = trim.format(f"format_string('%.10f', {rounded})")
     mantissa = trim.format(f"format_string('%.{digits - 1}f', ({rounded}) / pow(10D, {power}))")
     tail = f"concat('e', IF({power} < 0, '-', '+'), lpad(string(abs({power})), 2, '0'))"
-    return F.expr(
+    return (
         f"CASE WHEN {x} = 0 THEN '0' ELSE concat(IF({x} < 0, '-', ''), "
         f"IF({power} >= -4 AND {power} < {digits}, {plain}, concat({mantissa}, {tail}))) END"
     )
 
 
-def list_text(array: Column) -> Column:
-    """``[a, b, c]`` text of an array."""
-    return F.concat(F.lit("["), F.array_join(array.cast("array<string>"), ", "), F.lit("]"))
+def text_template(template: str) -> str:
+    """SQL for a text with ``{expression}`` places.
+
+    ``{x:g}`` gives six significant digits, ``{x:.2f}`` fixed decimals and
+    ``{x:list}`` the bracketed items of an array.
+    """
+    parts = []
+    for i, piece in enumerate(re.split(r"\{([^{}]*)\}", template)):
+        if i % 2 == 0:
+            if piece:
+                parts.append("'" + piece.replace("'", "\\'") + "'")
+            continue
+        expression, _, how = piece.partition(":")
+        if how == "g":
+            parts.append(general_format(expression))
+        elif how == "list":
+            parts.append(f"concat('[', array_join(CAST({expression} AS ARRAY<STRING>), ', '), ']')")
+        elif how:
+            parts.append(f"format_string('%{how}', {expression})")
+        else:
+            parts.append(f"string({expression})")
+    return f"concat({', '.join(parts)})"

@@ -11,11 +11,11 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from instqc.config import rule_enabled, rule_params
-from instqc.functions.scalar import general_format, list_text
+from instqc.config import SIZE_BOUNDS, rule_enabled, rule_params
+from instqc.functions.scalar import text_template
 from instqc.operators import sequence
 from instqc.schemas import END_FACES, FACES, IN_PLANE_FACES, severity_level
 
@@ -56,35 +56,15 @@ def register_rule(rule_id: str) -> Callable[[Rule], Rule]:
     return add
 
 
-def _num(x: str) -> Column:
-    return general_format(x)
-
-
-def _text(x: Column | str) -> Column:
-    return (F.col(x) if isinstance(x, str) else x).cast("string")
-
-
 def findings(
-    df: DataFrame, rule_id: str, params: dict[str, Any], *reason: Column | str,
-    labels: Column | None = None, k1: Column | int | None = None, k2: Column | int = 0,
-    k3: Column | None = None, severity: str | Column | None = None,
+    df: DataFrame, rule_id: str, params: dict[str, Any], reason: str, labels: str = "array(label)",
+    k1: str = "label", k2: str = "0", k3: str = "''", severity: str | None = None,
 ) -> DataFrame:
-    """Findings rows of ``df``: the reason is the parts joined, strings are text."""
-    if severity is None:
-        severity = F.lit(severity_level(params.get("severity", "flagged-for-review")))
-    parts = [F.lit(p) if isinstance(p, str) else p for p in reason]
-    if k1 is None:
-        k1 = F.col("label") if labels is None else F.coalesce(F.try_element_at(labels, F.lit(1)), F.lit(0))
-    labels = F.array("label") if labels is None else labels
-    return df.select(
-        "case_id",
-        F.lit(rule_id).alias("rule_id"),
-        severity.cast("int").alias("severity"),
-        F.concat(*parts).alias("reason"),
-        labels.cast("array<int>").alias("labels"),
-        (F.lit(k1) if isinstance(k1, int) else k1).cast("int").alias("k1"),
-        (F.lit(k2) if isinstance(k2, int) else k2).cast("int").alias("k2"),
-        (F.lit("") if k3 is None else k3).alias("k3"),
+    """One finding per row of ``df``; ``reason`` is a text template over its columns."""
+    level = severity_level(severity or params.get("severity", "flagged-for-review"))
+    return df.selectExpr(
+        "case_id", f"'{rule_id}' AS rule_id", f"{level} AS severity", f"{text_template(reason)} AS reason",
+        f"CAST({labels} AS ARRAY<INT>) AS labels", f"int({k1}) AS k1", f"int({k2}) AS k2", f"{k3} AS k3",
     )
 
 
@@ -94,34 +74,31 @@ def face_contacts(features: DataFrame) -> DataFrame:
     Expected means: no in-plane face, and the superior (inferior) face only by
     the superior (inferior) end level of the case.
     """
-    touches = {f: F.col(f"touches_{f}") for f in FACES}
     ends = sequence.spans(features).select("case_id", "superior_end_level", "inferior_end_level")
-    any_face = reduce(lambda a, b: a | b, touches.values())
-    in_plane = reduce(lambda a, b: a | b, [touches[f] for f in IN_PLANE_FACES])
-    end_ok = [
-        ~touches[f] | F.coalesce(F.col("level_name") == F.col(f"{f}_end_level"), F.lit(False))
-        for f in END_FACES
-    ]
-    faces = F.array_join(F.array_compact(F.array(*[F.when(touches[f], f) for f in FACES])), ", ")
+    listed = ", ".join(f"IF(touches_{f}, '{f}', NULL)" for f in FACES)
+    in_plane = " OR ".join(f"touches_{f}" for f in IN_PLANE_FACES)
+    end_ok = " AND ".join(
+        f"(NOT touches_{f} OR coalesce(level_name = {f}_end_level, false))" for f in END_FACES
+    )
     return (
-        features.filter(any_face)
+        features.filter(" OR ".join(f"touches_{f}" for f in FACES))
         .join(ends, "case_id", "left")
-        .select("case_id", "label", "level_name", faces.alias("faces"),
-                (~in_plane & end_ok[0] & end_ok[1]).alias("expected"))
+        .selectExpr(
+            "case_id", "label", "level_name", f"concat_ws(', ', {listed}) AS faces",
+            f"NOT ({in_plane}) AND {end_ok} AS expected",
+        )
     )
 
 
 @register_rule("border")
 def border(tables: Tables, params: dict[str, Any]) -> DataFrame:
     touched = face_contacts(tables.features)
-    where = (" label ", _text("label"), " (", F.col("level_name"), ") touches image face(s): ", F.col("faces"), ".")
-    out = findings(
-        touched.filter(~F.col("expected")), "border", params, "Partial vertebra clipped by FOV:", *where
-    )
+    where = " label {label} ({level_name}) touches image face(s): {faces}."
+    out = findings(touched.filter("NOT expected"), "border", params, "Partial vertebra clipped by FOV:" + where)
     if params.get("report_expected_ends"):
         ends = findings(
-            touched.filter("expected"), "border", params, "Partial vertebra at FOV end (expected):", *where,
-            severity=F.lit(severity_level(params.get("end_severity", "pass"))),
+            touched.filter("expected"), "border", params, "Partial vertebra at FOV end (expected):" + where,
+            severity=params.get("end_severity", "pass"),
         )
         out = out.unionByName(ends)
     return out
@@ -154,21 +131,18 @@ def bounds_table(tables: Tables, params: dict[str, Any]) -> DataFrame:
     Limits are the group's hand-set ones, overridden per level and feature by
     the reference percentiles where the reference has them.
     """
-    grouped = tables.features.filter(F.col("grp").isNotNull())
     items = []
     for order, (feature, stem, name) in enumerate(BOUNDED):
-        limits = {}
-        for side in ("min", "max"):
-            pick = F.lit(None).cast("double")
-            for group in ("cervical", "thoracic", "lumbar"):
-                pick = F.when(F.col("grp") == group, float(params[group][f"{side}_{stem}"])).otherwise(pick)
-            limits[side] = pick
-        items.append(F.struct(
-            F.lit(order).alias("k2"), F.lit(feature).alias("feature"), F.lit(name).alias("name"),
-            F.col(feature).alias("value"), limits["min"].alias("hand_lo"), limits["max"].alias("hand_hi"),
-        ))
-    long = grouped.select("case_id", "label", "level_name", "grp", F.explode(F.array(*items)).alias("m")).select(
-        "case_id", "label", "level_name", "grp", "m.*"
+        lo, hi = (
+            "CASE grp " + " ".join(f"WHEN '{g}' THEN {float(params[g][f'{side}_{stem}'])!r}D" for g in SIZE_BOUNDS) + " END"
+            for side in ("min", "max")
+        )
+        items.append(
+            f"named_struct('k', {order}, 'f', '{feature}', 'n', '{name}', 'v', double({feature}), 'l', {lo}, 'h', {hi})"
+        )
+    long = tables.features.filter("grp IS NOT NULL").selectExpr(
+        "case_id", "label", "level_name", "grp",
+        f"inline(array({', '.join(items)})) AS (k2, feature, name, value, hand_lo, hand_hi)",
     )
     if _source(params) == "reference" and tables.reference is not None:
         lo, hi = params.get("reference_lower_pct", 1), params.get("reference_upper_pct", 99)
@@ -183,21 +157,13 @@ def bounds_table(tables: Tables, params: dict[str, Any]) -> DataFrame:
 
 @register_rule("bounds")
 def bounds(tables: Tables, params: dict[str, Any]) -> DataFrame:
-    df = bounds_table(tables, params).filter("value < lo OR value > hi")
-    low = F.col("value") < F.col("lo")
-    by_reference = F.col("ref_lo").isNotNull()
     lo_pct, hi_pct = params.get("reference_lower_pct", 1), params.get("reference_upper_pct", 99)
-    word = F.when(low, "is below ").otherwise("exceeds ")
-    bound = F.when(low, "minimum ").otherwise("maximum ")
-    tail = F.when(
-        by_reference,
-        F.concat(F.lit(" (p"), F.when(low, str(lo_pct)).otherwise(str(hi_pct)), F.lit(") for level "), F.col("level_name")),
-    ).otherwise(F.concat(F.lit(" for "), F.col("grp"), F.lit(" group")))
     return findings(
-        df, "bounds", params,
-        "Label ", _text("label"), " (", F.col("level_name"), "): ", F.col("name"), " = ", _num("value"), " ", word,
-        F.when(by_reference, "reference ").otherwise(""), bound, _num("IF(value < lo, lo, hi)"), tail,
-        k2=F.col("k2"),
+        bounds_table(tables, params).filter("value < lo OR value > hi"), "bounds", params,
+        "Label {label} ({level_name}): {name} = {value:g} {IF(value < lo, 'is below', 'exceeds')} "
+        "{IF(ref_lo IS NULL, '', 'reference ')}{IF(value < lo, 'minimum', 'maximum')} {IF(value < lo, lo, hi):g}"
+        f"{{IF(ref_lo IS NULL, concat(' for ', grp, ' group'), concat(' (p', IF(value < lo, {lo_pct}, {hi_pct}), ') for level ', level_name))}}",
+        k2="k2",
     )
 
 
@@ -221,32 +187,31 @@ def absent_beyond_ends(tables: Tables, expected: list[str], border_aware: bool)
 
 @register_rule("coverage")
 def coverage(tables: Tables, params: dict[str, Any]) -> DataFrame:
-    none = F.array().cast("array<int>")
+    whole = dict(labels="array()", k1="0")
 
     def listing(df: DataFrame) -> DataFrame:
-        names = F.array_sort(F.collect_list(F.struct("rank", "level_name")))
-        return df.groupBy("case_id").agg(F.array_join(F.transform(names, lambda s: s["level_name"]), ", ").alias("names"))
+        return df.groupBy("case_id").agg(F.expr(
+            "array_join(transform(array_sort(collect_list(struct(rank, level_name))), s -> s.level_name), ', ') AS names"
+        ))
 
     out = findings(
         listing(sequence.missing_levels(tables.features, tables.levels)), "coverage", params,
-        "Missing interior level(s): ", F.col("names"), " absent within the observed present-level span.",
-        labels=none, k2=0,
+        "Missing interior level(s): {names} absent within the observed present-level span.", **whole,
     )
     expected = params.get("expected_levels") or []
     if expected:
         absent = absent_beyond_ends(tables, expected, params.get("border_aware", True))
         out = out.unionByName(findings(
             listing(absent), "coverage", params,
-            "Incomplete coverage (span): expected level(s) ", F.col("names"), " absent beyond the present span.",
-            labels=none, k2=1,
+            "Incomplete coverage (span): expected level(s) {names} absent beyond the present span.", k2="1", **whole,
         ))
     minimum = params.get("expected_count")
     if minimum is not None:
         present = tables.features.groupBy("case_id").agg(F.count("rank").alias("present_count"))
         out = out.unionByName(findings(
             present.filter(F.col("present_count") < int(minimum)), "coverage", params,
-            "Below expected count: present count ", _text("present_count"),
-            f" is below expected minimum {int(minimum)}.", labels=none, k2=2,
+            f"Below expected count: present count {{present_count}} is below expected minimum {int(minimum)}.",
+            k2="2", **whole,
         ))
     return out
 
@@ -274,36 +239,29 @@ def fragmentation(tables: Tables, params: dict[str, Any]) -> DataFrame | None:
     if tables.components is None:
         return None
     df = fragment_table(tables, params)
-    sizes = list_text(F.col("component_sizes"))
-    counted = ("component_count=", _text("component_count"), ", component_sizes=", sizes)
     lo, hi = params.get("reference_lower_pct", 1), params.get("reference_upper_pct", 99)
-    index, hand = F.col("fragmentation_index"), float(params["fragmentation_index_threshold"])
-    by_level = (" (", F.col("level_name"), "): ")
-    from_ref = F.col("ref_index").isNotNull()
+    floor = f"coalesce(ref_index, {float(params['fragmentation_index_threshold'])!r}D)"
+    counted = "component_count={component_count}, component_sizes={component_sizes:list}"
     split = findings(
-        df.filter(index < F.coalesce("ref_index", F.lit(hand))), "fragmentation", params,
-        "Fragmentation: Label ", _text("label"),
-        F.when(from_ref, F.concat(F.lit(" ("), F.col("level_name"), F.lit(")"))).otherwise(""),
-        ": fragmentation_index=", _num("fragmentation_index"),
-        F.when(from_ref, " is below reference floor ").otherwise(" is strictly below threshold "),
-        _num(f"coalesce(ref_index, {hand!r}D)"),
-        F.when(from_ref, F.concat(F.lit(f" (p{lo}) for level "), F.col("level_name"))).otherwise(""),
-        ". ", *counted, k2=0,
+        df.filter(f"fragmentation_index < {floor}"), "fragmentation", params,
+        "Fragmentation: Label {label}{IF(ref_index IS NULL, '', concat(' (', level_name, ')'))}: "
+        "fragmentation_index={fragmentation_index:g} "
+        "{IF(ref_index IS NULL, 'is strictly below threshold', 'is below reference floor')} "
+        f"{{{floor}:g}}{{IF(ref_index IS NULL, '', concat(' (p{lo}) for level ', level_name))}}. " + counted,
     )
     excess = findings(
         df.filter("component_count > ref_count"), "fragmentation", params,
-        "Rogue island(s): Label ", _text("label"), *by_level, "component_count=", _text("component_count"),
-        " exceeds reference maximum ", _num("ref_count"), f" (p{hi}) for level ", F.col("level_name"),
-        ". component_sizes=", sizes, ", fragmentation_index=", _text("fragmentation_index"), k2=1,
+        "Rogue island(s): Label {label} ({level_name}): component_count={component_count} exceeds reference maximum "
+        f"{{ref_count:g}} (p{hi}) for level {{level_name}}. component_sizes={{component_sizes:list}}, "
+        "fragmentation_index={fragmentation_index}", k2="1",
     )
     smallest = int(params["island_min_voxels"])
-    tiny = F.filter("stray_component_sizes", lambda s: s < smallest)
+    tiny = df.filter("ref_count IS NULL").selectExpr("*", f"filter(stray_component_sizes, s -> s < {smallest}) AS tiny")
     islands = findings(
-        df.filter(F.col("ref_count").isNull()).withColumn("tiny", tiny).filter(F.size("tiny") > 0),
-        "fragmentation", params,
-        "Rogue island(s): Label ", _text("label"), ": ", _text(F.size("tiny")),
-        f" non-dominant component(s) strictly below island_min_voxels={smallest}. Tiny island sizes: ",
-        list_text(F.col("tiny")), ". ", *counted, ", fragmentation_index=", _text("fragmentation_index"), k2=1,
+        tiny.filter("size(tiny) > 0"), "fragmentation", params,
+        f"Rogue island(s): Label {{label}}: {{size(tiny)}} non-dominant component(s) strictly below "
+        f"island_min_voxels={smallest}. Tiny island sizes: {{tiny:list}}. {counted}, "
+        "fragmentation_index={fragmentation_index}", k2="1",
     )
     return split.unionByName(excess).unionByName(islands)
 
@@ -314,21 +272,18 @@ def intensity(tables: Tables, params: dict[str, Any]) -> DataFrame | None:
         return None
     low, high = float(params["min_plausible_hu"]), float(params["max_plausible_hu"])
     flat = float(params["max_degenerate_std"])
-    two = lambda c: F.format_string("%.2f", F.col(c))
-    band = f" the plausible bone band ({low:.2f}, {high:.2f}) HU (threshold "
+    band = f"the plausible bone band ({low:.2f}, {high:.2f}) HU (threshold "
     tests = [
-        ("flag_low", F.col("median") < low,
-         ("Implausible intensity (too low): label ", _text("label"), " median ", two("median"),
-          " HU is below", band, f"min_plausible_hu={low:.2f}).")),
-        ("flag_high", F.col("median") > high,
-         ("Implausible intensity (too high): label ", _text("label"), " median ", two("median"),
-          " HU is above", band, f"max_plausible_hu={high:.2f}).")),
-        ("flag_degenerate", F.col("std") <= flat,
-         ("Implausible intensity (degenerate/uniform): label ", _text("label"), " std ", two("std"),
-          f" HU is at or below the degenerate-uniform threshold max_degenerate_std={flat:.2f} HU.")),
+        ("flag_low", f"median < {low!r}D",
+         f"Implausible intensity (too low): label {{label}} median {{median:.2f}} HU is below {band}min_plausible_hu={low:.2f})."),
+        ("flag_high", f"median > {high!r}D",
+         f"Implausible intensity (too high): label {{label}} median {{median:.2f}} HU is above {band}max_plausible_hu={high:.2f})."),
+        ("flag_degenerate", f"std <= {flat!r}D",
+         "Implausible intensity (degenerate/uniform): label {label} std {std:.2f} HU is at or below the "
+         f"degenerate-uniform threshold max_degenerate_std={flat:.2f} HU."),
     ]
     parts = [
-        findings(tables.intensity.filter(test), "intensity", params, *reason, k2=order)
+        findings(tables.intensity.filter(test), "intensity", params, reason, k2=str(order))
         for order, (switch, test, reason) in enumerate(tests)
         if params.get(switch, True)
     ]
@@ -340,27 +295,25 @@ def _delta_rule(rule_id: str, deltas: DataFrame | None, labels: DataFrame | None
         return None
     lo, hi = params.get("lower_pct", 1), params.get("upper_pct", 99)
     far, wide = float(params["max_distribution_distance"]), float(params["max_robust_z"])
-    who = ("label ", _text("label"), " (", F.col("level_name"), ") ")
-    quoted = ("feature '", F.col("feature"), "' ")
+    who, named = "label {label} ({level_name})", "label {label} ({level_name}) feature '{feature}'"
     parts = []
     if params.get("flag_distribution_distance", True):
         parts.append(findings(
             labels.filter(F.col("distribution_distance") >= far), rule_id, params,
-            "Reference distribution-distance outlier: ", *who, "distribution distance ",
-            F.format_string("%.2f", "distribution_distance"), f" exceeds threshold {far:.2f}.", k2=0,
+            f"Reference distribution-distance outlier: {who} distribution distance "
+            f"{{distribution_distance:.2f}} exceeds threshold {far:.2f}.",
         ))
     if params.get("flag_out_of_range", True):
         parts.append(findings(
             deltas.filter("out_of_range"), rule_id, params,
-            "Reference out-of-range: ", *who, *quoted, "value ", _text("value"),
-            " falls outside the reference range (percentile_rank=", _text("pct_rank"),
-            f", band=({lo}, {hi})).", k2=1, k3=F.col("feature"),
+            f"Reference out-of-range: {named} value {{value}} falls outside the reference range "
+            f"(percentile_rank={{pct_rank}}, band=({lo}, {hi})).", k2="1", k3="feature",
         ))
     if params.get("flag_robust_z", True):
         parts.append(findings(
             deltas.filter(F.abs("robust_z") >= wide), rule_id, params,
-            "Reference robust-z outlier: ", *who, *quoted, "robust_z=",
-            F.format_string("%.2f", "robust_z"), f" exceeds threshold {wide:.2f}.", k2=2, k3=F.col("feature"),
+            f"Reference robust-z outlier: {named} robust_z={{robust_z:.2f}} exceeds threshold {wide:.2f}.",
+            k2="2", k3="feature",
         ))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -383,19 +336,16 @@ def mislabel(tables: Tables, params: dict[str, Any]) -> DataFrame | None:
         off = sequence.curve_offsets(tables.features).filter(F.col("curve_offset_mm") >= limit)
         parts.append(findings(
             off, "mislabel", params,
-            "Vertebra misaligned from spinal curve: label ", _text("label"), " (", F.col("level_name"),
-            ") centroid lies ", F.format_string("%.1f", "curve_offset_mm"),
-            f" mm off the fitted spinal curve (threshold {limit:.1f} mm).", k1=0, k2=F.col("label"),
+            "Vertebra misaligned from spinal curve: label {label} ({level_name}) centroid lies {curve_offset_mm:.1f} mm "
+            f"off the fitted spinal curve (threshold {limit:.1f} mm).", k1="0", k2="label",
         ))
     if params.get("flag_order_inconsistency", True):
         pairs = sequence.progression(tables.features).filter("non_monotonic")
         parts.append(findings(
             pairs, "mislabel", params,
-            "Vertebra ordering inconsistent with label: labels ", _text("label"), " (", F.col("level_name"), ") and ",
-            _text("next_label"), " (", F.col("next_level"),
-            ") are out of expected order along the spine (spline parameter does not advance).",
-            labels=F.array("label", "next_label"), k1=1,
-            k3=F.concat_ws("|", "level_name", "next_level"),
+            "Vertebra ordering inconsistent with label: labels {label} ({level_name}) and {next_label} ({next_level}) "
+            "are out of expected order along the spine (spline parameter does not advance).",
+            labels="array(label, next_label)", k1="1", k3="concat_ws('|', level_name, next_level)",
         ))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -404,29 +354,22 @@ def mislabel(tables: Tables, params: dict[str, Any]) -> DataFrame | None:
 def overlap(tables: Tables, params: dict[str, Any]) -> DataFrame | None:
     if tables.overlaps is None:
         return None
-    shared = tables.overlaps.filter(F.col("overlap_voxels") >= int(params.get("min_overlap_voxels", 1)))
     return findings(
-        shared, "overlap", params,
-        "Overlapping segments: labels ", _text("label_a"), " (", F.col("name_a"), ") and ",
-        _text("label_b"), " (", F.col("name_b"), ") share ", _text("overlap_voxels"), " voxel(s).",
-        labels=F.array("label_a", "label_b"), k2=F.col("label_b"),
+        tables.overlaps.filter(F.col("overlap_voxels") >= int(params.get("min_overlap_voxels", 1))), "overlap", params,
+        "Overlapping segments: labels {label_a} ({name_a}) and {label_b} ({name_b}) share {overlap_voxels} voxel(s).",
+        labels="array(label_a, label_b)", k1="label_a", k2="label_b",
     )
 
 
 @register_rule("sequence")
 def out_of_sequence(tables: Tables, params: dict[str, Any]) -> DataFrame:
     late = sequence.out_of_order(tables.features).groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("label", "level_name"))).alias("_late")
-    )
-    df = late.select(
-        "case_id",
-        F.transform("_late", lambda s: s["label"]).alias("offenders"),
-        F.array_join(F.transform("_late", lambda s: s["level_name"]), ", ").alias("names"),
+        F.expr("array_sort(collect_list(struct(label, level_name))) AS late")
     )
     return findings(
-        df, "sequence", params,
-        "Non-continuous label sequence: ", F.col("names"), " out of anatomical order.",
-        labels=F.col("offenders"),
+        late, "sequence", params,
+        "Non-continuous label sequence: {array_join(transform(late, s -> s.level_name), ', ')} out of anatomical order.",
+        labels="transform(late, s -> s.label)", k1="late[0].label",
     )
 
 

@@ -206,8 +206,8 @@ def uxt1(i):
     def compactness(tables, params):
         box = reduce(lambda a, b: a * b, [F.col(f"{a}_max") - F.col(f"{a}_min") + 1 for a in "xyz"])
         sparse = tables.features.filter(F.col("voxel_count") / box < params["least"])
-        return rules.findings(sparse, "compactness", params, "Sparse label: label ", F.col("label").cast("string"),
-                              f" fills less than {params['least']} of its box.")
+        return rules.findings(sparse, "compactness", params,
+                              f"Sparse label: label {{label}} fills less than {params['least']} of its box.")
 
     config = merge_config({"rules": {"compactness": {"params": {"least": 0.42}}}})
     return finding_rows(rules.run_rules(rules.Tables(features(i), levels(i.spark)), config, {"compactness": compactness}))

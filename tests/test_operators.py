@@ -251,7 +251,7 @@ def test_strata_and_single_observation(spark):
 
 @pytest.mark.parametrize("value", [0.0, 64.0, 9562.5, 0.9985620706, 123456.7, 1234567.0, 0.0001234567, 0.00001234, -12.5, 999999.6, 1e12])
 def test_general_format(spark, value):
-    row = spark.createDataFrame([(value,)], "v double").select(general_format("v").alias("t")).first()
+    row = spark.createDataFrame([(value,)], "v double").selectExpr(f"{general_format('v')} AS t").first()
     assert row["t"] == f"{value:.6g}"
 
 
