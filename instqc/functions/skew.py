@@ -14,14 +14,15 @@ def salted_join(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
-    salts: int = 8,
+    salts: int = 64,
 ) -> DataFrame:
     """Join many rows per key with one small row per key.
 
     ``big`` is spread over ``salts`` sub-keys by a hash of the ``spread``
     columns and ``per_key`` is repeated once per sub-key, so a key holding a
-    third of ``big`` is worked on by ``salts`` tasks. Adaptive execution may
-    still turn the join into a broadcast when ``per_key`` proves small.
+    third of ``big`` is worked on by ``salts`` tasks, which adaptive skew
+    handling may split further. Adaptive execution may also turn the join into
+    a broadcast when ``per_key`` proves small.
     """
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", salt)

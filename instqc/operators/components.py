@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from instqc.functions.quantiles import cumulative, value_counts
 from instqc.functions.skew import hub_join
 from instqc.session import cut_lineage
 
@@ -257,21 +258,21 @@ def components(voxels: DataFrame, tile: tuple[int, int, int] = TILE) -> DataFram
 def ranked_components(comps: DataFrame) -> DataFrame:
     """Adds size_rank: 1 is the dominant component of its label.
 
-    Components of a label are ranked through counted distinct sizes, so that
-    noise with very many tiny components is not sorted in one task; equal
-    sizes are told apart by component id inside a size class.
+    Noise can leave very many components of equal small size in one label, so
+    nothing is sorted by label: sizes are ranked as counted classes, and the
+    order by id inside a class comes from the bucketed ranking.
     """
-    classes = comps.groupBy(*NODE, "size").agg(F.count(F.lit(1)).alias("_n"))
+    keys = [*NODE, "size"]
+    classes = comps.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     larger = Window.partitionBy(*NODE).orderBy(F.desc("size")).rowsBetween(
         Window.unboundedPreceding, -1
     )
     classes = classes.withColumn("_larger", F.coalesce(F.sum("_n").over(larger), F.lit(0))).drop("_n")
-    peers = Window.partitionBy(*NODE, "size").orderBy("component")
-    return (
-        comps.withColumn("_peer", F.row_number().over(peers))
-        .join(classes, [*NODE, "size"])
-        .withColumn("size_rank", F.col("_larger") + F.col("_peer"))
-        .drop("_larger", "_peer")
+    exact = comps.withColumn("_id", F.col("component").cast("decimal(20,0)"))
+    peers = cumulative(value_counts(exact, keys, "_id"), keys)
+    return peers.join(classes, keys).select(
+        *keys, F.col("value").cast("long").alias("component"),
+        (F.col("_larger") + F.col("below") + 1).alias("size_rank"),
     )
 
 

@@ -87,7 +87,10 @@ def _smooth_axis(df: DataFrame, axis: str, kernel: list[float]) -> DataFrame:
     others = [a for a in AXES if a != axis]
     # A value at p reaches q when q + k mirrors onto p, that is for the images
     # p, -1-p and 2n-1-p of p.
-    images = F.array_distinct(F.array(F.col(axis), -1 - F.col(axis), 2 * size - 1 - F.col(axis)))
+    images = F.filter(
+        F.array(F.col(axis), -1 - F.col(axis), 2 * size - 1 - F.col(axis)),
+        lambda q: (q >= -radius) & (q < size + radius),
+    )
     spread = df.withColumn("_p", F.explode(images)).withColumn("_t", F.explode(taps)).withColumn(
         axis, (F.col("_p") - F.col("_t.k")).cast("int")
     ).filter((F.col(axis) >= 0) & (F.col(axis) < size))

@@ -53,13 +53,12 @@ def name_clashes(levels: DataFrame) -> DataFrame:
     )
 
 
-def check_empty(grids: DataFrame, voxels: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """Empty and near-empty maps.
+def check_empty(grids: DataFrame, counts: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """Empty and near-empty maps, from the inventory (or any table with its columns).
 
-    Driven by ``grids``, since a case without foreground has no voxel row. Two
-    levels of counting keep a single huge case from landing in one task.
+    Driven by ``grids``, since a case without foreground has no voxel row.
     """
-    per_case = inventory(voxels).groupBy("case_id").agg(
+    per_case = counts.groupBy("case_id").agg(
         F.sum("voxel_count").alias("foreground"), F.count("label").alias("label_count")
     )
     counted = grids.select("case_id").join(per_case, "case_id", "left").select(

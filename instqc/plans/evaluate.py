@@ -184,7 +184,7 @@ def evaluate(
     if candidate is None:
         subject, both = gt, None
     else:
-        both = candidate.select("case_id").distinct()
+        both = cut_lineage(candidate.select("case_id").distinct())
         subject = candidate.unionByName(gt.join(both, "case_id", "left_anti"))
     tables = build_tables(subject, grids, config, reference=reference, levels=levels)
     findings = cut_lineage(run_rules(tables, config))

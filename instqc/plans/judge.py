@@ -124,5 +124,5 @@ def judge(
         voxels = voxels.join(errors.select("case_id"), "case_id", "left_anti")
     tables = build_tables(voxels, grids, config, scans, reference, levels, **limits)
     findings = cut_lineage(run_rules(tables, config))
-    empty = inventory.check_empty(grids, voxels, config)
+    empty = inventory.check_empty(grids, tables.features, config)
     return Judged(tables, findings, verdicts(grids, findings, config, empty), errors, empty)

@@ -273,7 +273,7 @@ def agg1(i):
     SELECT *, concat_ws(',', CASE WHEN foreground = 0 THEN 'No foreground voxels found (empty label map).' WHEN foreground < 4100 THEN 'Foreground voxel count ' || foreground || ' is below the minimum 4100.' END,
            CASE WHEN label_count < 5 THEN 'Distinct label count ' || label_count || ' is below the minimum 5.' END) AS reasons, foreground < 4100 OR label_count < 5 AS is_empty FROM c""")
 def agg2(i):
-    return inventory.check_empty(i.grids, i.voxels, {"min_foreground_voxels": 4100, "min_label_count": 5})
+    return inventory.check_empty(i.grids, inventory.inventory(i.voxels), {"min_foreground_voxels": 4100, "min_label_count": 5})
 
 
 @query("agg3", f"""SELECT case_id, label, level_name, voxel_count, physical_volume_mm3, extent_x_mm, extent_y_mm, extent_z_mm, x_min, x_max, y_min, y_max, z_min, z_max,

@@ -212,7 +212,7 @@ def test_empty_maps(spark):
     grids = boxes.grids(spark, [("a", (4, 4, 4), (1, 1, 1), "RAS"), ("b", (4, 4, 4), (1, 1, 1), "RAS")])
     voxels = boxes.voxels(spark, [("b", 1, (0, 2), (0, 2), (0, 2))])
     limits = {"min_foreground_voxels": 10, "min_label_count": 2}
-    got = {r["case_id"]: r["reasons"] for r in inventory.check_empty(grids, voxels, limits).collect()}
+    got = {r["case_id"]: r["reasons"] for r in inventory.check_empty(grids, inventory.inventory(voxels), limits).collect()}
     assert got == {
         "a": ["No foreground voxels found (empty label map).", "Distinct label count 0 is below the minimum 2."],
         "b": ["Foreground voxel count 8 is below the minimum 10.", "Distinct label count 1 is below the minimum 2."],
