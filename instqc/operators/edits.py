@@ -55,13 +55,9 @@ def displacement(targets: DataFrame, grids: DataFrame, distance_mm: float = 18.0
     return df.select("case_id", "label", *steps)
 
 
-def _resolved(sums: DataFrame, grids: DataFrame) -> DataFrame:
-    return sums.join(face_map(grids), "case_id")
-
-
 def crop(voxels: DataFrame, targets: DataFrame, grids: DataFrame, face: str, depth: int) -> DataFrame:
     """Moves that push labels ``depth`` voxels past a face of the grid."""
-    df = _resolved(label_sums(voxels), grids).join(targets, ["case_id", "label"])
+    df = label_sums(voxels).join(face_map(grids), "case_id").join(targets, ["case_id", "label"])
     steps = []
     for a in AXES:
         low = -(F.col(f"{a}_min") + depth)
@@ -102,7 +98,7 @@ def cut(voxels: DataFrame, targets: DataFrame, grids: DataFrame, pieces: int = 2
     """Erase one-voxel slabs that split labels into ``pieces`` along the stacking axis."""
     if pieces < 2:
         raise ValueError("a cut makes at least two pieces")
-    boxes = _resolved(label_sums(voxels), grids).join(targets, ["case_id", "label"])
+    boxes = label_sums(voxels).join(face_map(grids), "case_id").join(targets, ["case_id", "label"])
     low, high = F.lit(None).cast("int"), F.lit(None).cast("int")
     for a in AXES:
         low = F.when(F.col("stacking_axis") == a, F.col(f"{a}_min")).otherwise(low)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from instqc.functions.scalar import norm
-from instqc.operators.inventory import with_levels
 
 AXES = ("x", "y", "z")
 

@@ -13,7 +13,7 @@ from instqc.operators.edt import gaussian_kernel
 from instqc.operators.metrics import FAILURE_MODES, MODE_METRICS
 from instqc.plans.calibrate import DEFAULT_AXES, grid_of
 from instqc.schemas import AXIS_FACES, FACES, HEAD_TO_TAIL, LEVEL_OF_LABEL, level_group
-from suite.views import BASE_TABLES, VIEWS
+from suite.views import VIEWS
 
 SOURCES = {"": "v_voxels", "C": "v_cand", "M": "v_multi"}
 INF = "CAST('Infinity' AS DOUBLE)"

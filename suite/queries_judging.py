@@ -8,19 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from instqc.config import DEFAULT_CONFIG, merge_config, rule_params
-from instqc.operators import components, geometry, metrics, overlap, reference, rules, sequence, verdict
+from instqc.operators import metrics, overlap, reference, rules, sequence, verdict
 from instqc.operators.delta import label_deltas
 from instqc.operators.intensity import label_intensity
 from instqc.operators.inventory import inventory
 from instqc.plans import compare, evaluate
-from instqc.plans.calibrate import DEFAULT_AXES, calibrate, calibration_status, case_maxima
+from instqc.plans.calibrate import DEFAULT_AXES, calibrate, case_maxima
 from instqc.plans.judge import build_tables, judge
 from instqc.schemas import levels
 from instqc.session import cut_lineage, scratch_path
 from instqc.sources import artifacts
 from instqc.streaming.gate import start_gate
 from suite.queries_features import (
-    PCT_NAMES, PCTS, SUMMARY, features, flat_reference, geometry_deltas, parts, reference_of, wide_tables,
+    PCT_NAMES, PCTS, SUMMARY, features, flat_reference, geometry_deltas, parts, reference_of,
 )
 from suite.registry import query
 
@@ -452,9 +452,6 @@ def srt3(i):
     return compare.compare_runs(*both_runs(i)).filter("attributed").select("mode", "mode_name", "normalised_delta")
 
 
-HALF = "SELECT DISTINCT case_id, run_id, mode FROM v_modes"
-
-
 @query("jn9", "SELECT c.mode, c.delta, c.worsened, CAST(0 AS BIGINT) AS unshared FROM o_compare c", "delta")
 def jn9(i):
     modes = i.frame("v_modes")

@@ -3,10 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from instqc.operators import geometry, overlap, sequence
+from instqc.operators import overlap, sequence
 from instqc.plans.evaluate import evaluate, regression_check
 from instqc.plans.judge import judge
-from instqc.schemas import levels
 from instqc.session import cut_lineage
 from tests import boxes
 

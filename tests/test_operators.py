@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from instqc.functions.quantiles import average_rank, cumulative, interpolated, order_statistics, value_counts
 from instqc.functions.scalar import general_format
 from instqc.functions.skew import hub_join, salted_join
-from instqc.operators import components, edits, edt, geometry, inventory, overlap, reference, sequence
+from instqc.operators import components, edits, edt, geometry, inventory, overlap, reference
 from instqc.operators.intensity import label_intensity
 from instqc.schemas import levels
 from instqc.sources.tables import aligned
