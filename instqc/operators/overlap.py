@@ -19,20 +19,14 @@ POSITION = ["case_id", "x", "y", "z"]
 def label_overlaps(voxels: DataFrame, levels: DataFrame) -> DataFrame:
     """Voxels shared by two labels of a case (label_a < label_b).
 
-    Positions with more than one label are found by a plain aggregation first;
-    usually there are few or none. Only there the labels are gathered, as many
-    as overlap at the position.
+    The labels at one position are gathered in a small sorted set first (a
+    position carries as many entries as labels overlap there), so the voxel
+    table is read and shuffled once and not joined with itself.
     """
-    crowded = (
-        voxels.groupBy(*POSITION)
-        .agg(F.min("label").alias("_a"), F.max("label").alias("_b"))
-        .filter("_a < _b")
-        .select(*POSITION)
-    )
     stacked = (
-        voxels.join(crowded, POSITION, "left_semi")
-        .groupBy(*POSITION)
+        voxels.groupBy(*POSITION)
         .agg(F.array_sort(F.collect_set("label")).alias("labels"))
+        .filter(F.size("labels") > 1)
     )
     later = lambda i: F.slice("labels", i + 2, F.size("labels"))
     pairs = F.flatten(F.transform(
