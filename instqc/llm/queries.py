@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from instqc.llm import exact_dedup, mixing, sharding, sql
+from instqc.llm import exact_dedup, mixing, near_dedup, sharding, sql
 from instqc.llm.common import read_table
 from instqc.llm.registry import query
 
@@ -19,6 +19,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixing_report(read_table(spark, folder, "documents"))
 
 
+@query("op6_near_dedup", sql.NEAR_DEDUP)
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, folder, "documents"), k=2)
+
+
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, folder, "documents"))

@@ -38,3 +38,32 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, CAST((floor(rate * (k + 1) + u) - floor(rate * k + u)) * size AS BIGINT) AS taken FROM p
 """
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(a) = 0 THEN [] WHEN len(a) = 1 THEN a
+                      ELSE list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) END AS x
+  FROM w
+), n AS (
+  SELECT doc_id, CAST(len(x) AS BIGINT) AS n_shingles FROM s
+), t AS (
+  SELECT doc_id, unnest(x) AS g FROM s
+), l AS (
+  SELECT p.doc_id AS u, q.doc_id AS v
+  FROM (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS m FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2) c
+  JOIN n p ON p.doc_id = c.i JOIN n q ON q.doc_id = c.j
+  WHERE 100 * m >= 80 * (p.n_shingles + q.n_shingles - m)
+), e AS (
+  SELECT u, v FROM l UNION SELECT v, u FROM l
+), r(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT e.v, r.seen FROM r JOIN e ON e.u = r.doc_id WHERE r.seen < e.v
+), k AS (
+  SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id
+)
+SELECT n.doc_id, n.n_shingles, k.component_id, n.doc_id = k.component_id AS kept FROM n JOIN k ON k.doc_id = n.doc_id
+"""
