@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from instqc.llm import exact_dedup, mixing, near_dedup, sharding, sql
+from instqc.llm import exact_dedup, mixing, near_dedup, quality, sharding, sql
 from instqc.llm.common import read_table
 from instqc.llm.registry import query
 
@@ -24,6 +24,11 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, folder, "documents"), k=2)
 
 
+@query("op7_quality")
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(read_table(spark, folder, "documents"))
+
+
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, folder, "documents"))
