@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from instqc.llm import exact_dedup, mixing, near_dedup, quality, sharding, sql
+from instqc.llm import decontamination, exact_dedup, mixing, near_dedup, quality, sharding, sql
 from instqc.llm.common import read_table
 from instqc.llm.registry import query
 
@@ -19,6 +20,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixing_report(read_table(spark, folder, "documents"))
 
 
+@query("op4_decontamination", sql.DECONTAMINATION)
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 @query("op6_near_dedup", sql.NEAR_DEDUP)
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, folder, "documents"), k=2)
@@ -32,3 +38,8 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, folder, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

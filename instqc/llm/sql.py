@@ -67,3 +67,27 @@ WITH RECURSIVE w AS (
 )
 SELECT n.doc_id, n.n_shingles, k.component_id, n.doc_id = k.component_id AS kept FROM n JOIN k ON k.doc_id = n.doc_id
 """
+
+DECONTAMINATION = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS a FROM documents WHERE text IS NOT NULL
+), bw AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS b FROM benchmark WHERE text IS NOT NULL
+), d AS (
+  SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) - 1 AS p FROM dw
+), i AS (
+  SELECT item_id, len(b) AS n, unnest(b) AS w, generate_subscripts(b, 1) - 1 AS j FROM bw WHERE len(b) >= 8
+), m AS (
+  SELECT DISTINCT doc_id, item_id, n, p - j AS g, j FROM d JOIN i USING (w)
+), r AS (
+  SELECT doc_id, item_id, n, g, count(*) OVER (PARTITION BY doc_id, item_id, g) AS agreeing,
+         count(*) OVER (PARTITION BY doc_id, item_id, g ORDER BY j RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS here
+  FROM m
+), o AS (
+  SELECT doc_id, item_id, n, g, max(agreeing) AS agreeing FROM r GROUP BY doc_id, item_id, n, g
+  HAVING max(here) >= CASE WHEN n >= 16 THEN 13 ELSE n END
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, greatest(g, 0)) AS k FROM o
+)
+SELECT doc_id, item_id, CAST(greatest(g, 0) AS BIGINT) AS first_word, agreeing, CAST(n AS BIGINT) AS item_words FROM b WHERE k = 1
+"""
