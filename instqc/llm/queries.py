@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from instqc.llm import decontamination, exact_dedup, mixing, near_dedup, quality, sharding, sql
+import corpus_pipeline
+from instqc.llm import decontamination, exact_dedup, licences, mixing, near_dedup, quality, sharding, sql, toxicity
 from instqc.llm.common import read_table
 from instqc.llm.registry import query
 
@@ -35,11 +35,21 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(read_table(spark, folder, "documents"))
 
 
+@query("op8_licences", sql.LICENCES)
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licence_report(read_table(spark, folder, "documents"))
+
+
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, folder, "documents"))
 
 
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
