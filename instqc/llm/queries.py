@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from instqc.llm import decontamination, exact_dedup, licences, mixing, near_dedup, quality, sharding, sql, toxicity
+from instqc.llm import decontamination, exact_dedup, extraction, licences, mixing, near_dedup, quality, sharding, sql, toxicity
 from instqc.llm.common import read_table
 from instqc.llm.registry import query
 
 
+@query("op1_extraction")
+def op1_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(read_table(spark, folder, "pages"))
+
+
 @query("op2_exact_dedup", sql.EXACT_DEDUP)
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{folder}/documents.parquet")
