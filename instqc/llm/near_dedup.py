@@ -19,8 +19,8 @@ from instqc.session import cut_lineage
 
 #: Bins of the one permutation, and rows per band: 32 bands of 4.
 BINS, ROWS = 128, 4
-#: Rounds without a new link after which no further centres are tried.
-QUIET_ROUNDS = 2
+#: Buckets with at most so many classes have all that the star left apart compared; larger ones get more centres.
+SMALL_BUCKET = 64
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -160,55 +160,65 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of the classes in shared buckets: (u, v).
+def centre_pairs(placed: DataFrame, number: int) -> DataFrame:
+    """Members of each bucket that are not connected with its centre, paired with it: (u, n, v, m)."""
+    draw = F.lit(0).cast("long") if number == 0 else F.xxhash64("key", F.lit(number))
+    order = F.struct(draw.alias("_o"), F.col("key"), F.col("root"), F.col("n"))
+    centre = placed.groupBy("bucket").agg(F.min(order).alias("_c"))
+    centre = centre.select("bucket", F.col("_c.key").alias("v"), F.col("_c.root").alias("_root"), F.col("_c.n").alias("m"))
+    return placed.join(centre, "bucket").filter("root <> _root").select(F.col("key").alias("u"), "n", "v", "m")
+
+
+def small_pairs(placed: DataFrame) -> DataFrame:
+    """All pairs that small buckets leave apart; a bucket of b classes has fewer than b * SMALL_BUCKET."""
+    other = placed.select("bucket", F.col("key").alias("v"), F.col("root").alias("_root"), F.col("n").alias("m"))
+    return placed.join(other, "bucket").filter((F.col("key") > F.col("v")) & (F.col("root") != F.col("_root"))).select(F.col("key").alias("u"), "n", "v", "m")
+
+
+def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components of the classes in shared buckets by confirmed links: (node, root).
 
     ``members(bucket, key, n)`` lists classes of different sets. In every
     bucket one class is the centre and the others are compared with it alone,
     so pairs are as many as rows, however large a bucket is. A class may be
-    like another member and not like the centre; so rounds with other centres
-    follow, in which only classes that are not yet connected with the centre
-    are compared, until all members of each bucket are connected or
-    QUIET_ROUNDS rounds in a row find no new link.
+    like another member and not like the centre. So buckets whose classes are
+    not all connected then come up again: small ones with every pair that is
+    still apart, large ones with one new centre after another, until a round
+    finds no new link.
     """
-    links = None
-    quiet = number = 0
-    label = members.select(F.col("key").alias("_k"), F.col("key").alias("root")).distinct()
-    tried = None
-    while quiet < QUIET_ROUNDS:
-        placed = members.join(label, members["key"] == label["_k"]).drop("_k")
-        draw = F.lit(0).cast("long") if number == 0 else F.xxhash64("key", F.lit(number))
-        order = F.struct(draw.alias("_o"), F.col("key"), F.col("root"), F.col("n"))
-        centre = placed.groupBy("bucket").agg(F.min(order).alias("_c"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-        centre = centre.filter("_lo <> _hi").select("bucket", F.col("_c.key").alias("v"), F.col("_c.root").alias("_root"), F.col("_c.n").alias("_n"))
-        pairs = (
-            placed.join(centre, "bucket").filter("root <> _root")
-            .filter(100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
-            .select(F.greatest("key", "v").alias("u"), F.least("key", "v").alias("v")).distinct()
-        )
+    label = cut_lineage(members.select(F.col("key").alias("node"), F.col("key").alias("root")).distinct())
+    links = tried = None
+    number = 0
+    while True:
+        placed = members.join(label, members["key"] == label["node"]).drop("node")
+        if number > 0:
+            apart = placed.groupBy("bucket").agg(F.count("*").alias("_size"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+            placed = cut_lineage(placed.join(apart.filter("_lo <> _hi").select("bucket", "_size"), "bucket"))
+        if number == 0:
+            pairs = centre_pairs(placed, 0)
+        else:
+            pairs = centre_pairs(placed.filter(F.col("_size") > SMALL_BUCKET), number)
+            if number == 1:
+                pairs = pairs.unionByName(small_pairs(placed.filter(F.col("_size") <= SMALL_BUCKET)))
+        fitting = pairs.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        pairs = fitting.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = cut_lineage(pairs)
-        if not pairs.take(1):
-            if number == 0:
-                return pairs
-            quiet, number = quiet + 1, number + 1
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
         new = cut_lineage(confirmed(pairs, sets, percent))
-        number += 1
         if not new.take(1):
-            quiet += 1
-            links = new if links is None else links
+            if number > 0:
+                return label
+            number += 1
+            tried = pairs
             continue
-        quiet = 0
+        tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
+        number += 1
         roots = components(links)
         label = cut_lineage(
-            members.select(F.col("key").alias("_k")).distinct().join(roots, F.col("_k") == F.col("node"), "left")
-            .select("_k", F.coalesce("root", "_k").alias("root"))
+            label.select("node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"))
         )
-    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -243,7 +253,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     members = cut_lineage(banded.join(shared, "bucket").select("bucket", F.col("_key").alias("key"), "n"))
     wanted = only_keys(classes, members.select(F.col("key").alias("_key")), ["_key"]).select("_th")
     sets = cut_lineage(full_sets(only_keys(base.select("text", "_th"), wanted, ["_th"]).dropDuplicates(["_th"]), k).dropDuplicates(["key"]))
-    roots = components(star_links(members, sets, percent))
+    roots = star_components(members, sets, percent)
     rooted = classes.select("_key", "low").join(roots, F.col("_key") == F.col("node"), "left").select("_key", "low", F.coalesce("root", "_key").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("_key", "component_id", F.col("root").alias("_root"))
