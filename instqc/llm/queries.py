@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from instqc.llm import decontamination, exact_dedup, extraction, licences, mixing, near_dedup, quality, sharding, sql, toxicity
+from instqc.llm import decontamination, exact_dedup, extraction, licences, lines, mixing, near_dedup, quality, sharding, sql, toxicity
 from instqc.llm.common import read_table
 from instqc.llm.registry import query
 
@@ -30,6 +30,11 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(read_table(spark, folder, "documents"))
+
+
 @query("op6_near_dedup", sql.NEAR_DEDUP)
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, folder, "documents"), k=2)
