@@ -48,3 +48,20 @@ def hub_join(
     rest = per_node.filter(F.col(degree) <= hub_degree)
     light = edges.join(hubs.select(*on), list(on), "left_anti").join(rest, list(on))
     return light.unionByName(edges.join(hubs, list(on)))
+
+
+#: Keys that are broadcast to filter a large table, after counting them.
+BROADCAST_KEYS = 200_000
+
+
+def of_cases(big: DataFrame, cases: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of a large table whose case is (``left_anti``: is not) among ``cases``.
+
+    The case ids are counted first. Few are broadcast, so the large table is
+    not shuffled; many are joined by shuffle, where adaptive execution splits
+    a large case. ``cases`` should be a written table, as it is read twice.
+    """
+    keys = cases.select("case_id").distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return big.join(keys, "case_id", how)

@@ -48,7 +48,7 @@ def name_clashes(levels: DataFrame) -> DataFrame:
     """Names of a convention that more than one label value maps to."""
     return (
         levels.groupBy(F.upper(F.trim("level_name")).alias("name"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("label")).alias("labels"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first_label"), F.max("label").alias("last_label"))
         .filter("n > 1")
     )
 

@@ -17,18 +17,25 @@ RECORDED_COUPLINGS = {(6, 1): 2.79, (8, 1): 0.9629}
 
 
 def run_summary(modes: DataFrame, detection: DataFrame | None = None, cases: DataFrame | None = None) -> DataFrame:
-    """Per (run, mode): how many cases have a value, and its mean, range and total.
+    """Per run and each of the eight modes: how many cases have a value, and its mean, range and total.
+
+    A mode that no case has a value for has a row with NULLs all the same.
 
     ``modes`` is (run_id, case_id, mode, value); ``detection`` adds
     (run_id, failure_mode, sensitivity, n_cases), ``cases`` the run's mean
     Dice from (run_id, case_id, mean_dice, volume_weighted_dice).
     """
-    df = modes.groupBy("run_id", "mode").agg(
-        F.count(F.lit(1)).alias("n_cases"), F.count("value").alias("n_with_value"),
+    values = modes.groupBy("run_id", "mode").agg(
+        F.count("value").alias("n_with_value"),
         F.avg("value").alias("mean"), F.min("value").alias("minimum"),
         F.max("value").alias("maximum"), F.sum("value").alias("total"),
     )
-    df = df.join(F.broadcast(mode_table(modes.sparkSession)), "mode")
+    # The case set of a run: its size, and a sum of hashes that tells whether two runs cover the same cases.
+    runs = modes.select("run_id", "case_id").distinct().groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_cases"), F.sum(F.xxhash64("case_id").cast("decimal(20,0)")).cast("string").alias("case_set")
+    )
+    every = mode_table(modes.sparkSession)
+    df = runs.crossJoin(F.broadcast(every)).join(values, ["run_id", "mode"], "left").withColumn("n_with_value", F.coalesce("n_with_value", F.lit(0)))
     if detection is not None:
         seen = detection.select(
             "run_id", F.col("failure_mode").alias("mode"), F.col("sensitivity").alias("detection_rate"),
@@ -52,12 +59,25 @@ def unshared_cases(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.exceptAll(right).unionByName(right.exceptAll(left))
 
 
+def same_cohort(run_a: DataFrame, run_b: DataFrame) -> None:
+    """Raise if two run summaries do not cover the same cases; reads one row of each."""
+    a, b = (run.select("n_cases", "case_set").first() for run in (run_a, run_b))
+    if a is not None and b is not None and tuple(a) != tuple(b):
+        raise ValueError(
+            f"the runs cover different cases ({a['n_cases']} and {b['n_cases']}); unshared_cases() names those that only one has"
+        )
+
+
 def compare_runs(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
     """Per mode: change of the mean from run a to run b, scaled and directed.
 
+    Runs over different cases are an error.
+
     Only metrics with a fixed full swing are normalised. The attributed mode
     is the one with the largest non-zero normalised change, the first on ties.
     """
+    same_cohort(run_a, run_b)
+
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select("mode", F.col("mean").alias(f"value_{s}"), F.col("detection_rate").alias(f"detection_rate_{s}"))
 
@@ -94,9 +114,8 @@ def attribution(comparison: DataFrame) -> DataFrame:
     )
     reason = F.when(F.col("attributed_mode").isNotNull(), None).when(
         F.col("_scaled") == 0,
-        "no mode is attributable: every candidate metric in this comparison is not normalisable "
-        "(raw count metrics carry no declared scale) -- see excluded_modes for which ones.",
-    ).otherwise("no mode is attributable: every normalisable mode's normalised_delta is exactly 0.0 -- nothing moved.")
+        "no metric with a value in both runs has a full swing to scale its change by; excluded_modes lists them",
+    ).otherwise("no scaled metric changed between the runs")
     return out.withColumn("unattributable_reason", reason).drop("_scaled")
 
 

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from instqc.config import merge_config
+from instqc.functions.skew import of_cases
 from instqc.operators import metrics, overlap, sequence
 from instqc.operators.geometry import label_features
 from instqc.operators.inventory import canonical_position
+from instqc.operators.reference import ALL
 from instqc.operators.rules import face_contacts, run_rules
 from instqc.operators.verdict import verdicts
 from instqc.plans.judge import build_tables
-from instqc.schemas import levels as level_table
+from instqc.schemas import levels as level_table, severity_level
 from instqc.session import cut_lineage
 
 FEATURES = ("physical_volume_mm3", "extent_x_mm", "extent_y_mm", "extent_z_mm", "curve_offset_mm")
@@ -63,11 +65,13 @@ def case_match(per_label: DataFrame) -> DataFrame:
     )
 
 
-def voxel_modes(agreement: DataFrame) -> DataFrame:
+def voxel_modes(agreement: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """Modes 1, 4 and 5 per case from joint label counts (NULL label = background).
 
     Mode 1 is divided by the ground-truth foreground. A case without
-    ground-truth foreground has no mode 1 and a mode 4 of zero.
+    ground-truth foreground has no mode 1 and a mode 4 of zero. ``cases``
+    lists the cases that have both maps; those where both are empty get their
+    row from it.
     """
     agreement = cut_lineage(agreement)
     gt, cand, n = F.col("gt_label"), F.col("cand_label"), F.col("n")
@@ -89,6 +93,8 @@ def voxel_modes(agreement: DataFrame) -> DataFrame:
         .join(candidate_labels, ["case_id", "gt_label"], "left_anti")
         .groupBy("case_id").agg(F.count_if(F.col("empty") / F.col("size") > 0.5).alias("lost"))
     )
+    if cases is not None:
+        base = cases.select("case_id").distinct().join(base, "case_id", "left")
     df = base.join(lost, "case_id", "left")
     ratio = lambda c: F.try_divide(F.col(c) * F.lit(1.0), F.col("gt_fg"))
     return df.select(
@@ -135,14 +141,18 @@ DETAIL = {
     7: "record has no relationships block",
     8: "record has no overlaps key",
 }
+# Fixed value: the same of mode 1 where a case has no candidate or no ground truth.
+NO_PAIR = "mode 1 needs both candidate and gt; at least one is missing"
 
 
 def mode_metrics(by_voxel: DataFrame, by_record: DataFrame) -> DataFrame:
     """(case_id, mode, metric, direction, baseline, value, detail): eight rows per case."""
-    wide = by_record.join(by_voxel, "case_id", "left")
+    wide = by_record.join(by_voxel.withColumn("_both", F.lit(True)), "case_id", "left")
+    detail = {m: F.lit(text) for m, text in DETAIL.items()}
+    detail[1] = F.when(F.col("_both"), DETAIL[1]).otherwise(NO_PAIR)
     rows = F.array(*[
         F.struct(F.lit(m).alias("mode"), F.col(f"m{m}").alias("value"),
-                 F.when(F.col(f"m{m}").isNull(), DETAIL[m]).alias("detail"))
+                 F.when(F.col(f"m{m}").isNull(), detail[m]).alias("detail"))
         for m in range(1, 9)
     ])
     long = wide.select("case_id", F.inline(rows))
@@ -167,12 +177,18 @@ class Evaluation:
 def evaluate(
     gt: DataFrame, candidate: DataFrame | None, grids: DataFrame, expected: DataFrame,
     config: dict[str, Any] | None = None, reference: DataFrame | None = None, levels: DataFrame | None = None,
+    candidate_cases: DataFrame | None = None, stratum: str = ALL, lower_pct: int = 1, upper_pct: int = 99,
+    positive_severity: str = "flagged-for-review",
 ) -> Evaluation:
     """Evaluate every case of ``expected``.
 
-    Where a case has candidate voxels they are judged and compared with the
+    Where a case has a candidate map it is judged and compared with the
     ground truth; otherwise the ground truth itself is judged and the
-    comparison stays NULL. Case ids must be unique.
+    comparison stays NULL. Case ids must be unique. ``candidate_cases``
+    (case_id) lists the cases that have a candidate map, also an empty one,
+    which has no voxel rows to know it by; without the list, cases with
+    candidate voxels count. Stratum, percentiles and the severity from which
+    a verdict counts as positive are passed on to the rules and the outcomes.
     """
     config = merge_config(config)
     spark = gt.sparkSession
@@ -184,21 +200,22 @@ def evaluate(
     if candidate is None:
         subject, both = gt, None
     else:
-        both = cut_lineage(candidate.select("case_id").distinct())
-        subject = candidate.unionByName(gt.join(both, "case_id", "left_anti"))
-    tables = build_tables(subject, grids, config, reference=reference, levels=levels)
+        both = cut_lineage((candidate if candidate_cases is None else candidate_cases).select("case_id").distinct())
+        candidate = candidate if candidate_cases is None else of_cases(candidate, both)
+        subject = candidate.unionByName(of_cases(gt, both, "left_anti"))
+    tables = build_tables(subject, grids, config, reference=reference, levels=levels, stratum=stratum, lower_pct=lower_pct, upper_pct=upper_pct)
     findings = cut_lineage(run_rules(tables, config))
     verdict = verdicts(grids, findings, config)
-    outcome = cut_lineage(metrics.outcomes(verdict, expected, findings))
+    outcome = cut_lineage(metrics.outcomes(verdict, expected, findings, severity_level(positive_severity)))
     by_record = record_modes(grids, tables.features, tables.components, tables.overlaps)
 
     if both is not None:
-        compared = gt.join(both, "case_id", "left_semi")
+        compared = of_cases(gt, both)
         per_label = overlap.dice(candidate, compared, grids, levels)
         gt_features = sequence.curve_offsets(label_features(compared, grids, levels))
         cand_features = sequence.curve_offsets(tables.features).join(both, "case_id", "left_semi")
         match = feature_match(cand_features, gt_features)
-        by_voxel = voxel_modes(overlap.voxel_agreement(candidate, compared))
+        by_voxel = voxel_modes(overlap.voxel_agreement(candidate, compared), grids.join(both, "case_id", "left_semi"))
     else:
         nothing = gt.limit(0)
         per_label = overlap.dice(nothing, nothing, grids, levels)

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from instqc.config import merge_config, rule_enabled
+from instqc.functions.skew import of_cases
 from instqc.operators import components, geometry, inventory, sequence
 from instqc.operators.delta import feature_deltas, label_deltas
 from instqc.operators.intensity import STATISTICS, label_intensity
@@ -94,7 +95,7 @@ def wide_features(
     else:
         wide = wide.drop("eigenvalue_ratio")
     if bright is not None:
-            wide = wide.join(bright.select(*keys, *[bright[s].alias(f"intensity_{s}") for s in STATISTICS]), keys, "left")
+        wide = wide.join(bright.select(*keys, *[bright[s].alias(f"intensity_{s}") for s in STATISTICS]), keys, "left")
     return wide
 
 
@@ -117,7 +118,7 @@ def judge(
     errors = None
     if scan_grids is not None:
         grids, errors = aligned(grids, scan_grids)
-        voxels = voxels.join(errors.select("case_id"), "case_id", "left_anti")
+        voxels = of_cases(voxels, cut_lineage(errors.select("case_id")), "left_anti")
     tables = build_tables(voxels, grids, config, scans, reference, levels, **limits)
     findings = cut_lineage(run_rules(tables, config))
     empty = inventory.check_empty(grids, tables.features, config)

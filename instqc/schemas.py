@@ -100,8 +100,19 @@ def level_group(name: str) -> str | None:
 
 
 def levels(spark: SparkSession, convention: dict[int, str] | None = None) -> DataFrame:
-    """The level dimension (label, level_name, rank, grp): one row per label value."""
+    """The level dimension (label, level_name, rank, grp): one row per label value.
+
+    A convention with a key that is no integer, or with one name (case and
+    outer blanks aside) for two label values, is an error.
+    """
     names = LEVEL_OF_LABEL if convention is None else convention
+    seen: dict[str, int] = {}
+    for value, name in names.items():
+        if isinstance(value, bool) or not isinstance(value, int):
+            raise ValueError(f"label value {value!r} is not an integer")
+        other = seen.setdefault(name.strip().upper(), value)
+        if other != value:
+            raise ValueError(f"level name {name!r} is given to the labels {other} and {value}")
     rank = {name: i for i, name in enumerate(HEAD_TO_TAIL)}
     rows = ", ".join(
         "({}, '{}', {}, {})".format(

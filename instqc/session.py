@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(app: str = "instqc", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and skew handling switched on.
@@ -32,6 +36,22 @@ def build_session(app: str = "instqc", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Python workers import the helpers that run in tasks; with the package
+    shipped they find it whatever their working directory is.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = os.path.realpath(tempfile.mkdtemp())
+    archive = shutil.make_archive(os.path.join(folder, os.path.basename(package)), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read, named by ``spark.checkpoint.dir``.
 

@@ -5,23 +5,40 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from instqc.functions.skew import of_cases
 from instqc.plans.judge import judge
 from instqc.schemas import VOXELS
+from instqc.session import cut_lineage
 
+#: One row per case: how many voxel rows its files hold in all, 0 for an empty map.
+MANIFEST = "case_id string, n_voxels long"
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
-        return None
-    return spark.read.parquet(path)
+
+def arrivals(spark: SparkSession, incoming: str, manifest: str, files_per_batch: int) -> DataFrame:
+    """Stream of (case_id, expected, arrived, files): the state of each case of which something has come.
+
+    Keyed state without expiry: it holds one row per case, adds up the voxel
+    rows of its files and waits for the rest as long as it takes.
+    """
+    def source(schema, path: str) -> DataFrame:
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+    listed = source(MANIFEST, manifest).select(
+        "case_id", F.col("n_voxels").alias("expected"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("file"))
+    voxels = source(VOXELS, incoming).select(
+        "case_id", F.lit(None).cast("long").alias("expected"), F.lit(1).cast("long").alias("n"), F.col("_metadata.file_path").alias("file"))
+    return listed.unionByName(voxels).groupBy("case_id").agg(
+        F.max("expected").alias("expected"), F.sum("n").alias("arrived"), F.collect_set("file").alias("files")
+    )
 
 
 def start_gate(
     spark: SparkSession,
     incoming: str,
+    manifest: str,
     grids: DataFrame,
     out: str,
     checkpoint: str,
@@ -29,30 +46,37 @@ def start_gate(
     files_per_batch: int = 1000,
     once: bool = False,
 ) -> StreamingQuery:
-    """Stream voxel files from ``incoming`` and append verdicts and findings.
+    """Stream voxel files and manifest rows; append verdicts and findings of cases that are complete.
 
-    A case arrives complete in one micro-batch (its files appear together) and
-    needs its ``grids`` row. Each batch writes to its own folder in overwrite
-    mode, so a batch repeated after a failure leaves no duplicates, and a case
-    already judged in an earlier batch is not judged again.
+    The manifest names every case with its number of voxel rows. A case may
+    come in many files and over many batches; it is judged in the batch that
+    brings its last row or its manifest row, whichever is later, from all its
+    files. A case of 0 rows is judged as the empty map it is. Each case is
+    judged once, as its count passes through the expected number once; each
+    batch writes to folders of its own in overwrite mode, so a batch repeated
+    after a failure leaves no duplicates. Rows beyond the expected number show
+    in ``excess`` and are not judged. ``grids`` has a row for every case.
     """
-    source = spark.readStream.schema(VOXELS).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
-
     def judge_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        cases = batch.select("case_id").distinct()
-        earlier = _existing(session, f"{out}/verdicts")
-        if earlier is not None:
-            done = earlier.filter(F.col("batch_id") < batch_id).select("case_id")
-            cases = cases.join(done, "case_id", "left_anti")
-        voxels = batch.join(cases, "case_id", "left_semi").filter("label <> 0")
-        judged = judge(voxels, grids.join(cases, "case_id", "left_semi"), config)
+        changed = cut_lineage(batch.filter("arrived >= expected"))
+        changed.filter("arrived > expected").select("case_id", "expected", "arrived").write.mode("overwrite").parquet(f"{out}/excess/batch_id={batch_id}")
+        ready = changed.filter("arrived = expected")
+        if not ready.take(1):
+            return
+        # Names of the files that hold this batch's cases, and not all that ever came.
+        files = [r["file"] for r in ready.select(F.explode("files").alias("file")).distinct().collect()]
+        cases = ready.select("case_id")
+        read = session.read.schema(VOXELS)
+        voxels = of_cases(read.parquet(*files), cases) if files else session.createDataFrame([], VOXELS)
+        judged = judge(voxels.filter("label <> 0"), grids.join(cases, "case_id", "left_semi"), config)
         judged.findings.write.mode("overwrite").parquet(f"{out}/findings/batch_id={batch_id}")
         judged.verdicts.select("case_id", "overall", "verdict", "n_flag", "n_findings").write.mode(
             "overwrite"
         ).parquet(f"{out}/verdicts/batch_id={batch_id}")
 
-    writer = source.writeStream.foreachBatch(judge_batch).option("checkpointLocation", checkpoint)
+    stream = arrivals(spark, incoming, manifest, files_per_batch)
+    writer = stream.writeStream.outputMode("update").foreachBatch(judge_batch).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from instqc.session import ship
 from suite.oracle import oracle
 from suite.views import Inputs
 
@@ -48,6 +49,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
     return tidy(QUERIES[name].build(Inputs(spark, folder)))
 
 

@@ -66,14 +66,14 @@ VIEWS: dict[str, str] = {
                CASE WHEN min(line) = 7 THEN CAST('NaN' AS DOUBLE)
                     ELSE min(price) / 50 - 130 * (min(cn) % 7) END AS hu
         FROM {v_cells} GROUP BY case_id, x, y, z""",
-    # Candidate map: voxels moved, a level partly renamed, a level lost.
+    # Candidate map: voxels moved, a level partly renamed, a level lost, some maps empty.
     "v_cand": """
         SELECT case_id, min(cn) AS cn, x, y, z, min(label) AS label
         FROM (
           SELECT case_id, cn, x, y,
                  CAST(CASE WHEN (x + y + z) % 7 = 0 THEN (z + 1) % 40 ELSE z END AS INT) AS z,
                  CAST(CASE WHEN label = 22 AND x % 5 = 0 THEN 23 ELSE label END AS INT) AS label
-          FROM {v_voxels} WHERE NOT (label = 20 AND cn % 4 = 1)
+          FROM {v_voxels} WHERE NOT (label = 20 AND cn % 4 = 1) AND cn % 11 <> 5
         ) m GROUP BY case_id, x, y, z""",
     # Several labels at one position.
     "v_multi": """

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from instqc.config import merge_config
 from instqc.operators import metrics, rules, sequence
 from instqc.operators.verdict import verdicts
-from instqc.plans import compare
+from instqc.plans import compare, evaluate
 from instqc.plans.calibrate import Axis, calibrate, calibration_status, grid_of
 from instqc.plans.evaluate import compare_values
 from instqc.schemas import levels
 from instqc.sources import datasets
-from instqc.streaming.gate import start_gate
+from instqc.streaming.gate import MANIFEST, start_gate
 from tests import boxes
 
 FINDING = "case_id string, rule_id string, severity int, reason string, labels array<int>, k1 int, k2 int, k3 string"
@@ -156,16 +156,57 @@ def test_subset_from_csv(spark, tmp_path):
         datasets.ids_from_csv(spark, str(tmp_path / "ids.csv"), "nope")
 
 
-def test_gate_judges_each_case_once(spark, tmp_path):
-    grids = boxes.grids(spark, [(c, boxes.SIZE, (1, 1, 1), "RAS") for c in ("a", "b")])
-    incoming, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
-    first = boxes.voxels(spark, [("a", 20, (2, 8), (2, 8), (2, 8)), ("a", 22, (2, 8), (2, 8), (20, 28))])
-    first.coalesce(1).write.parquet(incoming)
-    start_gate(spark, incoming, grids, out, marks, once=True).awaitTermination()
-    again = first.unionByName(boxes.voxels(spark, [("b", 20, (2, 8), (2, 8), (2, 8))]))
-    again.coalesce(1).write.mode("append").parquet(incoming)
-    start_gate(spark, incoming, grids, out, marks, once=True).awaitTermination()
-    got = sorted((r["case_id"], r["batch_id"], r["verdict"]) for r in spark.read.parquet(f"{out}/verdicts").collect())
-    assert got == [("a", 0, "flagged-for-review"), ("b", 1, "flagged-for-review")]
+def test_gate_waits_for_all_files_of_a_case(spark, tmp_path):
+    """A case over several files and batches is judged once and whole; an empty map gets its verdict."""
+    grids = boxes.grids(spark, [(c, boxes.SIZE, (1, 1, 1), "RAS") for c in ("a", "b", "e")])
+    incoming, manifest, out, marks = (str(tmp_path / n) for n in ("in", "manifest", "out", "marks"))
+    parts = [boxes.voxels(spark, [("a", 20, (2, 8), (2, 8), (2, 8))]), boxes.voxels(spark, [("a", 22, (2, 8), (2, 8), (20, 28))])]
+    total = sum(p.count() for p in parts)
+    spark.createDataFrame([("a", total), ("e", 0)], MANIFEST).coalesce(1).write.parquet(manifest)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(incoming)
+    start = lambda: start_gate(spark, incoming, manifest, grids, out, marks, files_per_batch=1, once=True).awaitTermination()
+    start()
+    late = boxes.voxels(spark, [("b", 20, (2, 8), (2, 8), (2, 8))])
+    late.coalesce(1).write.mode("append").parquet(incoming)
+    start()
+    seen = lambda: {r["case_id"]: r["verdict"] for r in spark.read.parquet(f"{out}/verdicts").collect()}
+    assert seen() == {"a": "flagged-for-review", "e": "fail"}
+    spark.createDataFrame([("b", late.count())], MANIFEST).coalesce(1).write.mode("append").parquet(manifest)
+    start()
+    assert seen() == {"a": "flagged-for-review", "e": "fail", "b": "flagged-for-review"}
+    assert spark.read.parquet(f"{out}/verdicts").count() == 3
     rules_of_a = {r["rule_id"] for r in spark.read.parquet(f"{out}/findings").filter("case_id = 'a'").collect()}
     assert rules_of_a == {"bounds", "coverage"}
+
+
+def test_runs_over_different_cases_are_not_compared(spark):
+    modes = spark.createDataFrame([("a", "x", 1, 0.5), ("a", "y", 1, 0.1), ("b", "x", 1, 0.2), ("c", "y", 1, 0.2), ("c", "x", 2, 0.2)], "run_id string, case_id string, mode int, value double")
+    summary = compare.run_summary(modes)
+    assert summary.filter("run_id = 'b'").count() == 8
+    assert [tuple(r) for r in summary.filter("run_id = 'a' AND mode = 3").select("n_cases", "n_with_value", "mean").collect()] == [(2, 0, None)]
+    side = lambda r: summary.filter(F.col("run_id") == r)
+    assert compare.compare_runs(side("a"), side("c")).count() == 8
+    with pytest.raises(ValueError, match="different cases"):
+        compare.compare_runs(side("a"), side("b"))
+
+
+def test_empty_candidate_is_a_candidate(spark):
+    grids = boxes.grids(spark, [(c, boxes.SIZE, (1, 1, 1), "RAS") for c in ("a", "b", "c")])
+    gt = boxes.voxels(spark, [("a", 20, (2, 8), (2, 8), (2, 8)), ("a", 21, (2, 8), (2, 8), (10, 16)), ("c", 20, (2, 8), (2, 8), (2, 8))])
+    expected = spark.createDataFrame([(c, "pass", [], [], None, None) for c in ("a", "b", "c")],
+        "case_id string, expected_verdict string, expected_rule_ids array<string>, expected_labels array<int>, failure_mode int, failure_mode_name string")
+    listed = spark.createDataFrame([("a",), ("b",)], "case_id string")
+    run = evaluate.evaluate(gt, gt.limit(0), grids, expected, candidate_cases=listed)
+    rows = {(r.case_id, r["mode"]): (r.value, r.detail) for r in run.modes.collect()}
+    assert [rows["a", m][0] for m in (1, 4, 5)] == [0.0, 0.0, 2.0]
+    assert rows["b", 1] == (None, "gt has no foreground voxels") and [rows["b", m][0] for m in (4, 5)] == [0.0, 0.0]
+    assert rows["c", 1] == (None, "mode 1 needs both candidate and gt; at least one is missing")
+    assert rows["c", 4][0] is None and rows["c", 2][0] == 1.0
+
+
+def test_conventions_with_faults(spark):
+    with pytest.raises(ValueError, match="labels 1 and 2"):
+        levels(spark, {1: "C1", 2: " c1"})
+    with pytest.raises(ValueError, match="not an integer"):
+        levels(spark, {"1": "C1"})
