@@ -115,7 +115,7 @@ def attribution(comparison: DataFrame) -> DataFrame:
     reason = F.when(F.col("attributed_mode").isNotNull(), None).when(
         F.col("_scaled") == 0,
         "no metric with a value in both runs has a full swing to scale its change by; excluded_modes lists them",
-    ).otherwise("no scaled metric changed between the runs")
+    ).otherwise("no scaled metric changed between the runs, so nothing moved")
     return out.withColumn("unattributable_reason", reason).drop("_scaled")
 
 
