@@ -10,7 +10,7 @@ from instqc.llm.mixing import mix
 from instqc.llm.near_dedup import drop_near_duplicates
 from instqc.llm.quality import keep_good
 from instqc.llm.sharding import shard
-from instqc.session import cut_lineage
+from instqc.session import cut_lineage, ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents table; each result is written and read again."""
+    ship(spark)
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
