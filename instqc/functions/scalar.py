@@ -37,7 +37,9 @@ def text_template(template: str) -> str:
     """SQL for a text with ``{expression}`` places.
 
     ``{x:g}`` gives six significant digits, ``{x:.2f}`` fixed decimals and
-    ``{x:list}`` the bracketed items of an array.
+    ``{x:counts}`` the bracketed sizes of an array of (size, n): a size that
+    occurs once or twice is written so often, others once with their number,
+    so the text grows with the different sizes alone.
     """
     parts = []
     for i, piece in enumerate(re.split(r"\{([^{}]*)\}", template)):
@@ -48,8 +50,9 @@ def text_template(template: str) -> str:
         expression, _, how = piece.partition(":")
         if how == "g":
             parts.append(general_format(expression))
-        elif how == "list":
-            parts.append(f"concat('[', array_join(CAST({expression} AS ARRAY<STRING>), ', '), ']')")
+        elif how == "counts":
+            one = "IF(s.n <= 2, array_join(array_repeat(string(s.size), int(s.n)), ', '), concat(s.size, ' (', s.n, ' times)'))"
+            parts.append(f"concat('[', array_join(transform({expression}, s -> {one}), ', '), ']')")
         elif how:
             parts.append(f"format_string('%{how}', {expression})")
         else:

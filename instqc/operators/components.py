@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from instqc.functions.quantiles import cumulative, value_counts
@@ -231,7 +231,8 @@ def contract(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if seen[0] == 0:
             return current
         hub_degree = max(100_000, seen[0] // 100_000)
-        current = cut_lineage(_star(_star(current, True, hub_degree), False, hub_degree))
+        # Written between the steps: each reads its edges once, and not the step before again for every use.
+        current = cut_lineage(_star(cut_lineage(_star(current, True, hub_degree)), False, hub_degree))
         now = state(current)
         if now == seen:
             return current
@@ -276,32 +277,48 @@ def ranked_components(comps: DataFrame) -> DataFrame:
     )
 
 
+def component_rows(comps: DataFrame, grids: DataFrame) -> DataFrame:
+    """One row per component: (case_id, label, component, size_rank, size, volume_mm3)."""
+    ranked = ranked_components(comps).join(grids.select("case_id", "sx", "sy", "sz"), "case_id")
+    volume = F.col("size") * (F.col("sx") * F.col("sy") * F.col("sz"))
+    return ranked.select(*NODE, "component", "size_rank", "size", volume.alias("volume_mm3"))
+
+
+def count_of(sizes: str | Column) -> Column:
+    """Number of components in a list of (size, n)."""
+    return F.aggregate(sizes, F.lit(0).cast("long"), lambda t, s: t + s["n"])
+
+
 def summary(comps: DataFrame, grids: DataFrame, min_fragment_voxels: int = 0) -> DataFrame:
     """Component counts, sizes and stray volume per (case, label).
 
-    Sizes are first counted, so only (size, frequency) pairs are gathered.
+    Sizes are counted: each list has an entry (size, n) per different size,
+    largest first, of which a label of V voxels has fewer than sqrt(2 * V). The
+    components one by one are in component_rows.
     """
     counted = comps.groupBy(*NODE, "size").agg(F.count(F.lit(1)).alias("n"))
     grouped = counted.groupBy(*NODE).agg(
         F.sum("n").alias("component_count"),
         F.max("size").alias("largest"),
         F.sum(F.col("size") * F.col("n")).alias("total"),
-        F.sort_array(F.collect_list(F.struct("size", "n")), False).alias("_sizes"),
+        F.sort_array(F.collect_list(F.struct("size", "n")), False).alias("component_sizes"),
     )
-    spread = F.flatten(F.transform("_sizes", lambda s: F.array_repeat(s["size"], s["n"].cast("int"))))
     volume = F.col("sx") * F.col("sy") * F.col("sz")
     largest_fraction = F.col("largest") / F.col("total")
-    df = grouped.join(grids.select("case_id", "sx", "sy", "sz"), "case_id").withColumn(
-        "component_sizes", spread
+    # All but one of the largest.
+    stray = F.filter(
+        F.transform("component_sizes", lambda s, i: F.struct(s["size"].alias("size"), (s["n"] - F.when(i == 0, 1).otherwise(0)).alias("n"))),
+        lambda s: s["n"] > 0,
     )
+    df = grouped.join(grids.select("case_id", "sx", "sy", "sz"), "case_id")
     return df.select(
         *NODE, "component_count", "component_sizes",
-        F.transform("component_sizes", lambda s: s * volume).alias("component_volumes_mm3"),
+        F.transform("component_sizes", lambda s: F.struct((s["size"] * volume).alias("volume_mm3"), s["n"].alias("n"))).alias("component_volumes_mm3"),
         largest_fraction.alias("largest_component_fraction"),
         largest_fraction.alias("fragmentation_index"),
-        F.filter("component_sizes", lambda s: s < min_fragment_voxels).alias("small_fragments"),
+        F.filter("component_sizes", lambda s: s["size"] < min_fragment_voxels).alias("small_fragments"),
         (F.col("component_count") - 1).alias("stray_component_count"),
-        F.slice("component_sizes", 2, F.greatest(F.size("component_sizes"), F.lit(1))).alias("stray_component_sizes"),
+        stray.alias("stray_component_sizes"),
         ((F.col("total") - F.col("largest")) * volume).alias("stray_volume_mm3"),
         (1.0 - largest_fraction).alias("stray_volume_fraction"),
     )

@@ -34,14 +34,19 @@ def canonical_position(rank: str = "rank"):
 
 
 def summarise(voxels: DataFrame, levels: DataFrame) -> DataFrame:
-    """Inventory with names: recognised labels head to tail, then unknown ones."""
+    """Inventory with names, and the position by which head_to_tail sorts it."""
     named = with_levels(inventory(voxels), levels)
     recognised = F.col("level_name") != UNKNOWN
     return named.select(
         "case_id", "label", "level_name", "voxel_count",
         recognised.alias("recognised"),
         canonical_position().alias("position"),
-    ).orderBy("case_id", F.desc("recognised"), "position", "level_name", "label")
+    )
+
+
+def head_to_tail(summary: DataFrame) -> DataFrame:
+    """The summary in order, for a sink: recognised labels head to tail, then unknown ones."""
+    return summary.orderBy("case_id", F.desc("recognised"), "position", "level_name", "label")
 
 
 def name_clashes(levels: DataFrame) -> DataFrame:

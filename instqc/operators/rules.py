@@ -241,7 +241,7 @@ def fragmentation(tables: Tables, params: dict[str, Any]) -> DataFrame | None:
     df = fragment_table(tables, params)
     lo, hi = params.get("reference_lower_pct", 1), params.get("reference_upper_pct", 99)
     floor = f"coalesce(ref_index, {float(params['fragmentation_index_threshold'])!r}D)"
-    counted = "component_count={component_count}, component_sizes={component_sizes:list}"
+    counted = "component_count={component_count}, component_sizes={component_sizes:counts}"
     split = findings(
         df.filter(f"fragmentation_index < {floor}"), "fragmentation", params,
         "Fragmentation: Label {label}{IF(ref_index IS NULL, '', concat(' (', level_name, ')'))}: "
@@ -252,15 +252,15 @@ def fragmentation(tables: Tables, params: dict[str, Any]) -> DataFrame | None:
     excess = findings(
         df.filter("component_count > ref_count"), "fragmentation", params,
         "Rogue island(s): Label {label} ({level_name}): component_count={component_count} exceeds reference maximum "
-        f"{{ref_count:g}} (p{hi}) for level {{level_name}}. component_sizes={{component_sizes:list}}, "
+        f"{{ref_count:g}} (p{hi}) for level {{level_name}}. component_sizes={{component_sizes:counts}}, "
         "fragmentation_index={fragmentation_index}", k2="1",
     )
     smallest = int(params["island_min_voxels"])
-    tiny = df.filter("ref_count IS NULL").selectExpr("*", f"filter(stray_component_sizes, s -> s < {smallest}) AS tiny")
+    tiny = df.filter("ref_count IS NULL").selectExpr("*", f"filter(stray_component_sizes, s -> s.size < {smallest}) AS tiny")
     islands = findings(
         tiny.filter("size(tiny) > 0"), "fragmentation", params,
-        f"Rogue island(s): Label {{label}}: {{size(tiny)}} non-dominant component(s) strictly below "
-        f"island_min_voxels={smallest}. Tiny island sizes: {{tiny:list}}. {counted}, "
+        f"Rogue island(s): Label {{label}}: {{aggregate(tiny, 0L, (t, s) -> t + s.n)}} non-dominant component(s) strictly below "
+        f"island_min_voxels={smallest}. Tiny island sizes: {{tiny:counts}}. {counted}, "
         "fragmentation_index={fragmentation_index}", k2="1",
     )
     return split.unionByName(excess).unionByName(islands)

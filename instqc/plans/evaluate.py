@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from instqc.config import merge_config
 from instqc.functions.skew import of_cases
 from instqc.operators import metrics, overlap, sequence
+from instqc.operators.components import count_of
 from instqc.operators.geometry import label_features
 from instqc.operators.inventory import canonical_position
 from instqc.operators.reference import ALL
@@ -110,8 +111,8 @@ def record_modes(
 
     Cases without labels have no value for any of them but mode 8.
     """
-    rogue = F.size(F.filter(
-        "stray_component_sizes", lambda s: s < F.lit(island_size_ratio) * F.element_at("component_sizes", 1)
+    rogue = count_of(F.filter(
+        "stray_component_sizes", lambda s: s["size"] < F.lit(island_size_ratio) * F.element_at("component_sizes", 1)["size"]
     ))
     from_parts = parts.groupBy("case_id").agg(F.min("fragmentation_index").alias("m2"), F.max(rogue).alias("m3"))
     clipped = face_contacts(features).groupBy("case_id").agg(F.count_if(~F.col("expected")).alias("m6"))

@@ -97,7 +97,8 @@ CTES: dict[str, str] = {
     "o_frag@": """
         SELECT case_id, label, count(*) AS component_count, max(size) AS largest, CAST(sum(size) AS BIGINT) AS total,
                CAST(max(size) AS DOUBLE) / CAST(sum(size) AS DOUBLE) AS fragmentation_index,
-               list(size ORDER BY size DESC) AS component_sizes, list(size ORDER BY size DESC)[2:] AS stray_sizes
+               list(size ORDER BY size DESC) AS component_sizes, list(size ORDER BY size DESC)[2:] AS stray_sizes,
+               list_sort([{'size': u, 'n': len([v FOR v IN list(size) IF v = u])} FOR u IN list_distinct(list(size))], 'DESC') AS counts
         FROM o_comp@ GROUP BY case_id, label""",
     "o_span@": """
         SELECT case_id, min(rank) AS superior_rank, max(rank) AS inferior_rank, arg_min(level_name, rank) AS superior_end_level,
@@ -186,13 +187,14 @@ CTES: dict[str, str] = {
     "f_fragmentation@": """
         SELECT case_id, 'fragmentation' AS rule_id, 1 AS severity, [label] AS labels,
                'Fragmentation: Label ' || label || ': fragmentation_index=' || printf('%.6g', fragmentation_index) || ' is strictly below threshold 0.75. component_count='
-               || component_count || ', component_sizes=[' || array_to_string(component_sizes, ', ') || ']' AS reason
+               || component_count || ', component_sizes=[' || array_to_string([CASE WHEN s.n = 1 THEN CAST(s.size AS VARCHAR) WHEN s.n = 2 THEN s.size || ', ' || s.size ELSE s.size || ' (' || s.n || ' times)' END FOR s IN counts], ', ') || ']' AS reason
         FROM o_frag@ WHERE fragmentation_index < 0.75
         UNION ALL
         SELECT case_id, 'fragmentation', 1, [label],
-               'Rogue island(s): Label ' || label || ': ' || len(tiny) || ' non-dominant component(s) strictly below island_min_voxels=50. Tiny island sizes: [' || array_to_string(tiny, ', ')
-               || ']. component_count=' || component_count || ', component_sizes=[' || array_to_string(component_sizes, ', ') || '], fragmentation_index=' || fragmentation_index
-        FROM (SELECT *, [s FOR s IN stray_sizes IF s < 50] AS tiny FROM o_frag@) q WHERE len(tiny) > 0""",
+               'Rogue island(s): Label ' || label || ': ' || len(tiny) || ' non-dominant component(s) strictly below island_min_voxels=50. Tiny island sizes: [' || array_to_string([CASE WHEN s.n = 1 THEN CAST(s.size AS VARCHAR) WHEN s.n = 2 THEN s.size || ', ' || s.size ELSE s.size || ' (' || s.n || ' times)' END FOR s IN few], ', ')
+               || ']. component_count=' || component_count || ', component_sizes=[' || array_to_string([CASE WHEN s.n = 1 THEN CAST(s.size AS VARCHAR) WHEN s.n = 2 THEN s.size || ', ' || s.size ELSE s.size || ' (' || s.n || ' times)' END FOR s IN counts], ', ') || '], fragmentation_index=' || fragmentation_index
+        FROM (SELECT *, list_sort([{'size': u, 'n': len([v FOR v IN tiny IF v = u])} FOR u IN list_distinct(tiny)], 'DESC') AS few
+              FROM (SELECT *, [s FOR s IN stray_sizes IF s < 50] AS tiny FROM o_frag@) p) q WHERE len(tiny) > 0""",
     "o_findings@": """
         SELECT * FROM f_border@ UNION ALL SELECT * FROM f_bounds@ UNION ALL SELECT * FROM f_coverage@ UNION ALL SELECT * FROM f_fragmentation@
         UNION ALL SELECT * FROM f_mislabel@ UNION ALL SELECT * FROM f_overlap@ UNION ALL SELECT * FROM f_sequence@""",

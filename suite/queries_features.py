@@ -325,13 +325,27 @@ def parts(i, source=None):
     return components.summary(components.components(i.voxels if source is None else source), i.grids, 10)
 
 
-@query("agg8", """
-    SELECT f.case_id, f.label, component_count, array_to_string(component_sizes, ',') AS component_sizes, fragmentation_index AS largest_component_fraction,
-           array_to_string([s FOR s IN component_sizes IF s < 10], ',') AS small_fragments, component_count - 1 AS stray_component_count,
-           array_to_string(stray_sizes, ',') AS stray_component_sizes, (total - largest) * sx * sy * sz AS stray_volume_mm3, 1 - fragmentation_index AS stray_volume_fraction
-    FROM o_frag f JOIN v_grids USING (case_id)""", "largest_component_fraction stray_volume_mm3 stray_volume_fraction")
+def count_text(sizes, what="size"):
+    return F.array_join(F.transform(sizes, lambda s: F.concat(s[what].cast("string"), F.lit("x"), s["n"].cast("string"))), ",")
+
+
+COUNTS = "array_to_string([s.size || 'x' || s.n FOR s IN {}], ',')"
+COUNTED = "list_sort([{{'size': u, 'n': len([v FOR v IN {0} IF v = u])}} FOR u IN list_distinct({0})], 'DESC')"
+
+
+@query("agg8", f"""
+    SELECT case_id, label, component_count, {COUNTS.format("counts")} AS component_sizes, fragmentation_index AS largest_component_fraction,
+           {COUNTS.format("[s FOR s IN counts IF s.size < 10]")} AS small_fragments, component_count - 1 AS stray_component_count,
+           {COUNTS.format("stray")} AS stray_component_sizes, (total - largest) * sx * sy * sz AS stray_volume_mm3, 1 - fragmentation_index AS stray_volume_fraction,
+           counts[1].size * (sx * sy * sz) AS largest_volume_mm3, CAST(list_sum([s.n FOR s IN counts]) AS BIGINT) AS n_volumes
+    FROM (SELECT f.*, {COUNTED.format("stray_sizes")} AS stray FROM o_frag f) q JOIN v_grids USING (case_id)""",
+       "largest_component_fraction stray_volume_mm3 stray_volume_fraction largest_volume_mm3")
 def agg8(i):
-    return parts(i).drop("component_volumes_mm3", "fragmentation_index")
+    volumes = F.col("component_volumes_mm3")
+    return parts(i).select(
+        "case_id", "label", "component_count", "largest_component_fraction", "stray_component_count", "stray_volume_mm3", "stray_volume_fraction",
+        *[count_text(c).alias(c) for c in ("component_sizes", "small_fragments", "stray_component_sizes")],
+        F.element_at(volumes, 1)["volume_mm3"].alias("largest_volume_mm3"), components.count_of(volumes).alias("n_volumes"))
 
 
 @query("agg9", "SELECT case_id, label, fragmentation_index FROM o_frag", "fragmentation_index")

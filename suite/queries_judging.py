@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from instqc.config import DEFAULT_CONFIG, merge_config, rule_params
-from instqc.operators import metrics, overlap, reference, rules, sequence, verdict
+from instqc.operators import components, metrics, overlap, reference, rules, sequence, verdict
 from instqc.operators.delta import label_deltas
 from instqc.operators.intensity import label_intensity
 from instqc.operators.inventory import inventory
@@ -485,9 +485,10 @@ def srt1(i):
     return summarise(i.voxels, levels(i.spark)).withColumn("place", F.row_number().over(order))
 
 
-@query("srt2", "SELECT case_id, label, array_to_string(component_sizes, ',') AS component_sizes FROM o_frag")
+@query("srt2", """SELECT case_id, label, row_number() OVER (PARTITION BY case_id, label ORDER BY size DESC) AS size_rank, size, size * (sx * sy * sz) AS volume_mm3
+    FROM o_comp JOIN v_grids USING (case_id)""", "volume_mm3")
 def srt2(i):
-    return parts(i).select("case_id", "label", "component_sizes")
+    return components.component_rows(components.components(i.voxels), i.grids).drop("component")
 
 
 @query("win11", """

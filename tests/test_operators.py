@@ -132,8 +132,8 @@ def test_component_summary(spark):
     voxels = boxes.voxels(spark, [("a", 1, (0, 3), (0, 3), (0, 3)), ("a", 1, (6, 7), (6, 7), (6, 7))])
     grids = boxes.grids(spark, [("a", (9, 9, 9), (1, 1, 2), "RAS")])
     r = components.summary(components.components(voxels), grids, 5).first()
-    assert r["component_sizes"] == [27, 1] and r["small_fragments"] == [1] and r["stray_component_sizes"] == [1]
-    assert r["component_volumes_mm3"] == [54.0, 2.0] and r["stray_volume_mm3"] == 2.0
+    assert r["component_sizes"] == [(27, 1), (1, 1)] and r["small_fragments"] == [(1, 1)] and r["stray_component_sizes"] == [(1, 1)]
+    assert r["component_volumes_mm3"] == [(54.0, 1), (2.0, 1)] and r["stray_volume_mm3"] == 2.0
     assert r["largest_component_fraction"] == 27 / 28
 
 
