@@ -33,7 +33,7 @@ def targets(sizes: DataFrame, total_share: float = 1.5, most: float = 2.0) -> Da
     budget = F.sum("source_size").over(everything) * F.lit(total_share)
     level = (budget - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
     # The first source that does not fill up sets the level for itself and all that follow.
-    open_level = F.min(F.when(F.col("weight") * F.col("_level") < F.col("_cap"), F.col("_level"))).over(
+    open_level = F.first(F.when(F.col("weight") * F.col("_level") < F.col("_cap"), F.col("_level")), ignorenulls=True).over(
         filling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (

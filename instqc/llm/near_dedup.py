@@ -30,7 +30,7 @@ class WordHashes(dict):
     """Hash of each word seen; emptied when large, so memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 #: Votes of a labeller.
 JUNK, GOOD, ABSTAIN = "0", "1", "-"
 #: About so many documents, drawn by hash, train the scorer; the bound does not grow with the corpus.
-SAMPLE = 8192
+SAMPLE = 4096
 #: Hashed features.
 DIMENSIONS = 1024
 #: Documents that score less are rejected.
@@ -167,7 +167,7 @@ class Slots(dict):
     """Feature number of the shape of each word seen: letter runs as A, a or Aa, digits as 9, marks as they are."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         shape = _RUN.sub(r"\1", word.translate(SHAPES))
         value = self[word] = xxhash.xxh3_64_intdigest(shape[:8].encode("utf-8", "surrogatepass")) % DIMENSIONS
@@ -260,7 +260,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     rows = drawn.select(vote_column()("text").alias("votes"), vector("text").alias("x"), F.xxhash64("doc_id", "text").alias("h")).toPandas().sort_values("h")
     if not len(rows):
         return model, Scorer(np.zeros(DIMENSIONS), 0.0)
-    return model, fit_scorer(np.stack(rows.x).astype(float), rows.votes.map(model.posterior).to_numpy())
+    return model, fit_scorer(np.stack(rows.x), rows.votes.map(model.posterior).to_numpy())
 
 
 def quality_report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -22,7 +22,7 @@ WITH d AS (
             / sum(weight) OVER (ORDER BY source_size * CAST(2 AS DOUBLE) / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv
   FROM w
 ), g AS (
-  SELECT *, min(CASE WHEN weight * lv < source_size * CAST(2 AS DOUBLE) THEN lv END)
+  SELECT *, first_value(CASE WHEN weight * lv < source_size * CAST(2 AS DOUBLE) THEN lv END IGNORE NULLS)
             OVER (ORDER BY source_size * CAST(2 AS DOUBLE) / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open
   FROM f
 ), t AS (

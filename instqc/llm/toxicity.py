@@ -138,7 +138,7 @@ class Saved(dict):
         self.toxic, self.ordinary = model.compressors()
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         text = window(word)
         value = self[word] = len(self.ordinary.compress(text)) - len(self.toxic.compress(text))
