@@ -63,10 +63,10 @@ LEVEL_OF_LABEL = {
 
 # Head-to-tail order of the levels.
 HEAD_TO_TAIL = (
-    "C1 C2 C3 C4 C5 C6 C7 "
-    "T1 T2 T3 T4 T5 T6 T7 T8 T9 T10 T11 T12 T13 "
-    "L1 L2 L3 L4 L5 L6 S1 S2 S3 S4 S5 S6 Cocc"
-).split()
+    "C1", "C2", "C3", "C4", "C5", "C6", "C7",
+    "T1", "T2", "T3", "T4", "T5", "T6", "T7", "T8", "T9", "T10", "T11", "T12", "T13",
+    "L1", "L2", "L3", "L4", "L5", "L6", "S1", "S2", "S3", "S4", "S5", "S6", "Cocc",
+)
 
 # Level groups that carry size bounds.
 LEVEL_GROUPS = {"C": "cervical", "T": "thoracic", "L": "lumbar"}

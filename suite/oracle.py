@@ -6,13 +6,10 @@ o_featC over v_cand and o_featM over v_multi.
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import product
 
-from instqc.config import SIZE_BOUNDS
-from instqc.operators.edt import gaussian_kernel
-from instqc.operators.metrics import FAILURE_MODES, MODE_METRICS
-from instqc.plans.calibrate import DEFAULT_AXES, grid_of
-from instqc.schemas import AXIS_FACES, FACES, HEAD_TO_TAIL, LEVEL_OF_LABEL, level_group
 from suite.views import VIEWS
 
 SOURCES = {"": "v_voxels", "C": "v_cand", "M": "v_multi"}
@@ -25,17 +22,57 @@ def _values(rows, names: str) -> str:
     return f"SELECT * FROM (VALUES {body}) t({names})"
 
 
-_RANK = {name: i for i, name in enumerate(HEAD_TO_TAIL)}
-_BOUND_ROWS = [
-    (grp, i, feature, name, b[f"min_{stem}"], b[f"max_{stem}"])
-    for grp, b in SIZE_BOUNDS.items()
-    for i, (feature, stem, name) in enumerate((
-        ("physical_volume_mm3", "volume_mm3", "volume (mm3)"),
-        ("extent_x_mm", "extent_x_mm", "extent_x (mm)"),
-        ("extent_y_mm", "extent_y_mm", "extent_y (mm)"),
-        ("extent_z_mm", "extent_z_mm", "extent_z (mm)"),
-    ))
-]
+# Fixed values, written here and not taken from the library, so that a wrong
+# constant there shows.
+LEVEL_NAMES = (
+    "C1", "C2", "C3", "C4", "C5", "C6", "C7", "T1", "T2", "T3", "T4", "T5", "T6", "T7", "T8", "T9", "T10", "T11", "T12",
+    "L1", "L2", "L3", "L4", "L5", "L6", "S1", "Cocc", "T13", "S2", "S3", "S4", "S5", "S6",
+)
+ORDER = (
+    "C1", "C2", "C3", "C4", "C5", "C6", "C7", "T1", "T2", "T3", "T4", "T5", "T6", "T7", "T8", "T9", "T10", "T11", "T12", "T13",
+    "L1", "L2", "L3", "L4", "L5", "L6", "S1", "S2", "S3", "S4", "S5", "S6", "Cocc",
+)
+GROUPS = {"C": "cervical", "T": "thoracic", "L": "lumbar"}
+FACES = ("superior", "inferior", "left", "right", "anterior", "posterior")
+AXIS_FACES = {
+    "R": ("left", "right"), "L": ("right", "left"), "A": ("posterior", "anterior"), "P": ("anterior", "posterior"),
+    "S": ("inferior", "superior"), "I": ("superior", "inferior"),
+}
+# Group, then lower and upper bound of volume and of the three extents.
+BOUNDS = {
+    "cervical": ((3000.0, 35000.0), (10.0, 80.0), (10.0, 80.0), (5.0, 60.0)),
+    "thoracic": ((5000.0, 70000.0), (15.0, 100.0), (15.0, 100.0), (8.0, 80.0)),
+    "lumbar": ((8000.0, 120000.0), (20.0, 120.0), (20.0, 120.0), (15.0, 100.0)),
+}
+BOUNDED = (
+    ("physical_volume_mm3", "volume (mm3)"), ("extent_x_mm", "extent_x (mm)"), ("extent_y_mm", "extent_y (mm)"), ("extent_z_mm", "extent_z (mm)"),
+)
+# Mode, its name, metric, direction, baseline and full swing.
+MODES = (
+    (1, "label not aligned with the vertebra it names", "unanchored_foreground_fraction", "increases", 0.0, 1.0),
+    (2, "over-/under-segmentation (fused / fragmented)", "min_dominant_component_fraction", "decreases", 1.0, 1.0),
+    (3, "disconnected components / rogue islands", "rogue_island_count", "increases", 0.0, None),
+    (4, "semantic mislabelling (wrong identification)", "mislabelled_volume_fraction", "increases", 0.0, 1.0),
+    (5, "not all vertebrae segmented (missing levels)", "missing_level_count", "increases", 0.0, None),
+    (6, "partial vertebra at the image border", "fov_clipped_label_count", "increases", 0.0, None),
+    (7, "non-continuous label sequence", "out_of_order_label_count", "increases", 0.0, None),
+    (8, "overlapping segments", "overlapping_voxel_count", "increases", 0.0, None),
+)
+TRIAL_AXES = ((2.5, 3.0, 3.5, 4.0, 4.5), (2.0, 2.5, 3.0, 3.5, 4.0), (90000.0, 105000.0, 120000.0, 135000.0, 150000.0))
+
+
+def _group(name: str) -> str | None:
+    return GROUPS.get(name[0]) if name[1:].isdigit() else None
+
+
+def _kernel() -> list[tuple[int, float]]:
+    """Gaussian of deviation 1, cut off at 4."""
+    weights = [math.exp(-k * k / 2) for k in range(-4, 5)]
+    return [(k - 4, w / sum(weights)) for k, w in enumerate(weights)]
+
+
+_LEVEL_ROWS = [(i + 1, n, ORDER.index(n), _group(n)) for i, n in enumerate(LEVEL_NAMES)]
+_BOUND_ROWS = [(g, i, *BOUNDED[i], lo, hi) for g, rows in BOUNDS.items() for i, (lo, hi) in enumerate(rows)]
 _AXES = ("x", "y", "z")
 
 
@@ -45,17 +82,15 @@ def _touch(face: str) -> str:
 
 
 def _grid_rows():
-    return [
-        (g, *[a.values[j] for a, j in zip(DEFAULT_AXES, at)]) for g, at in enumerate(grid_of(DEFAULT_AXES))
-    ]
+    return [(g, *values) for g, values in enumerate(product(*TRIAL_AXES))]
 
 
 CTES: dict[str, str] = {
-    "o_levels": _values([(l, n, _RANK[n], level_group(n)) for l, n in LEVEL_OF_LABEL.items()], "label, level_name, rank, grp"),
+    "o_levels": _values(_LEVEL_ROWS, "label, level_name, rank, grp"),
     "o_axis": _values([(c, lo, hi) for c, (lo, hi) in AXIS_FACES.items()], "code, low, high"),
     "o_bound": _values(_BOUND_ROWS, "grp, k2, feature, name, hand_lo, hand_hi"),
-    "o_mode": _values([(m, FAILURE_MODES[m], *MODE_METRICS[m]) for m in MODE_METRICS], "mode, mode_name, metric, direction, baseline, scale"),
-    "o_kernel": _values([(k - 4, w) for k, w in enumerate(gaussian_kernel())], "k, w"),
+    "o_mode": _values(MODES, "mode, mode_name, metric, direction, baseline, scale"),
+    "o_kernel": _values(_kernel(), "k, w"),
     "o_faces": """
         SELECT g.*, ax.low AS x_low, ax.high AS x_high, ay.low AS y_low, ay.high AS y_high, az.low AS z_low, az.high AS z_high,
                CASE WHEN ax.low IN ('superior','inferior') THEN 'x' WHEN ay.low IN ('superior','inferior') THEN 'y' ELSE 'z' END AS stacking_axis
