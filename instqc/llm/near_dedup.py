@@ -21,6 +21,8 @@ from instqc.session import cut_lineage
 BINS, ROWS = 128, 4
 #: Buckets with at most so many classes have all that the star left apart compared; larger ones get more centres.
 SMALL_BUCKET = 64
+#: Further centres of a larger bucket in each round.
+CENTRES = 8
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -150,7 +152,9 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets meet the similarity threshold."""
+    """The pairs (u, v) whose full sets meet the similarity threshold; only sets of these pairs are shuffled."""
+    ends = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key")))
+    sets = only_keys(sets, ends, ["key"])
     left = sets.select(F.col("key").alias("u"), F.col("items").alias("_a"))
     right = sets.select(F.col("key").alias("v"), F.col("items").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
@@ -160,13 +164,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def centre_pairs(placed: DataFrame, number: int) -> DataFrame:
-    """Members of each bucket that are not connected with its centre, paired with it: (u, n, v, m)."""
-    draw = F.lit(0).cast("long") if number == 0 else F.xxhash64("key", F.lit(number))
-    order = F.struct(draw.alias("_o"), F.col("key"), F.col("root"), F.col("n"))
-    centre = placed.groupBy("bucket").agg(F.min(order).alias("_c"))
-    centre = centre.select("bucket", F.col("_c.key").alias("v"), F.col("_c.root").alias("_root"), F.col("_c.n").alias("m"))
-    return placed.join(centre, "bucket").filter("root <> _root").select(F.col("key").alias("u"), "n", "v", "m")
+def centre_pairs(placed: DataFrame, draws: range) -> DataFrame:
+    """Members of each bucket paired with the centres that they are not connected with: (u, n, v, m).
+
+    One centre per draw: draw 0 takes the least key, others the least hash of key and draw.
+    """
+    def centre(number: int):
+        draw = F.lit(0).cast("long") if number == 0 else F.xxhash64("key", F.lit(number))
+        return F.min(F.struct(draw.alias("_o"), F.col("key"), F.col("root"), F.col("n"))).alias(f"_c{number}")
+
+    centres = placed.groupBy("bucket").agg(*map(centre, draws)).select("bucket", F.explode(F.array(*(f"_c{i}" for i in draws))).alias("_c"))
+    centres = centres.select("bucket", F.col("_c.key").alias("v"), F.col("_c.root").alias("_root"), F.col("_c.n").alias("m"))
+    return placed.join(centres, "bucket").filter("root <> _root").select(F.col("key").alias("u"), "n", "v", "m")
 
 
 def small_pairs(placed: DataFrame) -> DataFrame:
@@ -183,7 +192,7 @@ def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     so pairs are as many as rows, however large a bucket is. A class may be
     like another member and not like the centre. So buckets whose classes are
     not all connected then come up again: small ones with every pair that is
-    still apart, large ones with one new centre after another, until a round
+    still apart, large ones with CENTRES new centres a round, until a round
     finds no new link.
     """
     label = cut_lineage(members.select(F.col("key").alias("node"), F.col("key").alias("root")).distinct())
@@ -195,9 +204,10 @@ def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             apart = placed.groupBy("bucket").agg(F.count("*").alias("_size"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
             placed = cut_lineage(placed.join(apart.filter("_lo <> _hi").select("bucket", "_size"), "bucket"))
         if number == 0:
-            pairs = centre_pairs(placed, 0)
+            pairs = centre_pairs(placed, range(1))
         else:
-            pairs = centre_pairs(placed.filter(F.col("_size") > SMALL_BUCKET), number)
+            first = 1 + (number - 1) * CENTRES
+            pairs = centre_pairs(placed.filter(F.col("_size") > SMALL_BUCKET), range(first, first + CENTRES))
             if number == 1:
                 pairs = pairs.unionByName(small_pairs(placed.filter(F.col("_size") <= SMALL_BUCKET)))
         fitting = pairs.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
