@@ -19,10 +19,10 @@ from instqc.session import cut_lineage
 
 #: Bins of the one permutation, and rows per band: 32 bands of 4.
 BINS, ROWS = 128, 4
-#: Buckets with at most so many classes have all that the star left apart compared; larger ones get more centres.
+#: Buckets with at most so many classes have all that the star left apart compared; larger ones get one more centre and a prefix join.
 SMALL_BUCKET = 64
-#: Further centres of a larger bucket in each round; with eight, rounds on 0.5 GB went on for over 550 jobs.
-CENTRES = 1
+#: Counters of shingles, by their lowest bits, that give the prefix join its order.
+SLOTS = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -184,6 +184,70 @@ def small_pairs(placed: DataFrame) -> DataFrame:
     return placed.join(other, "bucket").filter((F.col("key") > F.col("v")) & (F.col("root") != F.col("_root"))).select(F.col("key").alias("u"), "n", "v", "m")
 
 
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many items fall into each slot; added up per task, so at most SLOTS rows of each are shuffled."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    found = sets.select("items").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def prefix_rows(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(token, at, key, root, n, short): the first items of each set, rarest first.
+
+    A set that fits another shares with it one of its first n - need + 1
+    items, need being the least possible intersection. With a set no smaller
+    than itself need is greater, and the items marked ``short`` are enough.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, places, picks, short = [], [], [], []
+            for i, items in enumerate(batch.column(2)):
+                items = items.values.to_numpy()
+                n = len(items)
+                first = items[np.lexsort((items, counts[items & (SLOTS - 1)]))][: n + 1 + -percent * n // 100]
+                tokens.append(first)
+                places.append(np.arange(len(first)))
+                picks.append(np.full(len(first), i))
+                short.append(places[-1] < n + 1 + -2 * percent * n // (100 + percent))
+            if not tokens:
+                continue
+            picks = pa.array(np.concatenate(picks))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), *(batch.column(i).take(picks) for i in (0, 1, 3)), pa.array(np.concatenate(short))],
+                names=["token", "at", "key", "root", "n", "short"],
+            )
+
+    rows = sets.select("key", "root", "items", F.size("items").cast("long").alias("n"))
+    return rows.mapInArrow(work, "token long, at long, key binary, root binary, n long, short boolean")
+
+
+def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes in ``placed`` that are apart and may fit: (u, n, v, m).
+
+    An exact prefix join of their full sets with size and positional filters.
+    Its order is by counts of slots, which several shingles may share; any
+    order is right, and the rarer the first items are, the fewer the pairs.
+    """
+    apart = placed.select("key", "root").distinct()
+    chosen = cut_lineage(only_keys(sets, apart, ["key"]).join(apart, "key"))
+    rows = cut_lineage(prefix_rows(chosen, slot_counts(chosen), percent))
+    index = rows.filter("short").select("token", F.col("at").alias("_at"), F.col("key").alias("v"), F.col("root").alias("_root"), F.col("n").alias("m"))
+    pairs = rows.join(index, "token").filter("root <> _root AND (n > m OR n = m AND key > v)").filter(100 * F.col("m") >= percent * F.col("n"))
+    # Behind the first item shared there must be enough left of both.
+    pairs = pairs.filter((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("_at")) >= percent * (F.col("n") + F.col("m")))
+    return pairs.select(F.col("key").alias("u"), "n", "v", "m")
+
+
 def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components of the classes in shared buckets by confirmed links: (node, root).
 
@@ -192,43 +256,41 @@ def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     so pairs are as many as rows, however large a bucket is. A class may be
     like another member and not like the centre. So buckets whose classes are
     not all connected then come up again: small ones with every pair that is
-    still apart, large ones with CENTRES new centre a round, until a round
-    finds no new link.
+    still apart, large ones with one more centre and, where that leaves
+    classes apart, with an exact prefix join of these. After it every pair of
+    a bucket that fits is connected.
     """
     label = cut_lineage(members.select(F.col("key").alias("node"), F.col("key").alias("root")).distinct())
     links = tried = None
-    number = 0
-    while True:
+    for step in ("star", "small", "rest"):
         placed = members.join(label, members["key"] == label["node"]).drop("node")
-        if number > 0:
-            apart = placed.groupBy("bucket").agg(F.count("*").alias("_size"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-            placed = cut_lineage(placed.join(apart.filter("_lo <> _hi").select("bucket", "_size"), "bucket"))
-        if number == 0:
+        if step == "star":
             pairs = centre_pairs(placed, range(1))
         else:
-            first = 1 + (number - 1) * CENTRES
-            pairs = centre_pairs(placed.filter(F.col("_size") > SMALL_BUCKET), range(first, first + CENTRES))
-            if number == 1:
-                pairs = pairs.unionByName(small_pairs(placed.filter(F.col("_size") <= SMALL_BUCKET)))
+            apart = placed.groupBy("bucket").agg(F.count("*").alias("_size"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+            placed = cut_lineage(placed.join(apart.filter("_lo <> _hi").select("bucket", "_size"), "bucket"))
+            large = placed.filter(F.col("_size") > SMALL_BUCKET)
+            if step == "small":
+                pairs = centre_pairs(large, range(1, 2)).unionByName(small_pairs(placed.filter(F.col("_size") <= SMALL_BUCKET)))
+            elif large.take(1):
+                pairs = prefix_pairs(large, sets, percent)
+            else:
+                break
         fitting = pairs.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         pairs = fitting.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = cut_lineage(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         new = cut_lineage(confirmed(pairs, sets, percent))
         if not new.take(1):
-            if number > 0:
-                return label
-            number += 1
-            tried = pairs
             continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
-        number += 1
         roots = components(links)
         label = cut_lineage(
             label.select("node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"))
         )
+    return label
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -88,6 +88,28 @@ def test_near_against_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_in_one_large_bucket(spark):
+    """Over 64 unlike classes share a bucket: pairs at the threshold are linked also if no centre is like them, and pairs below are not."""
+    rng = random.Random(8)
+    draw = lambda n: [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+    sets, common = [], draw(10)
+    for n in range(90):  # boilerplate that all hold
+        sets.append(common + draw(20 + n % 7))
+    for n in (27, 45, 63):
+        both = common + draw(8 * n // 9 - 10)
+        sets += [both + draw(n - len(both)) for _ in range(2)]
+        sets += [both[1:] + draw(n - len(both) + 1), both[-1:] + draw(n)]
+    made = sorted((near_dedup.set_key(np.sort(np.array(s, np.int64))), sorted(s, key=lambda x: x % 2**64)) for s in sets)
+    members = spark.createDataFrame([(1, k, len(s)) for k, s in made], "bucket long, key binary, n long")
+    got = {bytes(r.node): bytes(r.root) for r in near_dedup.star_components(members, spark.createDataFrame(made, "key binary, items array<long>"), 80).collect()}
+    root = {k: k for k, _ in made}
+    for a, s in made:
+        for b, t in made:
+            if a < b and 100 * len({*s} & {*t}) >= 80 * len({*s} | {*t}):
+                root = {k: min(root[a], root[b]) if r in (root[a], root[b]) else r for k, r in root.items()}
+    assert got == root and len(made) - len(set(root.values())) >= 3
+
+
 def test_drop_near_keeps_columns(spark, odd, empty):
     left = near_dedup.drop_near_duplicates(odd)
     assert left.columns == odd.columns
