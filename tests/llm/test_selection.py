@@ -179,6 +179,18 @@ def test_template_of_a_host(spark):
     assert got[10, None].text == "" and got[10, None].n_chars == 0
 
 
+def test_copies_keep_their_text(spark):
+    """Repeated rows and copies under other urls are no template, with and without an article element, nor do they hide one."""
+    plain = "<html><body><div class='q1'><div>Start</div><div>Shop</div></div><div class='q2'><h2>Head {0}</h2><div>Text {0}.</div></div><div class='q3'>Terms</div></body></html>"
+    marked = "<html><body><main><h1>Head {0}</h1><p>One {0}.</p><p>Two {0}.</p></main></body></html>"
+    rows = [(1, "http://a.example.org/", plain.format(1))] * 4 + [(i, f"http://m.example.org/{i}", marked.format(min(i, 20))) for i in range(18, 60)]
+    rows += [(i, f"http://b.example.org/{i}", f"<!-- {i} -->" + plain.format(min(i, 4))) for i in range(30)]
+    got = {(r.page_id, r.url): r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1, "http://a.example.org/"] == "Start Shop Head 1 Text 1. Terms"
+    assert all(got[i, f"http://m.example.org/{i}"] == "Head {0} One {0}. Two {0}.".format(min(i, 20)) for i in range(18, 60))
+    assert all(got[i, f"http://b.example.org/{i}"] == "Head {0} Text {0}.".format(min(i, 4)) for i in range(30))
+
+
 def test_pages_without_rows(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
