@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from instqc.llm import decontamination, exact_dedup, extraction, licences, lines, mixing, near_dedup, quality, sharding, sql, toxicity
+from instqc.llm import (
+    alignment, decontamination, exact_dedup, extraction, filter_audit, licences, lines, mixing, near_dedup, packing, quality, sharding, sql, toxicity,
+)
 from instqc.llm.common import read_table
 from instqc.llm.registry import query
+from instqc.session import cut_lineage
 
 
 @query("op1_extraction")
@@ -60,6 +65,28 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+@query("op11_packing")
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = alignment.align(
+        read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    stored = cut_lineage(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return alignment.link_scores(stored).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_filter_audit", sql.FILTER_AUDIT)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    failures = filter_audit.document_failures(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+    return filter_audit.audit(failures, "ABCDE")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -134,3 +134,45 @@ SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base,
        CASE WHEN b.n > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(shared, 0) END AS score
 FROM w LEFT JOIN b ON b.r = w.r LEFT JOIN c ON c.r = w.r
 """ % ", ".join(f"('{label}', '{text}')" for label, text in _T)
+
+FILTER_AUDIT = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END AS fails
+  FROM t
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+), k AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k
+), o AS (
+  SELECT a.k || b.k || c.k || d.k || e.k AS filter_order
+  FROM k a JOIN k b ON b.k <> a.k JOIN k c ON c.k NOT IN (a.k, b.k) JOIN k d ON d.k NOT IN (a.k, b.k, c.k) JOIN k e ON e.k NOT IN (a.k, b.k, c.k, d.k)
+), s AS (
+  SELECT filter_order, step, filter_order[step] AS letter, left(filter_order, step - 1) AS earlier FROM o, range(1, 6) r(step)
+), m AS (
+  SELECT part, filter_order, step, letter, n, n_good, n_toxic, contains(fails, letter) AS now,
+         translate(fails, earlier, '') <> fails AS before, fails = letter AS only
+  FROM c, s
+), g AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step, letter,
+         CAST(coalesce(sum(n) FILTER (WHERE NOT now AND NOT before), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (WHERE now AND NOT before), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (WHERE now AND before), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (WHERE only), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n_good) FILTER (WHERE now AND NOT before), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(n_toxic) FILTER (WHERE now AND NOT before), 0) AS BIGINT) AS toxic_lost
+  FROM m GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM g
+"""
