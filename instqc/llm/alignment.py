@@ -13,6 +13,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType
 
 from instqc.llm.arrow import Rows, values
 from instqc.session import cut_lineage
@@ -147,7 +148,7 @@ def align(docs: DataFrame, ranks: str, pattern: str, pieces: str) -> DataFrame:
         names.append(os.path.basename(path))
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = given.select("doc_id").schema
-    for column, kind in (("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("groups", "string"), *((name, "array<int>") for name in PAIR)):
+    for column, kind in (("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("groups", "string"), *((name, ArrayType(IntegerType())) for name in PAIR)):
         schema = schema.add(column, kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

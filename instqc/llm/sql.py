@@ -160,14 +160,14 @@ WITH t AS (
   SELECT filter_order, step, filter_order[step] AS letter, left(filter_order, step - 1) AS earlier FROM o, range(1, 6) r(step)
 ), m AS (
   SELECT part, filter_order, step, letter, n, n_good, n_toxic, contains(fails, letter) AS now,
-         translate(fails, earlier, '') <> fails AS before, fails = letter AS only
+         translate(fails, earlier, '') <> fails AS before, fails = letter AS alone
   FROM c, s
 ), g AS (
   SELECT part, filter_order, CAST(step AS INT) AS step, letter,
          CAST(coalesce(sum(n) FILTER (WHERE NOT now AND NOT before), 0) AS BIGINT) AS kept,
          CAST(coalesce(sum(n) FILTER (WHERE now AND NOT before), 0) AS BIGINT) AS removed,
          CAST(coalesce(sum(n) FILTER (WHERE now AND before), 0) AS BIGINT) AS redundant,
-         CAST(coalesce(sum(n) FILTER (WHERE only), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n) FILTER (WHERE alone), 0) AS BIGINT) AS unique_fails,
          CAST(coalesce(sum(n_good) FILTER (WHERE now AND NOT before), 0) AS BIGINT) AS good_lost,
          CAST(coalesce(sum(n_toxic) FILTER (WHERE now AND NOT before), 0) AS BIGINT) AS toxic_lost
   FROM m GROUP BY ALL

@@ -3,6 +3,7 @@
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -126,13 +127,16 @@ def plain(rows):
             ids_a, ids_b, bytes_a, bytes_b = [], [], [], []
         ends_a = np.cumsum([0, *map(len, bytes_a)])[1:].tolist()
         ends_b = np.cumsum([0, *map(len, bytes_b)])[1:].tolist()
-        common = sorted(set(ends_a) & set(ends_b))
-        groups, before = [], 0
-        for end in common:
-            side = lambda ids, ends: ",".join(str(i) for i, e in zip(ids, ends) if before < e <= end)
-            groups.append(f"{side(ids_a, ends_a)}|{side(ids_b, ends_b)}")
-            before = end
-        mine = [(a, b) for a, e in zip(ids_a, ends_a) for b, f in zip(ids_b[ends_b.index(e):][:1] if e in ends_b else [], [e])]
+        common = set(ends_a) & set(ends_b)
+        inside = lambda end: bisect_left(sorted_common, end)
+        sorted_common = sorted(common)
+        sides = [([], []) for _ in common]
+        for which, (ids, ends) in enumerate(((ids_a, ends_a), (ids_b, ends_b))):
+            for token, end in zip(ids, ends):
+                sides[inside(end)][which].append(str(token))
+        groups = [f"{','.join(x)}|{','.join(y)}" for x, y in sides]
+        last_a, last_b = dict(zip(ends_a, ids_a)), dict(zip(ends_b, ids_b))
+        mine = [(last_a[end], last_b[end]) for end in sorted_common]
         counts.update(mine)
         links.append(mine)
         text_groups = ";".join(groups)
