@@ -4,11 +4,15 @@ Space is cut into tiles of fixed size. Inside a tile, runs of voxels along z
 are labelled by a small vectorised helper; a tile can never hold more than its
 own volume, so no task depends on the size of a case or label. Only components
 that reach a tile face enter the distributed part: an edge table between tile
-components, contracted by alternating large-star and small-star steps.
+components, merged over blocks of twice the edge at each level. What is left
+beyond the largest blocks is contracted by alternating large-star and
+small-star steps.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +24,8 @@ from instqc.session import cut_lineage
 
 TILE = (32, 32, 256)
 BITS = 21  # bits per coordinate in a packed run id
+#: Blocks of tiles are merged in one task up to this edge, in voxels; what crosses larger blocks is contracted by rounds.
+BLOCK = 2048
 NODE = ["case_id", "label"]
 PARTS = (
     "case_id string, label int, rep long, size long, "
@@ -147,7 +153,13 @@ def tile_parts(voxels: DataFrame, tile: tuple[int, int, int] = TILE) -> DataFram
     and the labelling alike.
     """
     key = ["case_id", "_tx", "_ty", "_tz"]
-    tiled = voxels.select(
+
+    def checked(axis: str) -> Column:
+        # Larger ones would run into the bits of the next coordinate and join what does not touch.
+        fits = F.col(axis).between(0, (1 << BITS) - 1)
+        return F.when(fits, F.col(axis)).otherwise(F.raise_error(F.lit(f"coordinate {axis} is outside 0 to {(1 << BITS) - 1}")).cast("int")).alias(axis)
+
+    tiled = voxels.select("case_id", "label", *map(checked, "xyz")).select(
         "case_id", "label", "x", "y", "z",
         *[F.floor(F.col(a) / t).cast("int").alias(f"_t{a}") for a, t in zip("xyz", tile)],
     ).repartition(*key)
@@ -240,13 +252,69 @@ def contract(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
+def _merge_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The edges inside one block of tiles -> every node that is not the smallest of its set, with the smallest."""
+    out = []
+    for label, pairs in pdf.groupby("label", sort=True):
+        nodes, ends = np.unique(pairs[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        root = _roots(len(nodes), ends[:, 0], ends[:, 1])
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        out.append(pd.DataFrame({"label": label, "a": nodes[moved], "b": nodes[root[moved]]}))
+    result = pd.concat(out, ignore_index=True)
+    result.insert(0, "case_id", pdf["case_id"].iloc[0])
+    return result
+
+
+def _renamed(df: DataFrame, stars: DataFrame, column: str) -> DataFrame:
+    """``df`` with the nodes in ``column`` replaced by the smallest of their sets."""
+    new = stars.select(*NODE, F.col("a").alias(column), F.col("b").alias("_new"))
+    return df.join(new, [*NODE, column], "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def contract_blocks(edges: DataFrame, tile: tuple[int, int, int] = TILE, block: int = BLOCK) -> DataFrame:
+    """(case_id, label, a, b): nodes with the smallest node of their set, for edges between parts of tiles.
+
+    Level by level, eight neighbouring blocks become one. The edges inside the
+    new block are merged in one task; those across its faces go up, with their
+    ends replaced by what stands for them. A task sees only the edges across
+    the planes that its block has just swallowed, so its size is bounded by
+    the area of a block's face. Edges across the largest blocks, in grids
+    beyond them, are contracted by rounds. A level is two tables written; one
+    without edges is skipped.
+    """
+    def inside(level: int) -> tuple[list[Column], Column]:
+        mask = (1 << BITS) - 1
+        at = lambda node, axis: F.floor(F.shiftright(node, (2 - axis) * BITS).bitwiseAND(F.lit(mask)) / (tile[axis] << level)).cast("int")
+        return [at("a", k).alias(f"_b{k}") for k in range(3)], reduce(Column.__and__, [at("a", k) == at("b", k) for k in range(3)])
+
+    rest = cut_lineage(edges)
+    stars = None
+    level = 1
+    while rest.take(1) and (min(tile) << level) <= block:
+        keys, here = inside(level)
+        merged = rest.filter(here).select(*NODE, "a", "b", *keys).groupBy("case_id", "_b0", "_b1", "_b2").applyInPandas(
+            lambda pdf: _merge_block(pdf), "case_id string, label int, a long, b long")
+        merged = cut_lineage(merged)
+        if merged.take(1):
+            up = _renamed(_renamed(rest.filter(~here), merged, "a"), merged, "b")
+            rest = cut_lineage(up.filter("a <> b").select(*NODE, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            stars = merged if stars is None else cut_lineage(_renamed(stars, merged, "b").select(*merged.columns).unionByName(merged))
+        level += 1
+    if not rest.take(1):
+        return rest if stars is None else stars
+    last = contract(rest)
+    return last if stars is None else _renamed(stars, last, "b").select(*last.columns).unionByName(last)
+
+
 def components(voxels: DataFrame, tile: tuple[int, int, int] = TILE) -> DataFrame:
     """(case_id, label, component, size): one row per connected component.
 
     ``component`` is the packed position of the component's first run.
+    Coordinates must be in 0 to 2**21 - 1.
     """
     parts = cut_lineage(tile_parts(voxels, tile))
-    stars = contract(part_edges(parts, tile)).withColumnRenamed("a", "rep")
+    stars = contract_blocks(part_edges(parts, tile), tile).withColumnRenamed("a", "rep")
     return (
         parts.filter(F.col("size").isNotNull())
         .select(*NODE, "rep", "size")

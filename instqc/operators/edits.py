@@ -6,7 +6,7 @@ case, so the voxel side is salted against a case that holds much of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from instqc.functions.skew import salted_join
@@ -32,14 +32,17 @@ def shift(voxels: DataFrame, moves: DataFrame, grids: DataFrame) -> DataFrame:
     """
     plan = moves.join(grids.select("case_id", "nx", "ny", "nz"), "case_id")
     tagged = salted_join(voxels, plan, ["case_id", "label"], list(AXES), how="left")
-    moving = tagged.filter(F.col("dx").isNotNull())
+    moving = F.col("dx").isNotNull()
+    inside = F.lit(True)
+    places = []
     for a in AXES:
-        moving = moving.withColumn(a, (F.col(a) + F.col(f"d{a}")).cast("int")).filter(
-            (F.col(a) >= 0) & (F.col(a) < F.col(f"n{a}"))
-        )
-    moved = moving.select(*VOXEL)
-    rest = tagged.filter(F.col("dx").isNull()).select(*VOXEL)
-    return rest.join(moved.select(*POSITION), POSITION, "left_anti").unionByName(moved)
+        new = (F.col(a) + F.coalesce(F.col(f"d{a}"), F.lit(0))).cast("int")
+        inside = inside & (new >= 0) & (new < F.col(f"n{a}"))
+        places.append(new.alias(a))
+    placed = tagged.filter(~moving | inside).select("case_id", *places, "label", moving.alias("_moved"))
+    # Each voxel is read and dealt to its place once; what has moved there stays.
+    taken = F.max("_moved").over(Window.partitionBy(*POSITION))
+    return placed.withColumn("_taken", taken).filter(F.col("_moved") == F.col("_taken")).select(*VOXEL)
 
 
 def displacement(targets: DataFrame, grids: DataFrame, distance_mm: float = 18.0) -> DataFrame:

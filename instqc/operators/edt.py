@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
+from instqc.functions.lines import run_distances, smoothed
 from instqc.functions.skew import salted_join
 from instqc.operators.inventory import with_levels
 from instqc.session import cut_lineage
@@ -23,31 +27,31 @@ RADIUS = 4
 ATLAS_AXIS = ("C1", "C2")
 
 
+def _lines(df: DataFrame, axis: str, value: str) -> tuple[DataFrame, list[str]]:
+    """One row per label and line along ``axis``: rising places ``p``, their values ``v``, and the names of its other columns.
+
+    A line is never longer than the grid.
+    """
+    line = [*KEYS, *[a for a in AXES if a != axis], *[f"n{a}" for a in AXES]]
+    cells = F.array_sort(F.collect_list(F.struct(F.col(axis).alias("p"), F.col(value).alias("v"))))
+    rows = df.groupBy(*line).agg(cells.alias("_c"))
+    return rows.select(*line, F.col("_c.p").alias("p"), F.col("_c.v").alias("v")), line
+
+
 def _line_pass(df: DataFrame, axis: str) -> DataFrame:
     """Lower ``d2`` to the best squared distance reachable along ``axis``.
 
-    ``d2`` NULL means no background found so far. Each run of a line becomes
-    one small array; the minimum over the run is taken inside the row.
+    ``d2`` NULL means no background found so far. The lower envelope of the
+    parabolas over a run gives the minimum in linear time.
     """
-    line = [*KEYS, *[a for a in AXES if a != axis]]
-    island = F.col(axis) - F.row_number().over(Window.partitionBy(*line).orderBy(axis))
-    size = F.col(f"n{axis}")
-    runs = (
-        df.withColumn("_island", island)
-        .groupBy(*line, "_island", *[f"n{a}" for a in AXES])
-        .agg(F.min(axis).alias("_a"), F.max(axis).alias("_b"),
-             F.array_sort(F.collect_list(F.struct(F.col(axis).alias("p"), "d2"))).alias("_run"))
-    )
-    far = F.lit(None).cast("long")
-    before = lambda p: F.when(F.col("_a") > 0, F.pow(p - F.col("_a") + 1, 2).cast("long")).otherwise(far)
-    after = lambda p: F.when(F.col("_b") < size - 1, F.pow(F.col("_b") + 1 - p, 2).cast("long")).otherwise(far)
-    inside = lambda p: F.array_min(F.transform(
-        "_run", lambda o: o["d2"] + F.pow(p - o["p"], 2).cast("long")
-    ))
-    best = F.transform("_run", lambda o: F.struct(
-        o["p"].alias(axis), F.least(before(o["p"]), after(o["p"]), inside(o["p"])).alias("d2")
-    ))
-    return runs.select(*line, *[f"n{a}" for a in AXES], F.inline(best))
+    rows, line = _lines(df, axis, "d2")
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def lowered(places: pa.Array, squared: pa.Array, size: pa.Array) -> pa.Array:
+        return run_distances(places, squared, size)
+
+    best = F.arrays_zip("p", lowered("p", "v", f"n{axis}").alias("d2"))
+    return rows.select(*line, F.inline(best)).select(*line, F.col("p").alias(axis), "d2")
 
 
 def distance(voxels: DataFrame, grids: DataFrame) -> DataFrame:
@@ -78,25 +82,15 @@ def gaussian_kernel(sigma: float = 1.0, radius: int = RADIUS) -> list[float]:
 
 
 def _smooth_axis(df: DataFrame, axis: str, kernel: list[float]) -> DataFrame:
-    """Convolution along one axis; the border is mirrored at the voxel edge."""
-    size = F.col(f"n{axis}")
-    radius = len(kernel) // 2
-    taps = F.array(*[
-        F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in zip(range(-radius, radius + 1), kernel)
-    ])
-    others = [a for a in AXES if a != axis]
-    # A value at p reaches q when q + k mirrors onto p, that is for the images
-    # p, -1-p and 2n-1-p of p.
-    images = F.filter(
-        F.array(F.col(axis), -1 - F.col(axis), 2 * size - 1 - F.col(axis)),
-        lambda q: (q >= -radius) & (q < size + radius),
-    )
-    spread = df.withColumn("_p", F.explode(images)).withColumn("_t", F.explode(taps)).withColumn(
-        axis, (F.col("_p") - F.col("_t.k")).cast("int")
-    ).filter((F.col(axis) >= 0) & (F.col(axis) < size))
-    return spread.groupBy(*KEYS, axis, *others, *[f"n{a}" for a in AXES]).agg(
-        F.sum(F.col("v") * F.col("_t.w")).alias("v")
-    )
+    """Convolution along one axis as sums over shifted lines; the border is mirrored at the voxel edge."""
+    rows, line = _lines(df, axis, "v")
+    weights = np.array(kernel)
+
+    @F.arrow_udf("array<struct<p:int,v:double>>")
+    def sums(places: pa.Array, values: pa.Array, size: pa.Array) -> pa.Array:
+        return smoothed(places, values, size, weights)
+
+    return rows.select(*line, F.inline(sums("p", "v", f"n{axis}"))).withColumnRenamed("p", axis)
 
 
 def strict_centre(field: DataFrame, sigma: float = 1.0) -> DataFrame:

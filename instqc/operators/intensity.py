@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from instqc.functions.quantiles import cumulative, group_totals, interpolated, order_statistics, value_counts
+from instqc.functions.skew import BROADCAST_KEYS
+from instqc.session import cut_lineage
 
 KEYS = ["case_id", "label"]
+AXES = ["x", "y", "z"]
+#: Edge of a tile, as a power of two.
+TILE_BITS = 3
 BINS = 32
 FRACTIONS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 STATISTICS = (
@@ -16,9 +21,25 @@ STATISTICS = (
 )
 
 
+def near_labels(voxels: DataFrame, scans: DataFrame) -> DataFrame:
+    """The scan rows that lie in a tile with a labelled voxel.
+
+    Labels fill a small part of a scan. The tiles they touch are counted; few
+    are broadcast, so that all other rows of the scan are dropped where they
+    are read, before any shuffle; many filter by a shuffle of (case, tile).
+    """
+    tile = ["case_id", *[f"_t{a}" for a in AXES]]
+    tiled = lambda df: df.select("*", *[F.shiftright(a, TILE_BITS).alias(f"_t{a}") for a in AXES])
+    touched = cut_lineage(tiled(voxels.select("case_id", *AXES)).select(*tile).distinct())
+    if touched.count() <= BROADCAST_KEYS:
+        touched = F.broadcast(touched)
+    return tiled(scans).join(touched, tile, "left_semi").select(*scans.columns)
+
+
 def sampled(voxels: DataFrame, scans: DataFrame) -> DataFrame:
     """Intensity of every labelled voxel; non-finite samples become NULL."""
-    joined = voxels.select("case_id", "x", "y", "z", "label").join(scans, ["case_id", "x", "y", "z"])
+    scans = near_labels(voxels, scans)
+    joined = voxels.select("case_id", *AXES, "label").join(scans, ["case_id", *AXES])
     finite = ~F.isnan("hu") & (F.abs("hu") < float("inf"))
     return joined.select(*KEYS, F.when(finite, F.col("hu")).alias("hu"))
 

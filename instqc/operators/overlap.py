@@ -80,6 +80,11 @@ def dice(candidate: DataFrame, gt: DataFrame, grids: DataFrame, levels: DataFram
         F.sum("_g").alias("gt_voxels"),
         F.sum(F.col("_c") * F.col("_g")).alias("intersection_voxels"),
     )
+    return dice_of_counts(counts, grids, levels)
+
+
+def dice_of_counts(counts: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
+    """Dice and Jaccard from (case_id, label, candidate_voxels, gt_voxels, intersection_voxels)."""
     a, b, i = F.col("candidate_voxels"), F.col("gt_voxels"), F.col("intersection_voxels")
     volume = F.col("sx") * F.col("sy") * F.col("sz")
     named = with_levels(counts.join(grids.select("case_id", "sx", "sy", "sz"), "case_id"), levels)
@@ -118,6 +123,42 @@ def voxel_agreement(candidate: DataFrame, gt: DataFrame) -> DataFrame:
     )
 
 
+def joint_counts(candidate: DataFrame, gt: DataFrame) -> DataFrame:
+    """Everything that comparing two maps needs, from one exchange of their voxels.
+
+    The labels of both maps are gathered per position, and positions reduced
+    to counts per task. Rows (case_id, per_label, gt_label, cand_label, n):
+    with ``per_label`` false the pairs of labels that meet, NULL being
+    background; with it true the labels that are in one map or, where both
+    columns are equal, in both at the same place.
+    """
+    marked = candidate.select(*POSITION, "label", F.lit(True).alias("_c")).unionByName(gt.select(*POSITION, "label", F.lit(False).alias("_c")))
+    places = marked.groupBy(*POSITION).agg(
+        F.collect_set(F.when(F.col("_c"), F.col("label"))).alias("_cand"), F.collect_set(F.when(~F.col("_c"), F.col("label"))).alias("_gt"))
+    pair = lambda kind, g, c: F.struct(F.lit(kind).alias("per_label"), g.alias("gt_label"), c.alias("cand_label"))
+    none = F.lit(None).cast("int")
+    background = lambda c: F.when(F.size(c) == 0, F.array(none)).otherwise(F.col(c))
+    met = F.flatten(F.transform(background("_gt"), lambda g: F.transform(background("_cand"), lambda c: pair(False, g, c))))
+    within = lambda c, v: F.when(F.array_contains(c, v), v)
+    held = F.transform(F.array_union("_gt", "_cand"), lambda v: pair(True, within("_gt", v), within("_cand", v)))
+    rows = places.select("case_id", F.inline(F.concat(met, held)))
+    return rows.groupBy("case_id", "per_label", "gt_label", "cand_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_counts(joint: DataFrame) -> DataFrame:
+    """What ``dice_of_counts`` takes, from ``joint_counts``."""
+    gt, cand, n = F.col("gt_label"), F.col("cand_label"), F.col("n")
+    total = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+    return joint.filter("per_label").groupBy("case_id", F.coalesce(gt, cand).alias("label")).agg(
+        total(cand.isNotNull()).alias("candidate_voxels"), total(gt.isNotNull()).alias("gt_voxels"),
+        total(gt == cand).alias("intersection_voxels"))
+
+
+def agreement_counts(joint: DataFrame) -> DataFrame:
+    """What ``voxel_agreement`` gives, from ``joint_counts``."""
+    return joint.filter("NOT per_label").select("case_id", "gt_label", "cand_label", "n")
+
+
 def label_values(candidate: DataFrame, gt: DataFrame) -> DataFrame:
     """Label values present in either map of a case."""
     return inventory(candidate).select("case_id", "label").union(

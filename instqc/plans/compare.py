@@ -59,24 +59,37 @@ def unshared_cases(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.exceptAll(right).unionByName(right.exceptAll(left))
 
 
-def same_cohort(run_a: DataFrame, run_b: DataFrame) -> None:
-    """Raise if two run summaries do not cover the same cases; reads one row of each."""
+def same_cohort(run_a: DataFrame, run_b: DataFrame, cases_a: DataFrame | None = None, cases_b: DataFrame | None = None) -> None:
+    """Raise if two run summaries do not cover the same cases; reads one row of each.
+
+    An empty run covers no case, so it only agrees with another empty one.
+    With the cases of both runs (case_id) the error names one that only one of
+    them has, and the run that has it.
+    """
     a, b = (run.select("n_cases", "case_set").first() for run in (run_a, run_b))
-    if a is not None and b is not None and tuple(a) != tuple(b):
-        raise ValueError(
-            f"the runs cover different cases ({a['n_cases']} and {b['n_cases']}); unshared_cases() names those that only one has"
-        )
+    if a == b:
+        return
+    sizes = [0 if row is None else row["n_cases"] for row in (a, b)]
+    message = f"the runs cover different cases ({sizes[0]} and {sizes[1]})"
+    if cases_a is not None and cases_b is not None:
+        odd = unshared_cases(cases_a, cases_b).orderBy("case_id").first()
+        if odd is not None:
+            where = "first" if cases_a.filter(F.col("case_id") == odd["case_id"]).take(1) else "second"
+            message += f"; only the {where} has {odd['case_id']!r}"
+    else:
+        message += "; unshared_cases() names those that only one has"
+    raise ValueError(message)
 
 
-def compare_runs(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
+def compare_runs(run_a: DataFrame, run_b: DataFrame, cases_a: DataFrame | None = None, cases_b: DataFrame | None = None) -> DataFrame:
     """Per mode: change of the mean from run a to run b, scaled and directed.
 
-    Runs over different cases are an error.
+    Runs over different cases are an error, see ``same_cohort``.
 
     Only metrics with a fixed full swing are normalised. The attributed mode
     is the one with the largest non-zero normalised change, the first on ties.
     """
-    same_cohort(run_a, run_b)
+    same_cohort(run_a, run_b, cases_a, cases_b)
 
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select("mode", F.col("mean").alias(f"value_{s}"), F.col("detection_rate").alias(f"detection_rate_{s}"))
@@ -170,11 +183,51 @@ def score_ladders(ladder: DataFrame) -> DataFrame:
     )
 
 
-def evaluation_report(confusion: DataFrame, per_mode: DataFrame, cases: DataFrame, correlations: DataFrame, calibration: DataFrame | None = None) -> DataFrame:
-    """One nested row per cohort: metrics, modes, correlations and the case list.
+def provenance(
+    cohort_id: str, cohort_size: int, config_version: str, build_date: str,
+    reference_schema_version: str | None = None, package_version: str | None = None,
+):
+    """Provenance column of a report; all of it is the caller's, nothing is looked up."""
+    return F.struct(
+        F.lit(cohort_id).alias("cohort_id"), F.lit(cohort_size).cast("long").alias("cohort_size"), F.lit(config_version).alias("config_version"),
+        F.lit(build_date).alias("build_date"), F.lit(reference_schema_version).cast("string").alias("reference_schema_version"),
+        F.lit(package_version).cast("string").alias("package_version"),
+    )
+
+
+def calibration_block(scored: DataFrame, sensitivity_floor: float) -> DataFrame:
+    """One row: status, objective, and the setting that won with its metrics (NULL if none); not the whole sweep."""
+    metrics = ("tp", "fp", "tn", "fn", "false_positive_rate", "sensitivity")
+    other = {"grid_id", "feasible", "best", *metrics}
+    best = F.struct(
+        F.struct(*[c for c in scored.columns if c not in other]).alias("assignment"), F.struct(*metrics).alias("metrics"))
+    return scored.agg(
+        F.when(F.bool_or("feasible"), "ok").otherwise("no-feasible-setting").alias("status"),
+        F.struct(F.lit(float(sensitivity_floor)).alias("sensitivity_floor")).alias("objective"),
+        F.first(F.when(F.col("best"), best), ignorenulls=True).alias("best"),
+    )
+
+
+def magnitude_block(summary: DataFrame) -> DataFrame:
+    """(run_id, per_mode_magnitude): the eight mode rows of each run summary in one, with the run's number of cases."""
+    rows = [c for c in summary.columns if c not in ("run_id", "case_set", "n_cases", "mean_dice", "volume_weighted_dice")]
+    dice = [c for c in ("mean_dice", "volume_weighted_dice") if c in summary.columns]
+    listed = F.array_sort(F.collect_list(F.struct("mode", *[c for c in rows if c != "mode"])))
+    return summary.groupBy("run_id", "n_cases", *dice).agg(listed.alias("_modes")).select(
+        "run_id", F.struct("n_cases", *dice, F.col("_modes").alias("per_mode")).alias("per_mode_magnitude"))
+
+
+def evaluation_report(
+    confusion: DataFrame, per_mode: DataFrame, cases: DataFrame, correlations: DataFrame, calibration: DataFrame | None = None,
+    origin=None, manifest=None, magnitude: DataFrame | None = None,
+) -> DataFrame:
+    """One nested row per cohort: provenance, metrics, modes, correlations and the case list.
 
     The case list is the size of the cohort and stays a table: the report names
-    its row count, and ``cases`` is written beside it.
+    its row count, and ``cases`` is written beside it. Optional blocks, absent
+    if not given: ``calibration`` (one row, see ``calibration_block``),
+    ``provenance`` and ``run_manifest`` (columns of constants), and
+    ``per_mode_magnitude`` (one row of ``magnitude_block``).
     """
     modes = per_mode.agg(F.array_sort(F.collect_list(F.struct(*per_mode.columns))).alias("per_mode"))
     pairs = correlations.agg(F.array_sort(F.collect_list(F.struct(*correlations.columns))).alias("correlations"))
@@ -183,14 +236,29 @@ def evaluation_report(confusion: DataFrame, per_mode: DataFrame, cases: DataFram
     parts = [modes, pairs, n]
     if calibration is not None:
         parts.append(calibration.select(F.struct(*calibration.columns).alias("calibration")))
+    if magnitude is not None:
+        parts.append(magnitude.select("per_mode_magnitude"))
     for part in parts:
         out = out.join(part.withColumn("_k", F.lit(1)), "_k")
+    for name, column in (("provenance", origin), ("run_manifest", manifest)):
+        if column is not None:
+            out = out.withColumn(name, column)
     return out.drop("_k")
 
 
-def comparison_report(comparison: DataFrame, attributed: DataFrame, run_a: str, run_b: str) -> DataFrame:
-    """One nested row: both run ids, the mode deltas and the attribution."""
+def comparison_report(
+    comparison: DataFrame, attributed: DataFrame, run_a: str, run_b: str,
+    origin_a=None, origin_b=None, manifest_a=None, manifest_b=None,
+) -> DataFrame:
+    """One nested row: both runs with their provenance and manifest, the mode deltas and the attribution."""
     rows = comparison.agg(F.array_sort(F.collect_list(F.struct("mode", *[c for c in comparison.columns if c != "mode"]))).alias("per_mode"))
+    none = provenance("", 0, "", "")
+
+    def side(run_id: str, origin, manifest):
+        block = [F.lit(run_id).alias("run_id"), (F.when(F.lit(False), none) if origin is None else origin).alias("provenance")]
+        return F.struct(*block, *([] if manifest is None else [manifest.alias("run_manifest")]))
+
     return rows.withColumn("_k", F.lit(1)).join(attributed.withColumn("_k", F.lit(1)), "_k").drop("_k").select(
-        F.lit(run_a).alias("run_a_id"), F.lit(run_b).alias("run_b_id"), "per_mode", *attributed.columns
+        F.lit("0.1").alias("schema_version"), F.lit(run_a).alias("run_a_id"), F.lit(run_b).alias("run_b_id"),
+        side(run_a, origin_a, manifest_a).alias("run_a"), side(run_b, origin_b, manifest_b).alias("run_b"), "per_mode", *attributed.columns
     )

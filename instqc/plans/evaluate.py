@@ -146,9 +146,41 @@ DETAIL = {
 NO_PAIR = "mode 1 needs both candidate and gt; at least one is missing"
 
 
-def mode_metrics(by_voxel: DataFrame, by_record: DataFrame) -> DataFrame:
-    """(case_id, mode, metric, direction, baseline, value, detail): eight rows per case."""
+#: Overlap of the whole case that its mode rows carry.
+AGGREGATES = ("mean_dice", "volume_weighted_dice", "mean_jaccard", "n_matched", "n_unmatched")
+
+
+def checked_overlap(overlap_result: DataFrame, counts: DataFrame) -> DataFrame:
+    """An overlap table made elsewhere, if it fits the maps; else an error that names it.
+
+    ``counts`` (case_id, label, candidate_voxels, gt_voxels) comes from the
+    maps. Labels and both voxel counts must agree; intersections, Dice and
+    Jaccard are taken on trust.
+    """
+    sizes = ["candidate_voxels", "gt_voxels"]
+    theirs = overlap_result.select("case_id", "label", *[F.col(c).alias(f"_{c}") for c in sizes])
+    joined = counts.select("case_id", "label", *sizes).join(theirs, ["case_id", "label"], "full_outer")
+    differ = [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in sizes]
+    wrong = joined.filter(differ[0] | differ[1]).orderBy("case_id", "label").first()
+    if wrong is not None:
+        raise ValueError(
+            f"overlap_result does not fit the maps: case {wrong['case_id']!r}, label {wrong['label']}: "
+            f"has {[wrong['_' + c] for c in sizes]} candidate and ground-truth voxels, the maps {[wrong[c] for c in sizes]}")
+    return overlap_result
+
+
+def mode_metrics(by_voxel: DataFrame, by_record: DataFrame, case_overlap: DataFrame | None = None) -> DataFrame:
+    """(case_id, mode, metric, direction, baseline, value, detail, *AGGREGATES): eight rows per case.
+
+    ``case_overlap`` (of ``overlap.case_dice``) gives the aggregates; without
+    it, and for cases that are not in it, they are NULL and the counts 0.
+    """
     wide = by_record.join(by_voxel.withColumn("_both", F.lit(True)), "case_id", "left")
+    if case_overlap is not None:
+        wide = wide.join(case_overlap.select("case_id", *AGGREGATES), "case_id", "left")
+    else:
+        wide = wide.select("*", *[F.lit(None).cast("double").alias(c) for c in AGGREGATES])
+    totals = [(F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) if c.startswith("n_") else F.col(c)).alias(c) for c in AGGREGATES]
     detail = {m: F.lit(text) for m, text in DETAIL.items()}
     detail[1] = F.when(F.col("_both"), DETAIL[1]).otherwise(NO_PAIR)
     rows = F.array(*[
@@ -156,9 +188,9 @@ def mode_metrics(by_voxel: DataFrame, by_record: DataFrame) -> DataFrame:
                  F.when(F.col(f"m{m}").isNull(), detail[m]).alias("detail"))
         for m in range(1, 9)
     ])
-    long = wide.select("case_id", F.inline(rows))
+    long = wide.select("case_id", *totals, F.inline(rows))
     return long.join(F.broadcast(metrics.mode_table(wide.sparkSession)), "mode").select(
-        "case_id", "mode", "mode_name", "metric", "direction", "baseline", "value", "detail"
+        "case_id", "mode", "mode_name", "metric", "direction", "baseline", "value", "detail", *AGGREGATES
     )
 
 
@@ -179,7 +211,7 @@ def evaluate(
     gt: DataFrame, candidate: DataFrame | None, grids: DataFrame, expected: DataFrame,
     config: dict[str, Any] | None = None, reference: DataFrame | None = None, levels: DataFrame | None = None,
     candidate_cases: DataFrame | None = None, stratum: str = ALL, lower_pct: int = 1, upper_pct: int = 99,
-    positive_severity: str = "flagged-for-review",
+    positive_severity: str = "flagged-for-review", overlap_result: DataFrame | None = None,
 ) -> Evaluation:
     """Evaluate every case of ``expected``.
 
@@ -190,6 +222,8 @@ def evaluate(
     which has no voxel rows to know it by; without the list, cases with
     candidate voxels count. Stratum, percentiles and the severity from which
     a verdict counts as positive are passed on to the rules and the outcomes.
+    ``overlap_result``, a table as ``overlap.dice`` gives it, is used in place
+    of a new one if its labels and voxel counts fit the maps.
     """
     config = merge_config(config)
     spark = gt.sparkSession
@@ -212,11 +246,13 @@ def evaluate(
 
     if both is not None:
         compared = of_cases(gt, both)
-        per_label = overlap.dice(candidate, compared, grids, levels)
+        joint = cut_lineage(overlap.joint_counts(candidate, compared))
+        counts = overlap.label_counts(joint)
+        per_label = overlap.dice_of_counts(counts, grids, levels) if overlap_result is None else checked_overlap(overlap_result, counts)
         gt_features = sequence.curve_offsets(label_features(compared, grids, levels))
         cand_features = sequence.curve_offsets(tables.features).join(both, "case_id", "left_semi")
         match = feature_match(cand_features, gt_features)
-        by_voxel = voxel_modes(overlap.voxel_agreement(candidate, compared), grids.join(both, "case_id", "left_semi"))
+        by_voxel = voxel_modes(overlap.agreement_counts(joint), grids.join(both, "case_id", "left_semi"))
     else:
         nothing = gt.limit(0)
         per_label = overlap.dice(nothing, nothing, grids, levels)
@@ -224,8 +260,8 @@ def evaluate(
         match = feature_match(flat, flat)
         by_voxel = voxel_modes(overlap.voxel_agreement(nothing, nothing))
     per_label, match = cut_lineage(per_label), cut_lineage(match)
-    modes = mode_metrics(by_voxel, by_record)
     dice, matched = overlap.case_dice(per_label), case_match(match)
+    modes = mode_metrics(by_voxel, by_record, dice)
     cases = outcome.join(dice.select("case_id", "mean_dice", "mean_jaccard", "volume_weighted_dice"), "case_id", "left").join(
         matched.select("case_id", "case_divergence", "mean_centroid_distance_mm"), "case_id", "left"
     )

@@ -132,10 +132,23 @@ def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return spark.read.schema(schema).json(path, multiLine=multi_line).select(F.inline("cases"))
 
 
+def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line of manifests that hold one case a line.
+
+    Such a file is split like any text, so a manifest of any size is read and
+    checked in parallel, which one JSON value over many lines cannot be. A line
+    that is not a case in JSON keeps its text in ``malformed``; blank lines are
+    nothing.
+    """
+    return spark.read.schema(f"{MANIFEST_CASE}, malformed string").option("columnNameOfCorruptRecord", "malformed").json(path)
+
+
 def check_manifest(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid cases, errors): required fields present, ids unique."""
+    """(valid cases, errors): required fields present, ids unique, and lines well formed where they were read by line."""
+    broken = F.col("malformed").isNotNull() if "malformed" in cases.columns else F.lit(False)
     missing = (
-        F.when(F.col("case_id").isNull(), "missing case_id")
+        F.when(broken, "malformed line")
+        .when(F.col("case_id").isNull(), "missing case_id")
         .when(F.col("gt").isNull(), "missing gt")
         .when(F.col("expected").isNull(), "missing expected")
         .when(F.col("expected.expected_verdict").isNull(), "missing expected_verdict")

@@ -429,6 +429,27 @@ CTES: dict[str, str] = {
 }
 
 
+# A reference from the features of the voxels, beside the one from supplier features.
+_VOXEL_FEATURES = {
+    **{f: f for f in ("physical_volume_mm3", "extent_x_mm", "extent_y_mm", "extent_z_mm", "curve_offset_mm")},
+    **{f"intensity_{n}": f"i.{c}" for n, c in (
+        ("mean", "mean"), ("median", "median"), ("std", "std"), ("min", "lo"), ("max", "hi"), ("p05", "p05"), ("p25", "p25"), ("p50", "p50"),
+        ("p75", "p75"), ("p95", "p95"), ("entropy", "entropy"))},
+    "intensity_range": "i.hi - i.lo", "intensity_iqr": "i.p75 - i.p25",
+    "largest_component_fraction": "CAST(g.largest AS DOUBLE) / g.total", "component_count": "g.component_count",
+}
+CTES["o_vlong"] = " UNION ALL ".join(
+    f"SELECT f.case_id, f.label, f.level_name, f.rank, '{name}' AS feature, CAST({text} AS DOUBLE) AS value FROM o_off f "
+    f"LEFT JOIN o_intensity i USING (case_id, label) LEFT JOIN o_frag g USING (case_id, label) WHERE f.rank IS NOT NULL AND ({text}) IS NOT NULL"
+    for name, text in _VOXEL_FEATURES.items())
+CTES["o_vproxy"] = "SELECT case_id, avg(physical_volume_mm3) AS size_proxy FROM o_feat WHERE rank IS NOT NULL GROUP BY case_id"
+CTES["o_vstrat"] = """
+    SELECT o.*, p.size_proxy, CASE WHEN p.size_proxy >= 900 THEN 's2' WHEN p.size_proxy >= 500 THEN 's1' ELSE 's0' END AS stratum
+    FROM o_vlong o JOIN o_vproxy p USING (case_id)"""
+for _name in ("ref", "delta", "geo", "int", "roll", "rollint"):
+    CTES[f"o_v{_name}"] = re.sub(r"\bo_(long|ref|delta|geo|int)\b", r"o_v\1", CTES[f"o_{_name}"])
+
+
 def _expand() -> dict[str, tuple[str, str]]:
     """name -> (header, text), with the per-source names spelled out."""
     out: dict[str, tuple[str, str]] = {}

@@ -110,6 +110,25 @@ def src7(i):
     return pick(good, F.lit(None).cast("string")).unionByName(pick(bad, F.col("reason")))
 
 
+@query("src7_lines", """
+    WITH m AS (
+      SELECT concat('m', CASE WHEN o_orderkey % 40 = 3 THEN o_orderkey - 1 ELSE o_orderkey END) AS case_id, o_orderkey % 29 = 0 AS broken,
+             CASE WHEN o_orderkey % 17 <> 0 THEN 'gt' END AS gt, CASE WHEN o_orderkey % 23 <> 0 THEN 'pass' END AS verdict FROM orders),
+    d AS (SELECT case_id FROM m WHERE NOT broken GROUP BY case_id HAVING count(*) > 1)
+    SELECT CASE WHEN NOT broken THEN case_id END AS case_id, CASE WHEN broken THEN 'malformed line' WHEN gt IS NULL THEN 'missing gt' WHEN verdict IS NULL THEN 'missing expected_verdict'
+           WHEN case_id IN (SELECT case_id FROM d) THEN 'duplicate case_id' END AS reason, CASE WHEN NOT broken THEN verdict END AS expected_verdict FROM m""")
+def src7_lines(i):
+    key = F.col("o_orderkey")
+    case = F.to_json(F.struct(
+        F.concat(F.lit("m"), F.when(key % 40 == 3, key - 1).otherwise(key)).alias("case_id"), F.when(key % 17 != 0, "gt").alias("gt"),
+        F.struct(F.when(key % 23 != 0, "pass").alias("expected_verdict")).alias("expected")))
+    path = scratch_path(i.spark, "manifest")
+    i.frame("orders").select(F.when(key % 29 == 0, F.concat(F.lit("{case "), key)).otherwise(case).alias("value")).write.text(path)
+    good, bad = datasets.check_manifest(cut_lineage(datasets.read_manifest_lines(i.spark, path)))
+    pick = lambda df, reason: df.select("case_id", reason.alias("reason"), F.col("expected.expected_verdict").alias("expected_verdict"))
+    return pick(good, F.lit(None).cast("string")).unionByName(pick(bad, F.col("reason")))
+
+
 # --- projections ---------------------------------------------------------------
 
 @query("prj1", "SELECT s.case_id, s.label, coalesce(l.level_name, 'unknown') AS level_name, voxel_count FROM o_sums s LEFT JOIN o_levels l USING (label)")

@@ -15,6 +15,7 @@ from instqc.operators.inventory import inventory
 from instqc.plans import compare, evaluate
 from instqc.plans.calibrate import DEFAULT_AXES, calibrate, case_maxima
 from instqc.plans.judge import build_tables, judge
+from instqc.plans.reference import build_reference
 from instqc.schemas import levels
 from instqc.session import cut_lineage, scratch_path
 from instqc.sources import artifacts
@@ -170,6 +171,60 @@ def rul6(i):
     return delta_rule(i, "intensity_reference_delta", "intensity")
 
 
+def voxel_reference(i, edges=None):
+    """A reference made from voxels and scans, written and read again."""
+    return build_reference(
+        cut_lineage(i.voxels), i.grids, scratch_path(i.spark, "reference"), source="suite", build_date="2026-01-01", scans=i.scan, edges=edges)
+
+
+#: Percentiles of percentiles end in a five often; the offset keeps both sides from rounding it apart.
+NUDGE = 1e-8
+SHIFTED = ", ".join(f"p{p} + {NUDGE} AS p{p}" for p in reference.PERCENTILES)
+
+
+@query("agg12_voxels", f"""SELECT * REPLACE ({SHIFTED}, mean + {NUDGE} AS mean, std + {NUDGE} AS std, min + {NUDGE} AS min, max + {NUDGE} AS max) FROM (
+    SELECT level_name, stratum, feature, count(*) AS n, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std, min(value) AS min, max(value) AS max, {PCTS},
+    (SELECT count(DISTINCT case_id) FROM o_vstrat) AS subject_count, 'suite' AS source FROM o_vstrat GROUP BY level_name, stratum, feature) q""", "mean std min max " + PCT_NAMES)
+def agg12_voxels(i):
+    stats, meta = voxel_reference(i, (500.0, 900.0))
+    row = meta.select("subject_count", "source", F.lit(1).alias("k"))
+    # The ratio of eigenvalues is compared by other queries.
+    flat = flat_reference(stats.filter("feature <> 'eigenvalue_ratio'"))
+    shifted = {c: F.col(c) + NUDGE for c in ("mean", "std", "min", "max", *PCT_NAMES.split())}
+    return flat.withColumns(shifted).withColumn("k", F.lit(1)).join(row, "k").drop("k")
+
+
+def judged_by_voxels(i):
+    stats, _ = voxel_reference(i)
+    return judge(cut_lineage(i.voxels), i.grids, scans=i.scan, reference=stats)
+
+
+@query("rul9_voxels", delta_rule_sql("reference_delta", "o_vgeo", "o_vroll") + " UNION ALL " + delta_rule_sql("intensity_reference_delta", "o_vint", "o_vrollint"))
+def rul9_voxels(i):
+    found = judged_by_voxels(i).findings
+    return found.filter(F.col("rule_id").isin("reference_delta", "intensity_reference_delta")).select("case_id", "rule_id", "severity", "labels", "k2", "k3")
+
+
+@query("snk4_voxels", """
+    SELECT f.case_id, f.label, i.median, i.entropy, r.distance AS distribution_distance, coalesce(r.oor, '') AS out_of_range_features
+    FROM o_feat f LEFT JOIN o_intensity i USING (case_id, label) LEFT JOIN o_vroll r USING (case_id, label) WHERE f.rank IS NOT NULL""",
+       "median entropy distribution_distance")
+def snk4_voxels(i):
+    result = judged_by_voxels(i)
+    reports = artifacts.case_reports(
+        result.verdicts, result.findings, images=artifacts.image_document(result.tables.intensity),
+        deltas=artifacts.delta_document(result.tables.deltas, result.tables.label_deltas))
+    path = scratch_path(i.spark, "reports")
+    artifacts.write_reports(reports, path)
+    schema = ("case_id string, image_features struct<per_label:map<string,struct<first_order:struct<median:double,entropy:double>>>>, "
+              "reference_delta struct<per_label:map<string,struct<label:int,level_name:string,distribution_distance:double,out_of_range_features:array<string>>>>")
+    rows = i.spark.read.schema(schema).json(path).select("case_id", "image_features", F.explode("reference_delta.per_label").alias("key", "d"))
+    first = F.element_at("image_features.per_label", F.col("key"))["first_order"]
+    return rows.filter("d.level_name <> 'unknown'").select(
+        "case_id", "d.label", first["median"].alias("median"), first["entropy"].alias("entropy"), "d.distribution_distance",
+        F.coalesce(F.array_sort("d.out_of_range_features"), F.array().cast("array<string>")).alias("out_of_range_features"))
+
+
 @query("rul7", rule_sql("mislabel"))
 def rul7(i):
     return one_rule("mislabel", rules.Tables(cut_lineage(features(i)), levels(i.spark)))
@@ -347,12 +402,20 @@ for name, column in (("evl5", "m2"), ("evl6", "m3"), ("evl9", "m6"), ("evl10", "
         lambda i, column=column: record_modes(i).select("case_id", F.col(column).alias("value")))
 
 
-@query("evl12", "SELECT case_id, mode, mode_name, metric, direction, baseline, value, detail FROM o_modes", "baseline value")
+@query("evl12", """SELECT m.case_id, mode, mode_name, metric, direction, baseline, value, detail, mean_dice, volume_weighted_dice, mean_jaccard,
+        coalesce(n_matched, 0) AS n_matched, coalesce(n_unmatched, 0) AS n_unmatched
+    FROM o_modes m LEFT JOIN (SELECT d.* FROM o_casedice d JOIN v_grids USING (case_id) WHERE cn % 7 <> 3) d USING (case_id)""",
+       "baseline value mean_dice volume_weighted_dice mean_jaccard")
 def evl12(i):
     # Every seventh case has no candidate; of the others some have an empty one, or two empty maps.
     listed = i.frame("v_grids").filter("cn % 7 <> 3").select("case_id")
-    by_voxel = evaluate.voxel_modes(overlap.voxel_agreement(i.candidate, i.voxels), listed)
-    return evaluate.mode_metrics(by_voxel, record_modes(i))
+    both = lambda voxels: voxels.join(listed, "case_id", "left_semi")
+    joint = cut_lineage(overlap.joint_counts(both(i.candidate), both(i.voxels)))
+    counts = overlap.label_counts(joint)
+    # A table of overlaps made before is taken if it fits.
+    given = evaluate.checked_overlap(overlap.dice(both(i.candidate), both(i.voxels), i.grids, levels(i.spark)), counts)
+    by_voxel = evaluate.voxel_modes(overlap.agreement_counts(joint), listed)
+    return evaluate.mode_metrics(by_voxel, record_modes(i), overlap.case_dice(given))
 
 
 @query("evl2", f"""SELECT o.case_id, o.outcome, o.caught_by_designated_rule, d.mean_dice, d.mean_jaccard, d.volume_weighted_dice, s.case_divergence, s.mean_centroid_distance_mm
@@ -460,7 +523,8 @@ def srt3(i):
 def jn9(i):
     modes = i.frame("v_modes")
     odd = compare.unshared_cases(modes.filter("run_id = 'a'"), modes.filter("run_id = 'b'")).agg(F.count(F.lit(1)).alias("unshared"))
-    rows = compare.compare_runs(*both_runs(i)).select("mode", "delta", "worsened", F.lit(1).alias("k"))
+    sides = [modes.filter(F.col("run_id") == r) for r in ("a", "b")]
+    rows = compare.compare_runs(*both_runs(i), *sides).select("mode", "delta", "worsened", F.lit(1).alias("k"))
     return rows.join(odd.withColumn("k", F.lit(1)), "k").drop("k")
 
 
@@ -567,27 +631,54 @@ def snk8(i):
         F.col("m.postproc_toggles")["smooth"].alias("smooth"), "absent")
 
 
-@query("snk5", f"""SELECT count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) AS n_case_rows, (SELECT count(DISTINCT failure_mode) FROM {OUTCOME} WHERE expected_failure) AS modes,
-    'pearson' AS method, CASE WHEN var_pop(CAST(actual_flagged AS INT)) FILTER (d.mean_dice IS NOT NULL) > 0 THEN corr(d.mean_dice, CAST(actual_flagged AS INT)) END AS coefficient FROM {OUTCOME} o LEFT JOIN o_casedice d USING (case_id)""", "coefficient")
+@query("snk5", f"""
+    WITH w AS (SELECT * FROM o_trial WHERE feasible QUALIFY row_number() OVER (ORDER BY false_positive_rate ASC NULLS FIRST, -coalesce(sensitivity, 0), grid_id) = 1),
+    r AS (SELECT count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) AS n_case_rows, (SELECT count(DISTINCT failure_mode) FROM {OUTCOME} WHERE expected_failure) AS modes,
+        'pearson' AS method, CASE WHEN var_pop(CAST(actual_flagged AS INT)) FILTER (d.mean_dice IS NOT NULL) > 0 THEN corr(d.mean_dice, CAST(actual_flagged AS INT)) END AS coefficient FROM {OUTCOME} o LEFT JOIN o_casedice d USING (case_id))
+    SELECT r.*, 'suite' AS cohort_id, r.n_case_rows AS cohort_size, CAST(7 AS BIGINT) AS seed, CASE WHEN w.grid_id IS NULL THEN 'no-feasible-setting' ELSE 'ok' END AS status, CAST(0.5 AS DOUBLE) AS floor,
+        w.t1 AS best_t1, w.t2 AS best_t2, w.t3 AS best_t3, w.tp AS best_tp, w.sensitivity AS best_sensitivity, m.n_cases AS run_cases, m.mode, m.metric, m.n_with_value, m.mean
+    FROM r LEFT JOIN w ON true JOIN o_run m ON m.run_id = 'a'""", "coefficient floor best_t1 best_t2 best_t3 best_sensitivity mean")
 def snk5(i):
     run = evaluated(i)
     outcome = cut_lineage(run.outcomes)
     flagged = run.cases.withColumn("flag", F.col("actual_flagged").cast("int"))
     pairs = metrics.correlation(flagged, "mean_dice", "flag")
-    report = compare.evaluation_report(metrics.confusion(outcome), metrics.per_mode(outcome), run.cases, pairs)
+    scored = calibrate(calibration_cases(i), sensitivity_floor=0.5)
+    report = compare.evaluation_report(
+        metrics.confusion(outcome), metrics.per_mode(outcome), run.cases, pairs, compare.calibration_block(scored, 0.5),
+        origin=compare.provenance("suite", run.cases.count(), "0.1", "2026-01-01"), manifest=artifacts.run_manifest(seed=7, dataset_id="suite"),
+        magnitude=compare.magnitude_block(compare.run_summary(i.frame("v_modes").filter("run_id = 'a'"))))
     doc = read_back(i, report, "evaluation")
-    return doc.select("metrics.tp", "metrics.fp", "n_case_rows", F.size("per_mode").cast("long").alias("modes"),
-                      F.element_at("correlations.method", 1).alias("method"), F.element_at("correlations.coefficient", 1).alias("coefficient"))
-
-
-@query("snk6", "SELECT 'a' AS run_a_id, 'b' AS run_b_id, mode, delta, normalised_delta, worsened, (SELECT max(mode) FROM o_attr WHERE attributed) AS attributed_mode FROM o_compare", "delta normalised_delta")
+    best = F.col("calibration.best")
+    return doc.select(
+        "metrics.tp", "metrics.fp", "n_case_rows", F.size("per_mode").cast("long").alias("modes"),
+        F.element_at("correlations.method", 1).alias("method"), F.element_at("correlations.coefficient", 1).alias("coefficient"),
+        "provenance.cohort_id", "provenance.cohort_size", "run_manifest.seed", "calibration.status",
+        F.col("calibration.objective.sensitivity_floor").alias("floor"),
+        *[best["assignment"][a.name.replace(".", "_")].alias(f"best_t{k}") for k, a in enumerate(DEFAULT_AXES, 1)],
+        best["metrics"]["tp"].alias("best_tp"), best["metrics"]["sensitivity"].alias("best_sensitivity"),
+        F.col("per_mode_magnitude.n_cases").alias("run_cases"), F.inline("per_mode_magnitude.per_mode"),
+    ).select("tp", "fp", "n_case_rows", "modes", "method", "coefficient", "cohort_id", "cohort_size", "seed", "status", "floor", "best_t1", "best_t2", "best_t3",
+             "best_tp", "best_sensitivity", "run_cases", "mode", "metric", "n_with_value", "mean")
+
+
+@query("snk6", """SELECT 'a' AS run_a_id, 'b' AS run_b_id, 'first' AS cohort_a, 'second' AS cohort_b, (SELECT max(n_cases) FROM o_run WHERE run_id = 'a') AS size_a, CAST(1 AS BIGINT) AS seed_a,
+    'v2' AS segmenter_b, mode, delta, normalised_delta, worsened, (SELECT max(mode) FROM o_attr WHERE attributed) AS attributed_mode FROM o_compare""", "delta normalised_delta")
 def snk6(i):
     a, b = both_runs(i)
     a, b = read_back(i, a, "run_a"), read_back(i, b, "run_b")
     rows = cut_lineage(compare.compare_runs(a, b))
-    doc = read_back(i, compare.comparison_report(rows, compare.attribution(rows), "a", "b"), "comparison")
-    return doc.select("run_a_id", "run_b_id", "attributed_mode", F.inline("per_mode")).select(
-        "run_a_id", "run_b_id", "mode", "delta", "normalised_delta", "worsened", "attributed_mode")
+    size = lambda run: run.first()["n_cases"]
+    report = compare.comparison_report(
+        rows, compare.attribution(rows), "a", "b",
+        compare.provenance("first", size(a), "0.1", "2026-01-01"), compare.provenance("second", size(b), "0.1", "2026-01-02"),
+        artifacts.run_manifest(seed=1), artifacts.run_manifest(segmenter_version="v2"))
+    doc = read_back(i, report, "comparison")
+    return doc.select(
+        "run_a_id", "run_b_id", F.col("run_a.provenance.cohort_id").alias("cohort_a"), F.col("run_b.provenance.cohort_id").alias("cohort_b"),
+        F.col("run_a.provenance.cohort_size").alias("size_a"), F.col("run_a.run_manifest.seed").alias("seed_a"),
+        F.col("run_b.run_manifest.segmenter_version").alias("segmenter_b"), "attributed_mode", F.inline("per_mode"),
+    ).select("run_a_id", "run_b_id", "cohort_a", "cohort_b", "size_a", "seed_a", "segmenter_b", "mode", "delta", "normalised_delta", "worsened", "attributed_mode")
 
 
 # --- stream -------------------------------------------------------------------------------
@@ -599,6 +690,8 @@ def stm1(i):
     incoming, manifest, out, marks = (scratch_path(i.spark, n) for n in ("incoming", "manifest", "gate", "marks"))
     # Dealt by position, so that every case lies in several files and comes in several batches.
     i.voxels.repartition(4, "x", "y", "z").write.parquet(incoming)
+    # Some rows stand in a further file.
+    i.voxels.filter("x % 5 = 0").coalesce(1).write.mode("append").parquet(incoming)
     counted = i.voxels.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_voxels"))
     i.grids.select("case_id").join(counted, "case_id", "left").fillna(0, ["n_voxels"]).write.parquet(manifest)
     stream = start_gate(i.spark, incoming, manifest, i.grids, out, marks, files_per_batch=2, once=True)

@@ -180,6 +180,56 @@ def test_gate_waits_for_all_files_of_a_case(spark, tmp_path):
     assert rules_of_a == {"bounds", "coverage"}
 
 
+def test_gate_repeated_late_and_surplus_files(spark, tmp_path):
+    """Repeats count once, a file delivered again replaces itself, surplus and late rows become dead letters."""
+    grids = boxes.grids(spark, [(c, boxes.SIZE, (1, 1, 1), "RAS") for c in ("a", "b", "c", "d")])
+    manifest, out, marks = (str(tmp_path / n) for n in ("manifest", "out", "marks"))
+    drop = tmp_path / "in"
+    box = lambda case, z: boxes.voxels(spark, [(case, 20, (2, 4), (2, 4), (z, z + 4))])
+
+    def deliver(folder, name, *parts):
+        """One file of a given name."""
+        (drop / folder).mkdir(parents=True, exist_ok=True)
+        df = parts[0]
+        for part in parts[1:]:
+            df = df.union(part)
+        df.toPandas().astype({c: "int32" for c in ("x", "y", "z", "label")}).to_parquet(drop / folder / name, index=False)
+
+    def expect(**sizes):
+        spark.createDataFrame([(c, n) for c, n in sizes.items()], MANIFEST).coalesce(1).write.mode("append").parquet(manifest)
+
+    def run():
+        start_gate(spark, f"{drop}/*", manifest, grids, out, marks, files_per_batch=100, once=True).awaitTermination()
+        verdict = sorted(r["case_id"] for r in spark.read.parquet(f"{out}/verdicts").collect())
+        dead = sorted((r["case_id"], r["reason"], r["unique_rows"]) for r in spark.read.parquet(f"{out}/dead_letters").collect())
+        return verdict, dead
+
+    # a: 16 rows, of which a second file repeats some; b: half of its rows, twice; c: more than expected; x: no grid.
+    deliver("one", "a1", box("a", 2))
+    deliver("one", "a2", box("a", 2).limit(3))
+    deliver("one", "b1", box("b", 2))
+    deliver("two", "b1", box("b", 2))
+    deliver("one", "c1", box("c", 2), box("c", 10))
+    deliver("one", "x1", box("x", 2))
+    expect(a=16, b=32, c=16, d=16, x=16)
+    wrong = ("c", "more rows than its manifest says", 32)
+    lost = ("x", "no grid", 16)
+    assert run() == (["a"], [wrong, lost])
+    # b's other half comes with a repeat of the first, a file of c is delivered again and right, d comes short.
+    deliver("three", "b2", box("b", 2), box("b", 10))
+    deliver("three", "c1", box("c", 2))
+    deliver("three", "d1", box("d", 2).limit(15))
+    deliver("three", "a1", box("a", 2))
+    late = ("a", "arrived after its verdict", None)
+    assert run() == (["a", "b", "c"], [late, wrong, lost])
+    waiting = spark.read.parquet(max((tmp_path / "out" / "ledger").iterdir(), key=lambda p: int(p.name.split("=")[1])).as_posix())
+    assert {r["case_id"] for r in waiting.collect()} == {"d"}
+    # The manifest of d is corrected.
+    expect(d=15)
+    assert run() == (["a", "b", "c", "d"], [late, wrong, lost])
+    assert {r["verdict"] for r in spark.read.parquet(f"{out}/verdicts").collect()} <= {"pass", "flagged-for-review", "fail"}
+
+
 def test_runs_over_different_cases_are_not_compared(spark):
     modes = spark.createDataFrame([("a", "x", 1, 0.5), ("a", "y", 1, 0.1), ("b", "x", 1, 0.2), ("c", "y", 1, 0.2), ("c", "x", 2, 0.2)], "run_id string, case_id string, mode int, value double")
     summary = compare.run_summary(modes)
