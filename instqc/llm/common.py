@@ -13,10 +13,24 @@ from instqc.session import cut_lineage
 #: A table is broadcast by hint only if a count has shown that its rows are few.
 BROADCAST_ROWS = 200_000
 
+#: Most bytes of an Arrow batch on its way to a Python worker.
+ARROW_BYTES = 4 << 20
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers by bytes, as ten thousand texts may be any size.
+
+    A session whose own bound is lower keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -26,6 +40,16 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def digest(text: Column) -> Column:
+    """128 bits that stand for a text, null as empty; unlike 64 they tell apart as many texts as there are."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def carried(docs: DataFrame) -> Column:
+    """All columns of a row in one, ``_row``, so that they meet no name used on the way."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 

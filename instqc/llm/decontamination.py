@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from instqc.llm.common import BROADCAST_ROWS, attach, words_of
+from instqc.llm.common import BROADCAST_ROWS, attach, carried, digest, words_of
 from instqc.session import cut_lineage
 
 #: Words of the stretch that must agree, and how many of them.
@@ -13,7 +15,11 @@ STRETCH, AGREE = 16, 13
 #: Positions that a seed reads. Whichever 3 words of a stretch of 16 are
 #: replaced, one of the two fits between them at some place.
 MASKS = ("101100111", "11100001011")
-#: Items with fewer words are met by chance and not searched for.
+#: Items with fewer words than a stretch, from so many on, may have so many words replaced. Of the words that agree,
+#: at least four then stand in a row: 8 words with one replaced leave 7 in two rows, 12 with two replaced 10 in three.
+TOLERANT = {8: 1, 12: 2}
+SHORT_MASK = "1111"
+#: Items with fewer words are met by chance: they are reported where they stand whole, but no document goes for them.
 LEAST_WORDS = 8
 
 
@@ -21,15 +27,23 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
 
 
+def needed(n: Column) -> Column:
+    """How many words of an item of ``n``, or of a stretch of a long one, must agree."""
+    out = n
+    for least, replaced in sorted(TOLERANT.items()):
+        out = F.when(n >= least, n - replaced).otherwise(out)
+    return F.when(n >= STRETCH, F.lit(AGREE)).otherwise(out)
+
+
 def seeds(hashes: str, masks: tuple[str, ...]) -> Column:
     """The hashes that each mask reads at each position, mask after mask; the mask is part of the hash."""
-    def of(mask: str, number: int) -> Column:
+    def of(mask: str) -> Column:
         read = [i for i, bit in enumerate(mask) if bit == "1"]
         last = F.size(hashes) - len(mask)
-        at = lambda i: F.xxhash64(F.lit(number), *(F.get(hashes, i + k) for k in read))
+        at = lambda i: F.xxhash64(F.lit(mask), *(F.get(hashes, i + k) for k in read))
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<bigint>"))
 
-    return F.concat(*(of(m, i) for i, m in enumerate(masks)))
+    return F.concat(*map(of, masks))
 
 
 def seed_rows(df: DataFrame, key: str, masks: tuple[str, ...], name: str) -> DataFrame:
@@ -47,13 +61,20 @@ def seed_rows(df: DataFrame, key: str, masks: tuple[str, ...], name: str) -> Dat
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(_th, item_id, diagonal): where a seed of a text meets one of an item, once each.
 
-    ``docs`` has _th, a hash of the text, so copies of a text count once.
-    The benchmark's seeds are counted and broadcast if few; the corpus's seeds
+    ``docs`` has _th, a digest of the text, so copies of a text count once.
+    Items of STRETCH words and more are sought by MASKS, from LEAST_WORDS on
+    by SHORT_MASK, and shorter ones whole, by a mask of their own length. The
+    benchmark's seeds are counted and broadcast if few; the corpus's seeds
     are then never shuffled. Else both are dealt by seed.
     """
-    short = items.filter(F.size("words") < max(map(len, MASKS))).select(F.size("words").alias("n")).distinct().collect()
-    masks = (*MASKS, *sorted("1" * r["n"] for r in short))
-    wanted = cut_lineage(seed_rows(items, "item_id", masks, "_at"))
+    size = F.size("words")
+    few = {r["n"] for r in items.filter(size < LEAST_WORDS).select(size.alias("n")).distinct().collect()}
+    kinds = [(size >= STRETCH, MASKS), ((size >= LEAST_WORDS) & (size < STRETCH), (SHORT_MASK,)), *((size == n, ("1" * n,)) for n in sorted(few))]
+    kinds = [(test, sought) for test, sought in kinds if items.filter(test).take(1)]
+    if not kinds:
+        return docs.sparkSession.createDataFrame([], docs.select("_th").schema.add("item_id", items.schema["item_id"].dataType).add("diagonal", "integer"))
+    masks = tuple(dict.fromkeys(m for _, sought in kinds for m in sought))
+    wanted = cut_lineage(reduce(DataFrame.unionByName, (seed_rows(items.filter(test), "item_id", sought, "_at") for test, sought in kinds)))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     found = seed_rows(docs, "_th", masks, "_place").join(wanted, "_seed")
@@ -71,7 +92,7 @@ def overlaps(texts: DataFrame, found: DataFrame, items: DataFrame) -> DataFrame:
     same = F.transform("_b", lambda b, j: F.coalesce((F.get("_a", j + F.least("diagonal", F.lit(0))) == b).cast("int"), F.lit(0)))
     rows = rows.withColumns({"_same": same, "_n": F.size("_b")}).drop("_a")
     stretch = F.least("_n", F.lit(STRETCH))
-    need = F.when(F.col("_n") >= STRETCH, F.lit(AGREE)).otherwise(F.col("_n"))
+    need = needed(F.col("_n"))
     total = lambda array: F.aggregate(array, F.lit(0), lambda a, x: a + x)
     windows = F.transform(F.sequence(F.lit(0), F.col("_n") - stretch), lambda i: total(F.slice("_same", i + 1, stretch)))
     return (
@@ -86,15 +107,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, agreeing, item_words) of every document and item that overlap.
 
     Words are runs of anything but ASCII white space, lower-cased. Document
-    and item overlap if 13 of 16 words in a row agree place by place; an item
-    of 8 to 15 words must be there whole, and shorter ones are not searched
-    for. Every such overlap is found: masks for it hit between any three
-    replaced words, and items shorter than the longest mask get one of their
-    own length. first_word is where the item starts in the document (0 if cut
+    and item overlap if 13 of 16 words in a row agree place by place; of an
+    item of 12 to 15 words all but two must be there, of one of 8 to 11 all
+    but one, and shorter ones must be there whole (item_words tells which they
+    are, as such a few words also meet by chance). Every such overlap is
+    found: the masks hit between any words replaced, see MASKS and TOLERANT.
+    Items without words meet nothing. first_word is where the item starts in the document (0 if cut
     off) at the place with most agreeing words. Documents without overlap,
     null and empty texts give no rows; repeated rows give one.
     """
-    keyed = docs.select("doc_id", "text").filter("text IS NOT NULL").withColumn("_th", F.xxhash64("text"))
+    keyed = docs.select("doc_id", "text").filter("text IS NOT NULL").withColumn("_th", digest(F.col("text")))
     rows = _verified(keyed, benchmark)
     best = F.max(F.struct("agreeing", (-F.col("first_word")).alias("_back"), "item_words")).alias("_best")
     return rows.groupBy("doc_id", "item_id").agg(best).select(
@@ -105,16 +127,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _verified(keyed: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps of ``keyed`` (text, _th and what else is to be returned)."""
     items = benchmark.filter("text IS NOT NULL").select("item_id", "text").withColumn("words", words_of(F.lower("text")))
-    items = cut_lineage(items.filter(F.size("words") >= LEAST_WORDS).dropDuplicates(["item_id", "words"]))
+    items = cut_lineage(items.filter(F.size("words") > 0).dropDuplicates(["item_id", "words"]))
     found = cut_lineage(candidates(keyed.select("_th", "text"), items))
     return overlaps(keyed, found, items)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no item, columns as given; null texts stay."""
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    bad = _verified(keyed.filter("text IS NOT NULL").select("text", "_th"), benchmark).select("_th").distinct()
-    bad = cut_lineage(bad)
+    """The documents that overlap no item of LEAST_WORDS words or more, columns as given, whatever their names; null texts stay."""
+    texts = docs.filter("text IS NOT NULL").select("text", digest(F.col("text")).alias("_th"))
+    long = benchmark.filter(F.size(words_of(F.col("text"))) >= LEAST_WORDS)
+    bad = cut_lineage(_verified(texts, long).select("_th").distinct())
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return keyed.join(bad, "_th", "left_anti").select(*docs.columns)
+    keyed = docs.select(carried(docs), F.when(F.col("text").isNotNull(), digest(F.col("text"))).alias("_th"))
+    return keyed.join(bad, "_th", "left_anti").select("_row.*")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from instqc.llm.common import attach, n_words, size_class, with_position
+from instqc.llm.common import attach, carried, n_words, size_class, with_position
+from instqc.session import cut_lineage
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -44,8 +45,8 @@ def targets(sizes: DataFrame, total_share: float = 1.5, most: float = 2.0) -> Da
     )
 
 
-def expected_copies(docs: DataFrame) -> DataFrame:
-    """Documents with size, source_size, target and the copies that the mix takes.
+def expected_copies(sized: DataFrame) -> DataFrame:
+    """Rows of (doc_id, source, _size) with the size and target of their source and the copies that the mix takes.
 
     Sizes are numbers of words (null text: 0). In each source documents stand
     in the order of size class, then of the hash of their id; each is expected
@@ -57,31 +58,33 @@ def expected_copies(docs: DataFrame) -> DataFrame:
     size 0 has target 0 and its documents, like all without words, count for
     0 words; they are still taken at the rate of their source. Null ids stand
     in the place of the empty string. Rows alike in every column that matters
-    are interchangeable. All columns are kept; internal ones start with "_".
+    are interchangeable. Adds _source_size, _target and _copies, among others
+    that start with "_"; a caller's own columns come as one, ``_row``.
     """
-    sized = docs.withColumns({"_size": n_words(F.col("text")), "_key": F.concat(F.lit("="), "source")})
-    sized = sized.withColumns({"_key": F.coalesce("_key", F.lit("")), "_class": size_class(F.col("_size"))})
+    sized = sized.withColumns({"_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_class": size_class(F.col("_size"))})
     sizes = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
     goals = targets(sizes).select(
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"),
         (F.conv(F.substring(F.md5(F.coalesce("source", F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)).alias("_offset"),
     )
-    placed = with_position(sized, ["_key"], ["_class"], ["doc_id", "_size"], docs.count())
+    placed = with_position(sized, ["_key"], ["_class"], ["doc_id", "_size"], sized.count())
     joined = attach(placed, goals, ["_key"], ["_position"])
     up_to = lambda k: F.floor(F.col("_rate") * k + F.col("_offset"))
     return joined.withColumn("_copies", (up_to(F.col("_position") + 1) - up_to(F.col("_position"))).cast("long"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each document as often as it is taken, columns as given."""
-    taken = expected_copies(docs).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mixed corpus: each document as often as it is taken, columns as given, whatever their names."""
+    sized = docs.select(carried(docs), "doc_id", "source", n_words(F.col("text")).alias("_size"))
+    taken = expected_copies(sized).filter("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
-    return expected_copies(docs.select("doc_id", "text", "source")).select(
+    sized = cut_lineage(docs.select("doc_id", "source", n_words(F.col("text")).alias("_size")))
+    return expected_copies(sized).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"),
     )

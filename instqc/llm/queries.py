@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from instqc.llm import (
     alignment, decontamination, exact_dedup, extraction, filter_audit, licences, lines, mixing, near_dedup, packing, quality, sharding, sql, toxicity,
 )
+from instqc.llm import pipeline as corpus_pipeline
 from instqc.llm.common import read_table
 from instqc.llm.registry import query
 from instqc.session import cut_lineage

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from instqc.llm.common import attach, size_class, with_position
+from instqc.llm.common import attach, carried, size_class, with_position
 
 SHARDS = 8
 #: Bits per dimension of the curve.
@@ -70,39 +70,63 @@ def equal_depth(df: DataFrame, column: str, n_rows: int, bits: int = BITS) -> Da
     return counts.select(column, F.floor(start * (1 << bits) / F.lit(max(n_rows, 1))).cast("int").alias(f"{column}_level"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Documents in runs of the curve: adds _size, _place, _position, shard and slot.
+#: Within a cell of the grid, texts are dealt to so many buckets by their digest, one after another.
+TEXT_BUCKETS = 64
+
+
+def measures(docs: DataFrame) -> list[Column]:
+    """What places a row: doc_id, _source, _lang, _size, _class, and _bucket, the same for equal texts."""
+    text = F.coalesce("text", F.lit(""))
+    size = F.octet_length(text).cast("long") + 1
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    return [
+        F.col("doc_id"), named("source").alias("_source"), named("lang").alias("_lang"), size.alias("_size"), size_class(size).alias("_class"),
+        F.pmod(F.xxhash64(text), F.lit(TEXT_BUCKETS)).cast("int").alias("_bucket"),
+    ]
+
+
+def placed(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Rows of ``measures`` in runs of the curve: adds _place, shard and slot.
 
     The dimensions are source, language and size class, each quantised to
     equal depth. Shards are runs of the curve with counts at most one apart,
     so each file holds few sources, languages and sizes and their ranges prune
-    reads. Within one cell of the grid the order is by the hash of the id.
-    Null source or language counts as a value of its own, null text has size
-    1. Rows alike in id and place are interchangeable. No table, no rows.
+    reads. Within a cell of the grid the order is by a bucket of the text, then
+    by the hash of the id: equal texts of one source and language stand in one
+    bucket of one cell and so in one shard, unless a cut between shards falls
+    into that bucket. Equal texts of different source or language lie in
+    different cells and may be apart. Null source or language counts as a
+    value of its own, null text has size 1. Rows alike in id and place are
+    interchangeable. No table, no rows.
     """
-    n_rows = docs.count()
-    sized = docs.withColumns({
-        "_size": F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1,
-        "_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")),
-        "_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")),
-    }).withColumn("_class", size_class(F.col("_size")))
+    n_rows = rows.count()
     for column in ("_source", "_lang", "_class"):
-        sized = attach(sized, equal_depth(sized, column, n_rows), [column], ["doc_id", "_size"])
-    sized = sized.withColumn("_place", curve_place("_source_level", "_lang_level", "_class_level"))
-    placed = with_position(sized.drop("_source", "_lang", "_class", "_source_level", "_lang_level", "_class_level"), [], ["_place"], ["doc_id", "_size"], n_rows)
+        rows = attach(rows, equal_depth(rows, column, n_rows), [column], ["doc_id", "_size"])
+    rows = rows.withColumn("_place", curve_place("_source_level", "_lang_level", "_class_level"))
+    rows = with_position(rows, [], ["_place", "_bucket"], ["doc_id", "_size"], n_rows)
     whole, rest = divmod(n_rows, shards)
     # The first `rest` shards hold one row more.
     long_part = rest * (whole + 1)
     position = F.col("_position")
     number = F.when(position < long_part, F.floor(position / F.lit(whole + 1))).otherwise(rest + F.floor((position - long_part) / F.lit(max(whole, 1))))
     start = F.when(position < long_part, F.col("shard") * (whole + 1)).otherwise(long_part + (F.col("shard") - rest) * whole)
-    return placed.withColumn("shard", number.cast("int")).withColumn("slot", (position - start).cast("long"))
+    return rows.withColumn("shard", number.cast("int")).withColumn("slot", (position - start).cast("long"))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The documents with shard and slot, see ``placed``.
+
+    Columns come through as they are, but for given ones of these two names,
+    which the new ones replace.
+    """
+    own = docs.drop("shard", "slot")
+    return placed(own.select(carried(own), *measures(own)), shards).select("_row.*", "shard", "slot")
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null) and curve_index of every document."""
-    small = docs.select("doc_id", "source", "lang", "text").withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    return shard(small, shards).select(
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc")
+    return placed(docs.select(crc, *measures(docs)), shards).select(
         "doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("_place").alias("curve_index"),
     )
@@ -110,6 +134,5 @@ def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Write one folder per shard, rows in the order of the curve."""
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    cut = shard(docs.select(*columns), shards)
-    cut.repartition(shards, "shard").sortWithinPartitions("shard", "slot").select(*columns, "shard", "slot").write.partitionBy("shard").parquet(path)
+    cut = shard(docs, shards)
+    cut.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

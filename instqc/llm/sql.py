@@ -76,7 +76,7 @@ WITH dw AS (
 ), d AS (
   SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) - 1 AS p FROM dw
 ), i AS (
-  SELECT item_id, len(b) AS n, unnest(b) AS w, generate_subscripts(b, 1) - 1 AS j FROM bw WHERE len(b) >= 8
+  SELECT item_id, len(b) AS n, unnest(b) AS w, generate_subscripts(b, 1) - 1 AS j FROM bw
 ), m AS (
   SELECT DISTINCT doc_id, item_id, n, p - j AS g, j FROM d JOIN i USING (w)
 ), r AS (
@@ -85,7 +85,7 @@ WITH dw AS (
   FROM m
 ), o AS (
   SELECT doc_id, item_id, n, g, max(agreeing) AS agreeing FROM r GROUP BY doc_id, item_id, n, g
-  HAVING max(here) >= CASE WHEN n >= 16 THEN 13 ELSE n END
+  HAVING max(here) >= CASE WHEN n >= 16 THEN 13 WHEN n >= 12 THEN n - 2 WHEN n >= 8 THEN n - 1 ELSE n END
 ), b AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, greatest(g, 0)) AS k FROM o
 )

@@ -29,7 +29,7 @@ def odd(spark):
         (6, "Ünïcode \U0001f600 текст 文字 without spaces", "es", "c", 2),
     ]
     base = spark.createDataFrame(rows, DOCUMENTS)
-    return base.selectExpr("*", "1 AS size", "'x' AS _th", "2 AS shard", "3 AS kept", "4 AS _key")
+    return base.selectExpr("*", "1 AS size", "'x' AS _th", "2 AS shard", "3 AS kept", "4 AS _key", "5 AS _hash", "6 AS _class", "7 AS _row", "8 AS slot", "9 AS _size", "10 AS _id")
 
 
 @pytest.fixture(scope="session")

@@ -23,4 +23,4 @@ def test_sql(spark, folder, name):
 
 
 def test_names():
-    assert "pipeline" in QUERIES and all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11))
+    assert "pipeline" in QUERIES and all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14))
