@@ -1,59 +1,3 @@
-"""A corpus pipeline of five stages, each on all that the one before has kept."""
+"""A corpus pipeline of five stages, each on all that the one before has kept; see instqc.llm.pipeline."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from instqc.llm.common import read_table
-from instqc.llm.decontamination import drop_contaminated
-from instqc.llm.mixing import mix
-from instqc.llm.near_dedup import drop_near_duplicates
-from instqc.llm.quality import keep_good
-from instqc.llm.sharding import shard
-from instqc.session import cut_lineage, ship
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    return keep_good(docs)
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return drop_near_duplicates(docs)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source is taken down or up to its target; a document may then stand more than once."""
-    return mix(docs)
-
-
-def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard and the slot in it along the curve."""
-    return shard(docs).select(*docs.columns, "shard", "slot")
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("near_dedup", near_dedup_stage),
-    ("decontamination", decontamination_stage),
-    ("mixing", mixing_stage),
-    ("sharding", sharding_stage),
-]
-
-#: No SQL: the classifier is trained, and the sketches draw on hashes that SQL lacks.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents table; each result is written and read again."""
-    ship(spark)
-    docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
-    return docs
+from instqc.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
