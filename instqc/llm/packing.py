@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -22,13 +22,16 @@ LONGEST = 4096
 #: The id that ends a document.
 END = 2
 #: Words of which the ids are kept at hand per task, twice over.
-WORDS_KEPT = 100_000
+WORDS_KEPT = 300_000
 
 # One pre-token whatever stands around it: letters of ASCII and Latin-1 have a
 # lower case of one character and are never recomposed.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 # Marks that end a run of letters and start no contraction or special token.
 _CLOSING = ".,;:!?$%&#*()[]\"-"
+_CASE_MATTERS = (b"<|", b"\xcc", b"\xcd")
+# A mark that ends a word of letters and stands alone: its own pre-token.
+_SENTENCE_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -49,34 +52,38 @@ def _tokenizer(path: str):
 class WordIds(dict):
     """Little-endian 32-bit ids of each word seen.
 
-    This tokenizer drops white space and lets nothing pass across it, so the
-    ids of a text are those of its words. A word of plain letters is one
-    pre-token and goes straight to the tokenizer's model; closing marks behind
-    one are looked up apart; everything else takes the whole tokenizer. Of two
-    generations of WORDS_KEPT words the older is dropped when the newer is
-    full, and long words are not kept, so memory stays bounded.
+    This tokenizer drops white space, lets nothing pass across it and lowers
+    case, so the ids of a text are those of its words in lower case. A word of
+    plain letters is one pre-token and goes straight to the tokenizer's model;
+    closing marks behind one are looked up apart; everything else takes the
+    whole tokenizer. Of two generations of WORDS_KEPT words the older is
+    dropped when the newer is full, and long words are not kept, so memory
+    stays bounded.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.symbols = byte_symbols()
         self.older: dict[bytes, bytes] = {}
 
+    def of_text(self, text: bytes) -> bytes:
+        # Case matters for special tokens, and for letters that marks are put on (U+0300 to U+037F) before it is lowered.
+        if not any(sign in text for sign in _CASE_MATTERS):
+            text = _SENTENCE_MARK.sub(rb" \1", text.lower())
+        return b"".join(map(self.__getitem__, text.split()))
+
     def encoded(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():
+            return pack_ids([t.id for t in self.tokenize(word.decode())])
         text = word.decode("utf-8", "replace")
         lower = text.lower()
         letters = lower.rstrip(_CLOSING)
         if not _LETTERS.fullmatch(letters):
-            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(letters) < len(lower):
-            return self[letters.encode()] + self[lower[len(letters):].encode()]
-        if lower != text:
-            return self[lower.encode()]
-        return self.pack([t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.symbols))])
-
-    @staticmethod
-    def pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+            return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if letters != text:
+            return self[letters.encode()] + (self[lower[len(letters):].encode()] if letters != lower else b"")
+        return pack_ids([t.id for t in self.tokenize(word.decode("latin-1").translate(self.symbols))])
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
@@ -90,6 +97,10 @@ class WordIds(dict):
         return ids
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def cut(n: int, longest: int) -> Iterator[int]:
     """Lengths of the pieces of a document: as many of ``longest`` as fit, then the powers of two of the rest, falling."""
     for _ in range(n // longest):
@@ -124,14 +135,14 @@ def pack(docs: DataFrame, tokenizer: str, *, longest: int = LONGEST, end_id: int
     name = os.path.basename(tokenizer)
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = given.select("doc_id").schema.add("start", "long").add("length", "long").add("doc_tokens", "long").add("ids", "binary")
-    end = np.array([end_id], "<u4").tobytes()
+    end = pack_ids([end_id])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds(SparkFiles.get(name))
         rows = Rows(to_arrow_schema(schema))
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), values(batch.column(1))):
-                ids = b"".join(map(known.__getitem__, text.split())) + end
+                ids = known.of_text(text) + end
                 n, start = len(ids) // 4, 0
                 for length in cut(n, longest):
                     rows.add((doc_id, start, length, n, ids[4 * start : 4 * (start + length)]), 4 * length + 64)
