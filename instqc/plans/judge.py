@@ -77,13 +77,6 @@ def intensity_wide(features: DataFrame, bright: DataFrame) -> DataFrame:
     return features.select("case_id", "label", "level_name", "rank").join(named, ["case_id", "label"])
 
 
-def morphology_wide(features: DataFrame, parts: DataFrame) -> DataFrame:
-    """Component and orientation features with the label's level."""
-    return features.select("case_id", "label", "level_name", "rank", "eigenvalue_ratio").join(
-        parts.select("case_id", "label", "largest_component_fraction", "component_count"), ["case_id", "label"]
-    )
-
-
 def wide_features(
     features: DataFrame, parts: DataFrame | None = None, bright: DataFrame | None = None
 ) -> DataFrame:

@@ -562,13 +562,13 @@ def edt3(i):
 
 @query("edt4", """
     SELECT s.case_id, s.label, coalesce(l.level_name, 'unknown') AS level_name, coalesce(l.level_name IN ('C1', 'C2'), false) AS is_atlas_axis, smooth_x, smooth_y, smooth_z, strict_x, strict_y, strict_z,
-           smooth_x * sx AS smooth_x_mm, strict_z * sz AS strict_z_mm, greatest(0, coalesce(e1.edt, 0) - 0.5) AS depth_smooth, greatest(0, coalesce(e2.edt, 0) - 0.5) AS depth_strict
+           smooth_x * sx AS smooth_x_mm, smooth_y * sy AS smooth_y_mm, smooth_z * sz AS smooth_z_mm, strict_x * sx AS strict_x_mm, strict_y * sy AS strict_y_mm, strict_z * sz AS strict_z_mm, greatest(0, coalesce(e1.edt, 0) - 0.5) AS depth_smooth, greatest(0, coalesce(e2.edt, 0) - 0.5) AS depth_strict
     FROM o_smooth s JOIN o_strict t USING (case_id, label) JOIN v_grids USING (case_id) LEFT JOIN o_levels l USING (label)
     LEFT JOIN o_edt e1 ON e1.case_id = s.case_id AND e1.label = s.label AND e1.x = round_even(smooth_x, 0) AND e1.y = round_even(smooth_y, 0) AND e1.z = round_even(smooth_z, 0)
     LEFT JOIN o_edt e2 ON e2.case_id = s.case_id AND e2.label = s.label AND e2.x = strict_x AND e2.y = strict_y AND e2.z = strict_z""",
-       "smooth_x smooth_y smooth_z strict_x strict_y strict_z smooth_x_mm strict_z_mm depth_smooth depth_strict")
+       "smooth_x smooth_y smooth_z strict_x strict_y strict_z smooth_x_mm smooth_y_mm smooth_z_mm strict_x_mm strict_y_mm strict_z_mm depth_smooth depth_strict")
 def edt4(i):
-    return edt.centres(i.voxels, i.grids, levels(i.spark)).drop("smooth_y_mm", "smooth_z_mm", "strict_x_mm", "strict_y_mm")
+    return edt.centres(i.voxels, i.grids, levels(i.spark))
 
 
 # --- label edits ---------------------------------------------------------------------------

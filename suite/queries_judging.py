@@ -597,11 +597,12 @@ def snk2(i):
         F.col("relationships.present_levels").alias("present_levels"), F.size("overlaps").cast("long").alias("n_overlaps"), "features_version")
 
 
-@query("snk3", "SELECT case_id, label, voxel_count, median, std, p95, entropy FROM o_intensity", "median std p95 entropy")
+@query("snk3", """SELECT case_id, label, voxel_count, n_nonfinite_excluded, mean, median, std, lo AS min, hi AS max, p05, p25, p50, p75, p95, hi - lo AS range, p75 - p25 AS iqr, entropy
+    FROM o_intensity""", "mean median std min max p05 p25 p50 p75 p95 range iqr entropy")
 def snk3(i):
     doc = read_back(i, artifacts.image_document(label_intensity(i.voxels, i.scan)), "image")
     return doc.select("case_id", F.explode("per_label").alias("k", "e")).select(
-        "case_id", "e.label", "e.first_order.voxel_count", "e.first_order.median", "e.first_order.std", "e.first_order.p95", "e.first_order.entropy")
+        "case_id", "e.label", "e.first_order.*")
 
 
 @query("snk4", """
