@@ -92,20 +92,21 @@ WITH dw AS (
 SELECT doc_id, item_id, CAST(greatest(g, 0) AS BIGINT) AS first_word, agreeing, CAST(n AS BIGINT) AS item_words FROM b WHERE k = 1
 """
 
-#: As in the operator's module: fixed phrases, and the words of its templates.
+#: Label, words of a notice, words that must be there, words that must not.
 _T = [
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gnu-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("no-reuse", "no part of this publication may be reproduced without prior written permission"),
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache 2", ""),
+    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4", "nc nd sa"),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4", "nd sa"),
+    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4", "nc nd"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work", "waived", ""),
+    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu 3", "lesser affero"),
+    ("gnu-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu", "lesser affero"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "granted", ""),
+    ("mit", "under the mit license", "mit", ""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution", ""),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2", ""),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", ""),
+    ("no-reuse", "no part of this publication may be reproduced without prior written permission", "reproduced", ""),
 ]
 
 LICENCES = r"""
@@ -119,21 +120,24 @@ WITH w AS (
   WHERE a[i + 1 : i + len(ws)] = ws
 ), b AS (
   SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS ls FROM h GROUP BY r
-), l AS (
-  SELECT r, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w)
-), m(label, ws) AS (
-  SELECT label, list_distinct(string_split(txt, ' ')) FROM (VALUES %s) AS v(label, txt)
+), m AS (
+  SELECT row_number() OVER () AS k, label, list_distinct(string_split(txt, ' ')) AS ws, len(string_split(txt, ' ')) AS span, string_split(yes, ' ') AS must, string_split(no, ' ') AS other
+  FROM (VALUES %s) AS v(label, txt, yes, no)
+), q AS (
+  -- Every run of as many words as the notice has, in the texts that hold its words somewhere.
+  SELECT r, label, ws, must, other, a[s + 1 : s + span] AS b
+  FROM (SELECT r, a, label, ws, span, must, other, unnest(range(0, greatest(1, len(a) - span + 1))) AS s FROM w, m WHERE list_has_all(a, must) AND 10 * len(list_intersect(list_distinct(a), ws)) >= 8 * len(ws))
 ), c AS (
-  SELECT r, list(DISTINCT label) AS own, max(x) AS shared
-  FROM (SELECT l.r, m.label, len(list_intersect(l.ws, m.ws)) / CAST(len(m.ws) AS DOUBLE) AS x, len(list_intersect(l.ws, m.ws)) AS k, len(m.ws) AS n
-        FROM l, m WHERE len(l.ws) >= 3) WHERE 10 * k >= 8 * n GROUP BY r
+  SELECT r, list(DISTINCT label) AS own, max(n / CAST(len(ws) AS DOUBLE)) AS shared
+  FROM (SELECT *, len(list_intersect(list_distinct(b), ws)) AS n FROM q WHERE list_has_all(b, must) AND NOT list_has_any(b, other))
+  WHERE 10 * n >= 8 * len(ws) GROUP BY r
 )
 SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, lo AS first_word, hi AS last_word,
        coalesce(array_to_string(list_sort(ls), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(ls, []), coalesce(own, [])))), ','), '') AS labels,
        CASE WHEN b.n > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(shared, 0) END AS score
 FROM w LEFT JOIN b ON b.r = w.r LEFT JOIN c ON c.r = w.r
-""" % ", ".join(f"('{label}', '{text}')" for label, text in _T)
+""" % ", ".join(f"({', '.join(map(repr, row))})" for row in _T)
 
 FILTER_AUDIT = r"""
 WITH t AS (

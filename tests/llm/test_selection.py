@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from instqc.llm.common import digest
 from instqc.llm import decontamination, extraction, licences, mixing, quality, sharding, toxicity
 
 
@@ -111,6 +112,56 @@ def test_licences_of_odd_documents(spark, odd, empty):
     assert licences.licence_report(odd).count() == odd.count() and licences.licence_report(empty).count() == 0
 
 
+NOTICES = {
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+    "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+    "All of it is licensed under CC-BY-SA\n4.0 and no other.": "cc-by,cc-by-sa-4.0",
+    "Released under the MIT License.": "mit",
+    "the plan was licensed last year under rules made by the city in 4 parts and 0 costs cc": "",
+    "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public\n# License, version 2": "gnu-free,gpl",
+    "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software": "mit",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted": "bsd",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.": "mpl-2.0",
+    "granted software person mit": "",
+}
+
+
+def test_licence_notices(spark):
+    """Wrapped and short notices get their own label; sister licences and scattered words get none."""
+    texts = {f"{'some words before '*n}{text}{' and more behind'*n}": labels for n in (0, 40) for text, labels in NOTICES.items()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {list(texts)[r.doc_id]: r.labels for r in licences.licence_report(df).collect()}
+    assert got == texts
+
+
+def test_licence_blocks_against_all_runs(spark):
+    rng = random.Random(6)
+    docs = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            notice = rng.choice(licences.TEMPLATES)[1].split()
+            words += [w if rng.random() < 0.9 else rng.choice(["x", "cc", "nc", "the"]) for w in notice] + ["y"] * rng.randint(0, 3)
+        docs.append((i, rng.choice(" \n").join(words)))
+
+    def found(text):
+        a, out = text.split(), {}
+        for label, words, must, other in licences.TEMPLATES:
+            words, must, other = words.split(), set(must.split()), set(other.split())
+            for s in range(max(1, len(a) - len(words) + 1)):
+                block = set(a[s : s + len(words)])
+                n = len(block & set(words))
+                if 10 * n >= 8 * len(set(words)) and must <= block and not other & block:
+                    out[label] = max(out.get(label, 0), n / len(set(words)))
+        return out
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_th", digest(F.col("text")))
+    got = {}
+    for r in licences.contained(df.select("_th", "text")).join(df.drop("text").distinct(), "_th").collect():
+        got.setdefault(r.doc_id, {})[r.label] = r.shared
+    assert got == {i: f for i, t in docs if (f := found(t))} and len(got) > 60
+
+
 def test_quality_on_labels(spark, folder, odd, empty):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     r = quality.quality_report(docs).join(labels, "doc_id").toPandas()
