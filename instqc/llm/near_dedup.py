@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from instqc.llm.common import only_keys
+from instqc.llm.common import bound_batches, carried, digest, only_keys
 from instqc.llm.components import components
 from instqc.session import cut_lineage
 
@@ -311,8 +311,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """As near_duplicates, with _root (null without words) and _th, the hash of the text."""
-    base = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """As near_duplicates, with _root (null without words) and _th, the digest of the text."""
+    bound_batches(docs.sparkSession)
+    base = docs.select("doc_id", "text", digest(F.col("text")).alias("_th"))
     sketched = cut_lineage(sketches(base, k, ["doc_id", "_th"]))
     # A band hash of an equal set is equal too: the first of any is enough.
     classes = cut_lineage(
@@ -340,13 +341,14 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     """One row of each component, with all columns as given.
 
     The row with the smallest doc_id stays; of rows with that id, one with the
-    least text hash. Rows without words stay, except that of rows alike in id
-    and text one stays. Null ids stand behind all others.
+    least text digest. Rows without words stay, except that of rows alike in
+    id and text one stays. Null ids stand behind all others. Further columns,
+    whatever their names, come through as they are.
     """
     marked = grouped(docs, k, percent).filter("kept")
     alone = marked.filter("_root IS NULL").select("doc_id", "_th")
     first = marked.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(F.struct("doc_id", "_th")).alias("_one")).select("_one.*")
     kept = first.unionByName(alone).distinct().withColumnsRenamed({"doc_id": "_id", "_th": "_kept_th"})
-    hashed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = hashed["doc_id"].eqNullSafe(kept["_id"]) & (hashed["_th"] == kept["_kept_th"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    keyed = docs.select(carried(docs), F.col("doc_id").alias("_doc"), digest(F.col("text")).alias("_th"))
+    same = keyed["_doc"].eqNullSafe(kept["_id"]) & (keyed["_th"] == kept["_kept_th"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["_doc", "_th"]).select("_row.*")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
+from instqc.llm.common import bound_batches
+
 #: Votes of a labeller.
 JUNK, GOOD, ABSTAIN = "0", "1", "-"
 #: About so many documents, drawn by hash, train the scorer; the bound does not grow with the corpus.
@@ -52,15 +54,9 @@ def _kinds() -> np.ndarray:
 KINDS = _kinds()
 
 
-class BareMarks(dict):
+def bare(word: str) -> bool:
     """Whether a word has neither letter nor digit."""
-
-    def __missing__(self, word: str) -> bool:
-        value = self[word] = not any(map(str.isalnum, word))
-        return value
-
-
-BARE = BareMarks()
+    return not word.isalnum() and not any(map(str.isalnum, word))
 
 
 def measure(text: str) -> Measures | None:
@@ -73,8 +69,6 @@ def measure(text: str) -> Measures | None:
     letters = int(tally[1] + tally[3]) or 1
     chars = sum(map(len, words))
     lines = [line for line in text.split("\n") if line.strip()]
-    if len(BARE) > 100_000:
-        BARE.clear()
     return Measures(
         words=n,
         symbols=int(tally[4:].sum()) / chars,
@@ -83,7 +77,7 @@ def measure(text: str) -> Measures | None:
         stutter=sum(map(str.__eq__, words, words[1:])) / max(1, n - 1),
         copied_lines=1 - len(set(lines)) / len(lines) if lines else 0.0,
         word_length=chars / n,
-        bare_marks=sum(BARE[w] for w in words if len(w) < 4) / n,
+        bare_marks=sum(bare(w) for w in words if len(w) < 4) / n,
         sentence=n / max(1, text.count(".") + text.count("?")),
     )
 
@@ -150,8 +144,12 @@ def fit_labels(patterns: dict[str, int], rounds: int = 100) -> LabelModel:
     return model
 
 
+#: Words of which the shape is kept at hand, per task.
+SHAPES_KEPT = 50_000
+
+
 class Shapes(dict):
-    """Code point to the sign of its kind."""
+    """Code point to the sign of its kind; there are 17 planes of 65,536 at most."""
 
     def __missing__(self, point: int) -> str:
         c = chr(point)
@@ -167,10 +165,10 @@ class Slots(dict):
     """Feature number of the shape of each word seen: letter runs as A, a or Aa, digits as 9, marks as they are."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 100_000:
+        if len(self) >= SHAPES_KEPT:
             self.clear()
         shape = _RUN.sub(r"\1", word.translate(SHAPES))
-        value = self[word] = xxhash.xxh3_64_intdigest(shape[:8].encode("utf-8", "surrogatepass")) % DIMENSIONS
+        value = self[word] = xxhash.xxh3_64_intdigest(shape.encode("utf-8", "surrogatepass")) % DIMENSIONS
         return value
 
 
@@ -242,6 +240,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
     posteriors of about ``sample`` documents whose hash of id and text falls
     below a bound; their features alone are gathered.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     counted = texts.select(vote_column()("text").alias("votes")).groupBy("votes").count().collect()
     patterns = {r["votes"]: r["count"] for r in sorted(counted)}
