@@ -6,28 +6,49 @@ they need no skew handling. Everything above voxel level works on counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from instqc.functions.skew import salted_join
 from instqc.operators.inventory import canonical_position, inventory, with_levels
 from instqc.schemas import UNKNOWN
+from instqc.session import cut_lineage
 
 POSITION = ["case_id", "x", "y", "z"]
 
 
+def _spread(labels: str) -> list[Column]:
+    """Aggregates that tell the labels of a place apart: how many rows, smallest and largest label."""
+    return [F.expr(f"{what}({labels}) AS {labels}_{what}") for what in ("count", "min", "max")]
+
+
+def _known(labels: str) -> Column:
+    """Whether ``_spread`` says which labels a place has: one label, or two rows of different ones."""
+    return F.expr(f"{labels}_count = 0 OR {labels}_min = {labels}_max OR {labels}_count = 2")
+
+
+def _listed(labels: str) -> Column:
+    """The different labels of a place, rising, where they are ``_known``."""
+    low, high = f"{labels}_min", f"{labels}_max"
+    return F.expr(f"CASE WHEN {labels}_count = 0 THEN CAST(array() AS ARRAY<INT>) WHEN {low} = {high} THEN array({low}) ELSE array({low}, {high}) END")
+
+
 def label_overlaps(voxels: DataFrame, levels: DataFrame) -> DataFrame:
     """Voxels shared by two labels of a case (label_a < label_b).
 
-    The labels at one position are gathered in a small sorted set first (a
-    position carries as many entries as labels overlap there), so the voxel
-    table is read and shuffled once and not joined with itself.
+    Places are reduced to the number, the smallest and the largest of their
+    labels first, which is all there is to know where two labels meet; only
+    places with more rows are gathered in sorted sets (a position carries as
+    many entries as labels overlap there).
     """
-    stacked = (
-        voxels.groupBy(*POSITION)
-        .agg(F.array_sort(F.collect_set("label")).alias("labels"))
-        .filter(F.size("labels") > 1)
-    )
+    place = voxels.groupBy(*POSITION).agg(*_spread("label"))
+    meeting = cut_lineage(place.filter("label_min < label_max"))
+    stacked = meeting.filter(_known("label")).select("case_id", _listed("label").alias("labels"))
+    crowded = meeting.filter(~_known("label")).select(*POSITION)
+    if crowded.take(1):
+        stacked = stacked.unionByName(
+            voxels.join(crowded, POSITION, "left_semi").groupBy(*POSITION)
+            .agg(F.array_sort(F.collect_set("label")).alias("labels")).select("case_id", "labels"))
     later = lambda i: F.slice("labels", i + 2, F.size("labels"))
     pairs = F.flatten(F.transform(
         "labels",
@@ -133,16 +154,28 @@ def joint_counts(candidate: DataFrame, gt: DataFrame) -> DataFrame:
     columns are equal, in both at the same place.
     """
     marked = candidate.select(*POSITION, "label", F.lit(True).alias("_c")).unionByName(gt.select(*POSITION, "label", F.lit(False).alias("_c")))
-    places = marked.groupBy(*POSITION).agg(
-        F.collect_set(F.when(F.col("_c"), F.col("label"))).alias("_cand"), F.collect_set(F.when(~F.col("_c"), F.col("label"))).alias("_gt"))
+    # Most places have one label or two in each map, which numbers of fixed width tell; only others are gathered in sets.
+    sides = marked.select(*POSITION, F.when(F.col("_c"), F.col("label")).alias("_cand"), F.when(~F.col("_c"), F.col("label")).alias("_gt"))
+    spread = sides.groupBy(*POSITION).agg(*_spread("_cand"), *_spread("_gt"))
+    known = _known("_cand") & _known("_gt")
+    nothing = F.array().cast("array<int>")
+    places = spread.select("case_id", *[F.when(known, _listed(c)).otherwise(nothing).alias(c) for c in ("_cand", "_gt")])
     pair = lambda kind, g, c: F.struct(F.lit(kind).alias("per_label"), g.alias("gt_label"), c.alias("cand_label"))
     none = F.lit(None).cast("int")
     background = lambda c: F.when(F.size(c) == 0, F.array(none)).otherwise(F.col(c))
     met = F.flatten(F.transform(background("_gt"), lambda g: F.transform(background("_cand"), lambda c: pair(False, g, c))))
     within = lambda c, v: F.when(F.array_contains(c, v), v)
     held = F.transform(F.array_union("_gt", "_cand"), lambda v: pair(True, within("_gt", v), within("_cand", v)))
-    rows = places.select("case_id", F.inline(F.concat(met, held)))
-    return rows.groupBy("case_id", "per_label", "gt_label", "cand_label").agg(F.count(F.lit(1)).alias("n"))
+    key = ["case_id", "per_label", "gt_label", "cand_label"]
+    counted = lambda df: df.select("case_id", F.inline(F.concat(met, held))).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    first = cut_lineage(counted(places))
+    # Background met by background is no place of either map but one that is not known yet.
+    unknown = F.expr("NOT per_label AND gt_label IS NULL AND cand_label IS NULL")
+    if not first.filter(unknown).take(1):
+        return first
+    crowded = sides.join(spread.filter(~known).select(*POSITION), POSITION, "left_semi").groupBy(*POSITION).agg(
+        F.collect_set("_cand").alias("_cand"), F.collect_set("_gt").alias("_gt"))
+    return first.filter(~unknown).unionByName(counted(crowded)).groupBy(*key).agg(F.sum("n").alias("n"))
 
 
 def label_counts(joint: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from instqc.session import cut_lineage
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -141,7 +143,7 @@ class Inputs:
     """The adapter views of one data folder as DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._frames = spark, folder, {}
+        self.spark, self.folder, self._frames, self._written = spark, folder, {}, set()
 
     def frame(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -153,6 +155,14 @@ class Inputs:
                 self._frames[name] = self.spark.sql(text, **parts)
         return self._frames[name]
 
+    def written(self, *names: str) -> "Inputs":
+        """These views by way of tables, for queries that read them several times; views made of them read the tables."""
+        for name in names:
+            if name not in self._written:
+                self._frames[name] = cut_lineage(self.frame(name))
+                self._written.add(name)
+        return self
+
     def _voxels(self, name: str) -> DataFrame:
         return self.frame(name).select("case_id", "x", "y", "z", "label")
 
