@@ -1,7 +1,7 @@
 """Six-connected components of every label of every case.
 
-Space is cut into tiles of fixed size. Inside a tile, runs of voxels along z
-are labelled by a small vectorised helper; a tile can never hold more than its
+Space is cut into tiles of fixed size. Inside a tile, columns of voxels along z
+are bits, and their runs are labelled by a small vectorised helper; a tile can never hold more than its
 own volume, so no task depends on the size of a case or label. Only components
 that reach a tile face enter the distributed part: an edge table between tile
 components, merged over blocks of twice the edge at each level. What is left
@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,45 +103,56 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tile_parts(tile: tuple[int, int, int]):
-    """Grouped function: the runs of one tile -> its parts and border runs."""
+    """Grouped function: the columns of one tile -> its parts and border runs."""
     tx, ty, tz = tile
-
-    def label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for label, runs in pdf.groupby("label", sort=True):
-            runs = runs.sort_values(["x", "y", "z0"], kind="stable").reset_index(drop=True)
-            x, y = runs["x"].to_numpy(np.int64), runs["y"].to_numpy(np.int64)
-            z0, z1 = runs["z0"].to_numpy(np.int64), runs["z1"].to_numpy(np.int64)
+    n_words = -(-tz // 64)
+
+    def label_tile(key: tuple, table: pa.Table) -> pa.Table:
+        take = lambda name: table.column(name).to_numpy()
+        labels, xs, ys = take("label"), take("x").astype(np.int64), take("y").astype(np.int64)
+        words = np.stack([take(f"_w{k}") for k in range(n_words)], axis=1)
+        order = np.lexsort((ys, xs, labels))
+        bounds = np.flatnonzero(np.diff(labels[order])) + 1
+        low = key[3].as_py() * tz
+        heads, border = [], []
+        for rows in np.split(order, bounds):
+            x, y = xs[rows], ys[rows]
+            held = np.unpackbits(np.ascontiguousarray(words[rows]).astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(bool)
+            # Runs in order of x, y and z: a voxel without one below it begins a run.
+            begins, ends = held.copy(), held.copy()
+            begins[:, 1:] &= ~held[:, :-1]
+            ends[:, :-1] &= ~held[:, 1:]
+            column, first = np.nonzero(begins)
+            z0, z1 = low + first, low + np.nonzero(ends)[1]
             length = z1 - z0 + 1
-            box = np.full((x.max() - x.min() + 1, y.max() - y.min() + 1, z1.max() - z0.min() + 1), -1)
-            ids = np.repeat(np.arange(len(runs)), length)
-            inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            box[x[ids] - x.min(), y[ids] - y.min(), z0[ids] + inside - z0.min()] = ids
+            box = np.full((x.max() - x.min() + 1, y.max() - y.min() + 1, held.shape[1]), -1, np.int32)
+            box[x - x.min(), y - y.min()] = np.where(held, np.cumsum(begins).reshape(begins.shape) - 1, -1)
             pairs = []
             for left, right in ((box[:-1], box[1:]), (box[:, :-1], box[:, 1:])):
                 both = (left >= 0) & (right >= 0)
-                pairs.append(np.stack([left[both], right[both]], axis=1))
-            edges = np.unique(np.concatenate(pairs), axis=0)
-            root = _roots(len(runs), edges[:, 0], edges[:, 1])
-            packed = (x << 2 * BITS) + (y << BITS) + z0
-            rep = packed[root]
-            sizes = np.bincount(root, weights=length, minlength=len(runs)).astype(np.int64)
-            heads = np.flatnonzero(sizes)
-            out.append(pd.DataFrame({"label": label, "rep": packed[heads], "size": sizes[heads]}))
+                pairs.append(left[both].astype(np.int64) * len(z0) + right[both])
+            edges = np.unique(np.concatenate(pairs))
+            root = _roots(len(z0), edges // len(z0), edges % len(z0))
+            x, y = x[column], y[column]
+            rep = ((x << 2 * BITS) + (y << BITS) + z0)[root]
+            sizes = np.bincount(root, weights=length, minlength=len(z0)).astype(np.int64)
+            at = np.flatnonzero(sizes)
+            label = np.full(len(z0), labels[rows[0]])
+            heads.append((label[at], rep[at], sizes[at]))
             face = (
                 (x % tx == 0) | (x % tx == tx - 1) | (y % ty == 0) | (y % ty == ty - 1)
                 | (z0 % tz == 0) | (z1 % tz == tz - 1)
             )
-            out.append(pd.DataFrame({
-                "label": label, "rep": rep[face],
-                "x": x[face], "y": y[face], "z0": z0[face], "z1": z1[face],
-            }))
-        result = pd.concat(out, ignore_index=True)
-        result.insert(0, "case_id", pdf["case_id"].iloc[0])
-        for name, kind in (("label", "Int32"), ("rep", "Int64"), ("size", "Int64"),
-                           ("x", "Int32"), ("y", "Int32"), ("z0", "Int32"), ("z1", "Int32")):
-            result[name] = (result[name] if name in result else pd.Series(pd.NA, index=result.index)).astype(kind)
-        return result[["case_id", "label", "rep", "size", "x", "y", "z0", "z1"]]
+            border.append(tuple(c[face] for c in (label, rep, x, y, z0, z1)))
+        label, rep, size = map(np.concatenate, zip(*heads))
+        face_label, face_rep, *face = map(np.concatenate, zip(*border))
+        n, m = len(label), len(face_label)
+        either = lambda a, b, kind: pa.concat_arrays([pa.nulls(n, kind) if a is None else pa.array(a, kind), pa.nulls(m, kind) if b is None else pa.array(b, kind)])
+        return pa.table({
+            "case_id": pa.repeat(pa.scalar(key[0].as_py(), pa.string()), n + m),
+            "label": either(label, face_label, pa.int32()), "rep": either(rep, face_rep, pa.int64()), "size": either(size, None, pa.int64()),
+            **{name: either(None, values, pa.int32()) for name, values in zip(("x", "y", "z0", "z1"), face)},
+        })
 
     return label_tile
 
@@ -149,8 +161,9 @@ def tile_parts(voxels: DataFrame, tile: tuple[int, int, int] = TILE) -> DataFram
     """Parts of components inside tiles, and the runs on tile faces.
 
     Rows with ``size`` are parts (their smallest run id is ``rep``); rows with
-    coordinates are border runs. One shuffle by tile serves the run encoding
-    and the labelling alike.
+    coordinates are border runs. One shuffle by tile serves the gathering of
+    columns and the labelling alike. A label's voxel column is one row of bits,
+    so what a task aggregates and sorts are columns of fixed width.
     """
     key = ["case_id", "_tx", "_ty", "_tz"]
 
@@ -163,8 +176,13 @@ def tile_parts(voxels: DataFrame, tile: tuple[int, int, int] = TILE) -> DataFram
         "case_id", "label", "x", "y", "z",
         *[F.floor(F.col(a) / t).cast("int").alias(f"_t{a}") for a, t in zip("xyz", tile)],
     ).repartition(*key)
-    runs = z_runs(tiled, [*key, "label", "x", "y"])
-    return runs.groupBy(*key).applyInPandas(_tile_parts(tile), PARTS)
+    within = f"z - _tz * {tile[2]}"
+    words = [
+        F.expr(f"coalesce(bit_or(IF(({within}) DIV 64 = {k}, shiftleft(1L, ({within}) % 64), NULL)), 0L) AS _w{k}")
+        for k in range(-(-tile[2] // 64))
+    ]
+    columns = tiled.groupBy(*key, "label", "x", "y").agg(*words)
+    return columns.groupBy(*key).applyInArrow(_tile_parts(tile), PARTS)
 
 
 def part_edges(parts: DataFrame, tile: tuple[int, int, int] = TILE) -> DataFrame:
