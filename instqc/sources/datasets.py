@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from instqc.functions.skew import BROADCAST_KEYS
+from instqc.session import cut_lineage
+
 ROLES = ("gt", "candidate")
 SEG_SUFFIX = "_seg.nii.gz"
 SCAN_SUFFIX = "_scan.nii.gz"
@@ -154,10 +157,13 @@ def check_manifest(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("expected.expected_verdict").isNull(), "missing expected_verdict")
     )
     marked = cases.withColumn("reason", missing)
-    repeated = cases.filter(F.col("case_id").isNotNull()).groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("case_id", F.lit("duplicate case_id").alias("_dup"))
-    marked = marked.join(repeated, "case_id", "left").withColumn("reason", F.coalesce("reason", "_dup")).drop("_dup")
-    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
+    repeated = cut_lineage(cases.filter(F.col("case_id").isNotNull()).groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("case_id"))
+    # Only lines without another fault are looked up, as malformed ones share the missing id; the few repeated ids are hashed, so that no line is sorted.
+    keys = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated.hint("shuffle_hash")
+    sound, faulty = marked.filter(F.col("reason").isNull()), marked.filter(F.col("reason").isNotNull())
+    copies = sound.join(keys, "case_id", "left_semi").withColumn("reason", F.lit("duplicate case_id")).select(*marked.columns)
+    return sound.join(keys, "case_id", "left_anti").select(*cases.columns), faulty.unionByName(copies)
 
 
 def expected_table(cases: DataFrame) -> DataFrame:
