@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cells of a matrix of lines that are worked on at once.
 CELLS = 1 << 20
@@ -140,3 +143,66 @@ def smoothed(places: pa.Array, values: pa.Array, size: pa.Array, kernel: np.ndar
         found_p, found_v = np.concatenate(found_p)[sort], np.concatenate(found_v)[sort]
     cells = pa.StructArray.from_arrays([pa.array(found_p, pa.int32()), pa.array(found_v, pa.float64())], names=["p", "v"])
     return lists(cells, counts)
+
+
+def changes(*columns: pa.ChunkedArray | np.ndarray) -> np.ndarray:
+    """For every row but the first whether any column differs from the row before."""
+    differs = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        differs |= c[1:] != c[:-1] if isinstance(c, np.ndarray) else pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy()
+    return differs
+
+
+def whole_groups(keys: Sequence[str], work: Callable[[pa.Table, np.ndarray], pa.Table]):
+    """Function over Arrow batches of rows in order of ``keys``: ``work`` gets whole groups and the number of each row's group.
+
+    What a batch leaves open of its last group waits for the next batch.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table, differs: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if table.num_rows:
+                yield from work(table, np.r_[0, np.cumsum(differs[: table.num_rows - 1])]).to_batches()
+
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if waiting and not any(waiting[-1][k][-1].as_py() != batch[k][0].as_py() for k in keys) and not changes(*[pa.chunked_array([batch[k]]) for k in keys]).any():
+                waiting.append(batch)  # all of one group
+                continue
+            table = pa.Table.from_batches([*waiting, batch]).combine_chunks()
+            differs = changes(*[table[k] for k in keys])
+            last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+            yield from done(table.slice(0, last), differs)
+            waiting = table.slice(last).to_batches()
+        if waiting:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            yield from done(table, changes(*[table[k] for k in keys]))
+
+    return run
+
+
+def _as_lines(group: np.ndarray, line: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of cells by line and place, the number of cells of each line, and its first cell."""
+    order = np.lexsort((place, line, group))
+    first = np.flatnonzero(np.r_[True, changes(group[order], line[order])]) if len(order) else np.empty(0, np.int64)
+    return order, np.diff(np.r_[first, len(order)]), order[first]
+
+
+def lowered(group: np.ndarray, line: np.ndarray, place: np.ndarray, squared: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``run_distances`` of cells given one by one; infinite where nothing is known."""
+    order, lengths, first = _as_lines(group, line, place)
+    known = np.isfinite(squared[order])
+    held = pa.array(np.where(known, squared[order], 0).astype(np.int64), mask=~known)
+    best = run_distances(lists(pa.array(place[order]), lengths), lists(held, lengths), size[first])
+    out = np.empty(len(order))
+    out[order] = ragged(best, float, np.inf)[0]
+    return out
+
+
+def spread(group: np.ndarray, line: np.ndarray, place: np.ndarray, values: np.ndarray, size: np.ndarray, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``smoothed`` of cells given one by one: a cell of the line, the place and the sum of every place reached."""
+    order, lengths, first = _as_lines(group, line, place)
+    cells = smoothed(lists(pa.array(place[order]), lengths), lists(pa.array(values[order]), lengths), size[first], kernel)
+    flat = cells.flatten()
+    return np.repeat(first, np.diff(cells.offsets.to_numpy())), flat.field("p").to_numpy().astype(np.int64), flat.field("v").to_numpy()

@@ -65,3 +65,10 @@ def of_cases(big: DataFrame, cases: DataFrame, how: str = "left_semi") -> DataFr
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     return big.join(keys, "case_id", how)
+
+
+def case_join(big: DataFrame, per_case: DataFrame, spread: Sequence[str]) -> DataFrame:
+    """Inner join of a large table with one small row per case: few are broadcast after a count, many salted."""
+    if per_case.count() <= BROADCAST_KEYS:
+        return big.join(F.broadcast(per_case), "case_id")
+    return salted_join(big, per_case, ["case_id"], spread)

@@ -1,6 +1,6 @@
 """Exact distance transform of labels and the centres derived from it.
 
-Distances are separable: one pass per axis along maximal runs of a label in a
+Distances are separable, and two axes are done in one plane: one pass per axis along maximal runs of a label in a
 line of voxels. Beyond the ends of a run the nearest background voxel of that
 line is the adjacent one, so only the run and its two neighbours matter, and a
 run is never longer than the grid. Outside the grid is not background.
@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from instqc.functions.lines import run_distances, smoothed
-from instqc.functions.skew import salted_join
+from instqc.functions.lines import lowered, spread, whole_groups
+from instqc.functions.skew import BROADCAST_KEYS, case_join, salted_join
 from instqc.operators.inventory import with_levels
 from instqc.session import cut_lineage
 
@@ -27,41 +26,56 @@ RADIUS = 4
 ATLAS_AXIS = ("C1", "C2")
 
 
-def _lines(df: DataFrame, axis: str, value: str) -> tuple[DataFrame, list[str]]:
-    """One row per label and line along ``axis``: rising places ``p``, their values ``v``, and the names of its other columns.
+CELL = "case_id string, label int, x int, y int, z int, nx int, ny int, nz int"
 
-    A line is never longer than the grid.
+
+def _in_planes(df: DataFrame, axis: str, work, schema: str) -> DataFrame:
+    """``work`` on whole planes of labels: the voxels of one label at one place of ``axis``.
+
+    A plane is never larger than the grid's. Rows are dealt and sorted, and
+    pass as they are, so nothing is collected by group.
     """
-    line = [*KEYS, *[a for a in AXES if a != axis], *[f"n{a}" for a in AXES]]
-    cells = F.array_sort(F.collect_list(F.struct(F.col(axis).alias("p"), F.col(value).alias("v"))))
-    rows = df.groupBy(*line).agg(cells.alias("_c"))
-    return rows.select(*line, F.col("_c.p").alias("p"), F.col("_c.v").alias("v")), line
+    plane = [*KEYS, axis]
+    rows = df.repartition(*plane).sortWithinPartitions(*plane)
+    return rows.mapInArrow(whole_groups(plane, work), schema)
+
+
+def _numbers(table: pa.Table) -> dict[str, np.ndarray]:
+    return {c: table[c].to_numpy().astype(np.int64) for c in (*AXES, "nx", "ny", "nz")}
+
+
+def _line(at: dict[str, np.ndarray], axis: str) -> np.ndarray:
+    """A number per line along ``axis``."""
+    p, q = (at[a] for a in AXES if a != axis)
+    return q * (p.max() - p.min() + 1) + p if len(p) else p
 
 
-def _line_pass(df: DataFrame, axis: str) -> DataFrame:
-    """Lower ``d2`` to the best squared distance reachable along ``axis``.
+def _lower(axes: tuple[str, ...]):
+    """Lower ``d2`` to the best squared distance reachable along ``axes``, one after another.
 
     ``d2`` NULL means no background found so far. The lower envelope of the
     parabolas over a run gives the minimum in linear time.
     """
-    rows, line = _lines(df, axis, "d2")
+    def work(table: pa.Table, group: np.ndarray) -> pa.Table:
+        at = _numbers(table)
+        d2 = table["d2"].cast(pa.float64()).to_numpy()
+        d2 = np.where(np.isnan(d2), np.inf, d2)
+        for axis in axes:
+            d2 = lowered(group, _line(at, axis), at[axis], d2, at[f"n{axis}"])
+        known = np.isfinite(d2)
+        column = pa.array(np.where(known, d2, 0).astype(np.int64), mask=~known)
+        return table.set_column(table.schema.get_field_index("d2"), "d2", column)
 
-    @F.arrow_udf(ArrayType(LongType()))
-    def lowered(places: pa.Array, squared: pa.Array, size: pa.Array) -> pa.Array:
-        return run_distances(places, squared, size)
-
-    best = F.arrays_zip("p", lowered("p", "v", f"n{axis}").alias("d2"))
-    return rows.select(*line, F.inline(best)).select(*line, F.col("p").alias(axis), "d2")
+    return work
 
 
 def distance(voxels: DataFrame, grids: DataFrame) -> DataFrame:
     """(case_id, label, x, y, z, edt): distance in voxels to the nearest voxel
     outside the label; NULL when the label fills its whole grid."""
     header = grids.select("case_id", "nx", "ny", "nz")
-    df = salted_join(voxels.select(*KEYS, *AXES), header, ["case_id"], list(AXES))
-    df = df.withColumn("d2", F.lit(None).cast("long"))
-    for axis in ("z", "y", "x"):
-        df = _line_pass(df, axis)
+    df = case_join(voxels.select(*KEYS, *AXES), header, list(AXES)).select(*KEYS, *AXES, "nx", "ny", "nz", F.lit(None).cast("long").alias("d2"))
+    df = _in_planes(df, "x", _lower(("z", "y")), f"{CELL}, d2 long")
+    df = _in_planes(df, "y", _lower(("x",)), f"{CELL}, d2 long")
     return df.select(*KEYS, *AXES, *[f"n{a}" for a in AXES], F.sqrt("d2").alias("edt"))
 
 
@@ -81,48 +95,68 @@ def gaussian_kernel(sigma: float = 1.0, radius: int = RADIUS) -> list[float]:
     return [w / sum(weights) for w in weights]
 
 
-def _smooth_axis(df: DataFrame, axis: str, kernel: list[float]) -> DataFrame:
-    """Convolution along one axis as sums over shifted lines; the border is mirrored at the voxel edge."""
-    rows, line = _lines(df, axis, "v")
-    weights = np.array(kernel)
-
-    @F.arrow_udf("array<struct<p:int,v:double>>")
-    def sums(places: pa.Array, values: pa.Array, size: pa.Array) -> pa.Array:
-        return smoothed(places, values, size, weights)
+def _smooth(axes: tuple[str, ...], kernel: np.ndarray, only_top: bool = False):
+    """Convolution along ``axes`` as sums over shifted lines; the border is mirrored at the voxel edge.
 
-    return rows.select(*line, F.inline(sums("p", "v", f"n{axis}"))).withColumnRenamed("p", axis)
+    ``only_top`` leaves of every plane what may be its largest at nine decimals.
+    """
+    def work(table: pa.Table, group: np.ndarray) -> pa.Table:
+        at = _numbers(table)
+        v = np.nan_to_num(table["v"].to_numpy(), nan=0.0)
+        row = np.arange(table.num_rows)
+        for axis in axes:
+            cell, place, v = spread(group, _line(at, axis), at[axis], v, at[f"n{axis}"], kernel)
+            at = {c: values[cell] for c, values in at.items()} | {axis: place}
+            group, row = group[cell], row[cell]
+        if only_top and len(v):
+            top = np.full(group.max() + 1, -np.inf)
+            np.maximum.at(top, group, v)
+            keep = v >= top[group] - 1e-8
+            at, row, v = {c: values[keep] for c, values in at.items()}, row[keep], v[keep]
+        keys = {c: table[c].take(pa.array(row)) for c in KEYS}
+        return pa.table({**keys, **{c: pa.array(values, pa.int32()) for c, values in at.items()}, "v": v})
+
+    return work
 
 
 def strict_centre(field: DataFrame, sigma: float = 1.0) -> DataFrame:
     """Position of the largest Gaussian-smoothed distance; ties go to the first
     voxel in x, y, z order (values are compared at nine decimals)."""
-    kernel = gaussian_kernel(sigma)
+    kernel = np.array(gaussian_kernel(sigma))
     df = field.select(*KEYS, *AXES, *[f"n{a}" for a in AXES], F.col("edt").alias("v"))
-    for axis in AXES:
-        df = _smooth_axis(df, axis, kernel)
+    df = _in_planes(df, "z", _smooth(("x", "y"), kernel), f"{CELL}, v double")
+    df = _in_planes(df, "x", _smooth(("z",), kernel, True), f"{CELL}, v double")
     first = F.min_by(F.struct(*AXES), F.struct(-F.round("v", 9), *AXES))
     return df.groupBy(*KEYS).agg(first.alias("_p")).select(
         *KEYS, *[F.col(f"_p.{a}").cast("double").alias(f"strict_{a}") for a in AXES]
     )
 
 
-def depth_at(centres: DataFrame, field: DataFrame, prefix: str) -> DataFrame:
-    """Depth below the label surface at the rounded centre; 0 outside the label."""
-    at = centres.select(*KEYS, *[F.rint(f"{prefix}_{a}").cast("int").alias(a) for a in AXES])
-    hit = at.join(field.select(*KEYS, *AXES, "edt"), [*KEYS, *AXES], "left")
-    return hit.select(*KEYS, F.greatest(F.lit(0.0), F.coalesce("edt", F.lit(0.0)) - 0.5).alias(f"depth_{prefix}"))
+def depths_at(centres: DataFrame, field: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
+    """Depth below the label surface at the rounded centres; 0 outside the label.
+
+    One row per label and centre is looked up in the field: few are broadcast
+    after a count, so that the field is not shuffled.
+    """
+    places = F.array(*[
+        F.struct(F.lit(p).alias("_which"), *[F.rint(f"{p}_{a}").cast("int").alias(a) for a in AXES]) for p in prefixes])
+    at = cut_lineage(centres.select(*KEYS, F.inline(places)))
+    keys = F.broadcast(at) if at.count() <= BROADCAST_KEYS else at
+    depth = lambda p: F.coalesce(F.max(F.when(F.col("_which") == p, F.col("edt") - 0.5)), F.lit(0.0))
+    hit = field.select(*KEYS, *AXES, "edt").join(keys, [*KEYS, *AXES]).groupBy(*KEYS).agg(
+        *[F.greatest(F.lit(0.0), depth(p)).alias(f"depth_{p}") for p in prefixes])
+    return at.select(*KEYS).distinct().join(hit, KEYS, "left").fillna(0.0)
 
 
 def centres(voxels: DataFrame, grids: DataFrame, levels: DataFrame) -> DataFrame:
     """Smooth and strict centres (voxel and mm) and their depths per label.
 
-    The distance field has four consumers and takes three shuffles to make, so
+    The distance field has four consumers and takes two shuffles to make, so
     it is written once.
     """
     field = cut_lineage(distance(voxels, grids))
-    both = smooth_centre(field).join(strict_centre(field), KEYS)
-    for prefix in ("smooth", "strict"):
-        both = both.join(depth_at(both, field, prefix), KEYS)
+    both = cut_lineage(smooth_centre(field).join(strict_centre(field), KEYS))
+    both = both.join(depths_at(both, field, ("smooth", "strict")), KEYS)
     df = with_levels(both.join(grids.select("case_id", "sx", "sy", "sz"), "case_id"), levels)
     mm = [
         (F.col(f"{prefix}_{a}") * F.col(f"s{a}")).alias(f"{prefix}_{a}_mm")

@@ -5,8 +5,9 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
-from instqc.operators import components, overlap
+from instqc.operators import components, edt, overlap
 from instqc.schemas import VOXELS, levels
+from instqc.sources import datasets
 from suite.views import Inputs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -52,3 +53,35 @@ def test_written_views_are_read_as_tables(spark):
     text = plan(i.candidate) + plan(i.grids)
     assert "lineitem.parquet" not in text
     assert i.voxels.exceptAll(Inputs(spark, FOLDER).voxels).count() == 0
+
+
+def test_distance_collects_nothing(spark):
+    """Planes pass as sorted rows, whatever the size of Arrow batches; no list is built by group."""
+    voxels = spark.createDataFrame([("a", x, y, z, 1) for x in range(1, 6) for y in range(1, 6) for z in range(1, 6)] + [("b", 0, 0, 0, 1)], VOXELS)
+    grids = spark.createDataFrame([("a", 9, 9, 9), ("b", 1, 1, 1)], "case_id string, nx int, ny int, nz int")
+    assert "collect_list" not in plan(edt.distance(voxels, grids))
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {(r["case_id"], r["x"], r["y"], r["z"]): r["edt"] for r in edt.distance(voxels, grids).collect()}
+            strict = edt.strict_centre(edt.distance(voxels, grids)).filter("case_id = 'a'").collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got.pop(("b", 0, 0, 0)) is None
+        assert got == {("a", x, y, z): float(min(min(c, 6 - c) for c in (x, y, z))) for x in range(1, 6) for y in range(1, 6) for z in range(1, 6)}
+        assert [(r["strict_x"], r["strict_y"], r["strict_z"]) for r in strict] == [(3.0, 3.0, 3.0)]
+
+
+def test_manifest_lines_are_not_sorted(spark, monkeypatch):
+    """Lines are looked up by hash, few repeated ids or many, and faulty ones not at all."""
+    schema = "case_id string, gt string, expected struct<expected_verdict:string>, malformed string"
+    cases = spark.createDataFrame(
+        [("a", "g", ("pass",), None), ("b", "g", ("pass",), None), ("b", "g", ("pass",), None), ("c", None, ("pass",), None), (None, "g", ("pass",), None)]
+        + [(None, None, None, "{x")] * 3, schema)
+    for limit in (10, 0):
+        monkeypatch.setattr(datasets, "BROADCAST_KEYS", limit)
+        valid, errors = datasets.check_manifest(cases)
+        assert "SortMergeJoin" not in plan(valid) + plan(errors)
+        assert [r["case_id"] for r in valid.collect()] == ["a"]
+        assert sorted((r["case_id"] or "", r["reason"]) for r in errors.collect()) == [
+            ("", "malformed line")] * 3 + [("", "missing case_id"), ("b", "duplicate case_id"), ("b", "duplicate case_id"), ("c", "missing gt")]
