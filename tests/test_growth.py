@@ -5,7 +5,10 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
+from instqc.config import merge_config
 from instqc.operators import components, edt, overlap
+from instqc.operators.intensity import label_intensity
+from instqc.plans.judge import build_tables
 from instqc.schemas import VOXELS, levels
 from instqc.sources import datasets
 from suite.views import Inputs
@@ -85,3 +88,13 @@ def test_manifest_lines_are_not_sorted(spark, monkeypatch):
         assert [r["case_id"] for r in valid.collect()] == ["a"]
         assert sorted((r["case_id"] or "", r["reason"]) for r in errors.collect()) == [
             ("", "malformed line")] * 3 + [("", "missing case_id"), ("b", "duplicate case_id"), ("b", "duplicate case_id"), ("c", "missing gt")]
+
+
+def test_tables_made_before_are_taken(spark):
+    """Components and intensities of the same maps are not made again."""
+    voxels = spark.createDataFrame([("a", 0, 0, z, 20) for z in range(3)], VOXELS)
+    grids = spark.createDataFrame([("a", 4, 4, 4, 1.0, 1.0, 1.0, "RAS")], "case_id string, nx int, ny int, nz int, sx double, sy double, sz double, axcodes string")
+    scans = spark.createDataFrame([("a", 0, 0, z, 5.0) for z in range(3)], "case_id string, x int, y int, z int, hu double")
+    parts, bright = components.summary(components.components(voxels), grids), label_intensity(voxels, scans)
+    tables = build_tables(voxels, grids, merge_config(), scans=scans, parts=parts, bright=bright)
+    assert tables.intensity is bright and tables.components.collect() == parts.collect()
