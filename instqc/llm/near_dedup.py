@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ BINS, ROWS = 128, 4
 SMALL_BUCKET = 64
 #: Counters of shingles, by their lowest bits, that give the prefix join its order.
 SLOTS = 1 << 20
+#: 64-bit words of the parity bits of a set.
+PARITY_WORDS = 8
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -164,24 +166,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Every item of a set turns over one of 64 * PARITY_WORDS bits, named by its lowest bits."""
+    counts = np.bincount((hashes & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def own_roots(sets: DataFrame) -> DataFrame:
+    """(node, root, bits): every class as a component of its own, with the parity bits of its set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parity(items.values.to_numpy().view(np.uint64)) for items in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), lists(bits)], names=["node", "root", "bits"])
+
+    return sets.select("key", "items").mapInArrow(work, "node binary, root binary, bits array<bigint>")
+
+
+def may_fit(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, n, bits, v, m, _bits) that sizes and parity bits do not rule out.
+
+    The bits in which two sets differ are the parity of what only one of them
+    holds, so they are never more than that. A pair that fits has at most
+    (100 - percent) / (100 + percent) of both sizes in one set only.
+    """
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("_bits", F.lit(i)))) for i in range(PARITY_WORDS)))
+    sized = pairs.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return sized.filter((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m")))
+
+
 def centre_pairs(placed: DataFrame, draws: range) -> DataFrame:
-    """Members of each bucket paired with the centres that they are not connected with: (u, n, v, m).
+    """Members of each bucket paired with the centres that they are not connected with: (u, n, bits, v, m, _bits).
 
     One centre per draw: draw 0 takes the least key, others the least hash of key and draw.
     """
     def centre(number: int):
         draw = F.lit(0).cast("long") if number == 0 else F.xxhash64("key", F.lit(number))
-        return F.min(F.struct(draw.alias("_o"), F.col("key"), F.col("root"), F.col("n"))).alias(f"_c{number}")
+        return F.min(F.struct(draw.alias("_o"), F.col("key"), F.col("root"), F.col("n"), F.col("bits"))).alias(f"_c{number}")
 
     centres = placed.groupBy("bucket").agg(*map(centre, draws)).select("bucket", F.explode(F.array(*(f"_c{i}" for i in draws))).alias("_c"))
-    centres = centres.select("bucket", F.col("_c.key").alias("v"), F.col("_c.root").alias("_root"), F.col("_c.n").alias("m"))
-    return placed.join(centres, "bucket").filter("root <> _root").select(F.col("key").alias("u"), "n", "v", "m")
+    centres = centres.select("bucket", F.col("_c.key").alias("v"), F.col("_c.root").alias("_root"), F.col("_c.n").alias("m"), F.col("_c.bits").alias("_bits"))
+    return placed.join(centres, "bucket").filter("root <> _root").select(F.col("key").alias("u"), "n", "bits", "v", "m", "_bits")
 
 
 def small_pairs(placed: DataFrame) -> DataFrame:
     """All pairs that small buckets leave apart; a bucket of b classes has fewer than b * SMALL_BUCKET."""
-    other = placed.select("bucket", F.col("key").alias("v"), F.col("root").alias("_root"), F.col("n").alias("m"))
-    return placed.join(other, "bucket").filter((F.col("key") > F.col("v")) & (F.col("root") != F.col("_root"))).select(F.col("key").alias("u"), "n", "v", "m")
+    other = placed.select("bucket", F.col("key").alias("v"), F.col("root").alias("_root"), F.col("n").alias("m"), F.col("bits").alias("_bits"))
+    return placed.join(other, "bucket").filter((F.col("key") > F.col("v")) & (F.col("root") != F.col("_root"))).select(F.col("key").alias("u"), "n", "bits", "v", "m", "_bits")
 
 
 def slot_counts(sets: DataFrame) -> np.ndarray:
@@ -201,7 +232,7 @@ def slot_counts(sets: DataFrame) -> np.ndarray:
 
 
 def prefix_rows(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(token, at, key, root, n, short): the first items of each set, rarest first.
+    """(token, at, key, root, n, bits, short): the first items of each set, rarest first.
 
     A set that fits another shares with it one of its first n - need + 1
     items, need being the least possible intersection. With a set no smaller
@@ -223,29 +254,29 @@ def prefix_rows(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 continue
             picks = pa.array(np.concatenate(picks))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), *(batch.column(i).take(picks) for i in (0, 1, 3)), pa.array(np.concatenate(short))],
-                names=["token", "at", "key", "root", "n", "short"],
+                [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), *(batch.column(i).take(picks) for i in (0, 1, 3, 4)), pa.array(np.concatenate(short))],
+                names=["token", "at", "key", "root", "n", "bits", "short"],
             )
 
-    rows = sets.select("key", "root", "items", F.size("items").cast("long").alias("n"))
-    return rows.mapInArrow(work, "token long, at long, key binary, root binary, n long, short boolean")
+    rows = sets.select("key", "root", "items", F.size("items").cast("long").alias("n"), "bits")
+    return rows.mapInArrow(work, "token long, at long, key binary, root binary, n long, bits array<bigint>, short boolean")
 
 
 def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes in ``placed`` that are apart and may fit: (u, n, v, m).
+    """All pairs of classes in ``placed`` that are apart and may fit: (u, n, bits, v, m, _bits).
 
     An exact prefix join of their full sets with size and positional filters.
     Its order is by counts of slots, which several shingles may share; any
     order is right, and the rarer the first items are, the fewer the pairs.
     """
-    apart = placed.select("key", "root").distinct()
+    apart = placed.select("key", "root", "bits").distinct()
     chosen = cut_lineage(only_keys(sets, apart, ["key"]).join(apart, "key"))
     rows = cut_lineage(prefix_rows(chosen, slot_counts(chosen), percent))
-    index = rows.filter("short").select("token", F.col("at").alias("_at"), F.col("key").alias("v"), F.col("root").alias("_root"), F.col("n").alias("m"))
+    index = rows.filter("short").select("token", F.col("at").alias("_at"), F.col("key").alias("v"), F.col("root").alias("_root"), F.col("n").alias("m"), F.col("bits").alias("_bits"))
     pairs = rows.join(index, "token").filter("root <> _root AND (n > m OR n = m AND key > v)").filter(100 * F.col("m") >= percent * F.col("n"))
     # Behind the first item shared there must be enough left of both.
     pairs = pairs.filter((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("_at")) >= percent * (F.col("n") + F.col("m")))
-    return pairs.select(F.col("key").alias("u"), "n", "v", "m")
+    return pairs.select(F.col("key").alias("u"), "n", "bits", "v", "m", "_bits")
 
 
 def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,10 +289,12 @@ def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     not all connected then come up again: small ones with every pair that is
     still apart, large ones with one more centre and, where that leaves
     classes apart, with an exact prefix join of these. After it every pair of
-    a bucket that fits is connected.
+    a bucket that fits is connected. Links are told from other pairs by the
+    full sets, and of pairs only those that the bits of both do not rule out.
+    Components met before are one node when new links are contracted.
     """
-    label = cut_lineage(members.select(F.col("key").alias("node"), F.col("key").alias("root")).distinct())
-    links = tried = None
+    label = cut_lineage(own_roots(sets))
+    tried = None
     for step in ("star", "small", "rest"):
         placed = members.join(label, members["key"] == label["node"]).drop("node")
         if step == "star":
@@ -276,8 +309,7 @@ def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
                 pairs = prefix_pairs(large, sets, percent)
             else:
                 break
-        fitting = pairs.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        pairs = fitting.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        pairs = may_fit(pairs, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = cut_lineage(pairs)
@@ -285,12 +317,12 @@ def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         new = cut_lineage(confirmed(pairs, sets, percent))
         if not new.take(1):
             continue
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
-        label = cut_lineage(
-            label.select("node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"))
-        )
-    return label
+        at = lambda end: label.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
+        if step != "star":
+            new = new.join(at("v"), "v").join(at("u"), "u").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+        roots = components(new).select(F.col("node").alias("root"), F.col("root").alias("_new"))
+        label = cut_lineage(label.join(roots, "root", "left").select("node", F.coalesce("_new", "root").alias("root"), "bits"))
+    return label.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

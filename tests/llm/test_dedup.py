@@ -155,3 +155,27 @@ def test_lines_against_all_pairs(spark):
 def test_lines_of_odd_documents(spark, odd, empty):
     assert lines.line_report(odd).count() == odd.count()
     assert lines.line_report(empty).count() == 0
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=80), st.sets(st.integers(0, 2**64 - 1), max_size=80))
+@settings(max_examples=30, deadline=None)
+def test_parity_bits_never_differ_more_than_sets(a, b):
+    one, two = (near_dedup.parity(np.array(sorted(s), np.uint64)) for s in (a, b))
+    assert len(one) == near_dedup.PARITY_WORDS and sum(int(x).bit_count() for x in one ^ two) <= len(a ^ b)
+
+
+def test_near_shares_of_a_set_are_not_compared_in_full(spark, monkeypatch):
+    """Classes that share half of their items meet in a bucket: full sets are read for the pairs that may fit, not for each."""
+    rng = random.Random(9)
+    draw = lambda n: [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+    common, sets = draw(60), []
+    for _ in range(60):
+        own = draw(60)
+        sets.append(common + own)
+    sets.append(sets[0][3:] + draw(3))
+    made = sorted((near_dedup.set_key(np.sort(np.array(s, np.int64))), s) for s in sets)
+    members = spark.createDataFrame([(1, k, len(s)) for k, s in made], "bucket long, key binary, n long")
+    seen, whole = [], near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *rest: seen.append(pairs.count()) or whole(pairs, *rest))
+    got = near_dedup.star_components(members, spark.createDataFrame(made, "key binary, items array<long>"), 80).collect()
+    assert len(got) == 61 and len({bytes(r.root) for r in got}) == 60 and 1 <= sum(seen) < 10
