@@ -14,6 +14,10 @@ from instqc.session import cut_lineage
 EDITS = 2
 #: Shorter lines are only compared whole: two edits would turn one into another.
 LEAST_CHARS = 24
+#: Letters counted in every line, four bits each.
+LETTERS = "etaonihr"
+#: Pieces of a line of which all but ``edits`` must stand in a near-equal one.
+PIECES = 8
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -23,9 +27,8 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.filter(F.trim("line") != "").withColumn("id", F.xxhash64("line"))
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of the edits + 1 segments of a line, the longer ones last."""
-    parts = edits + 1
+def segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
+    """Start (from 0) and length of the segments of a line, the longer ones last."""
     short = F.floor(length / parts).cast("int")
     first_long = parts - length % parts
     return [(short * i + F.greatest(F.lit(i) - first_long, F.lit(0)).cast("int"), (short + F.when(F.lit(i) >= first_long, 1).otherwise(0)).cast("int")) for i in range(parts)]
@@ -33,7 +36,7 @@ def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
 
 def segment_keys(line: Column, length: Column, edits: int) -> Column:
     """What a line puts into the index: a hash of line length, segment number and segment."""
-    return F.array(*(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)) for i, (start, size) in enumerate(segments(length, edits))))
+    return F.array(*(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)) for i, (start, size) in enumerate(segments(length, edits + 1))))
 
 
 def probe_keys(line: Column, length: Column, edits: int) -> Column:
@@ -46,19 +49,32 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
     out = []
     for gap in range(edits + 1):
         shorter = length - gap
-        for i, (start, size) in enumerate(segments(shorter, edits)):
+        for i, (start, size) in enumerate(segments(shorter, edits + 1)):
             for move in range(max(-i, gap - (edits - i)), min(i, gap + edits - i) + 1):
                 inside = (start + move >= 0) & (start + move + size <= length)
                 out.append(F.when(inside, F.xxhash64(shorter, F.lit(i), F.substring(line, start + move + 1, size))))
     return F.array_compact(F.array(*out))
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS stands in a line, modulo 16, four bits each."""
+    count = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+    return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(count(c).bitwiseAND(F.lit(15)), 4 * i) for i, c in enumerate(LETTERS)))
+
+
+def letters_apart(one: str, two: str) -> Column:
+    """By how many the letter counts of two lines differ at least; an edit changes two counts by one at most."""
+    digit = lambda c, i: F.shiftright(c, 4 * i).bitwiseAND(F.lit(15))
+    off = lambda i: F.abs(digit(one, i) - digit(two, i))
+    return reduce(lambda x, y: x + y, (F.least(off(i), 16 - off(i)) for i in range(len(LETTERS))))
+
+
 def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b, gap): lines that share a segment where near-equal ones must; a is not shorter than b."""
-    sized = lines.withColumn("size", F.char_length("line"))
-    index = sized.select(F.explode_outer(segment_keys(F.col("line"), F.col("size"), edits)).alias("key"), F.col("id").alias("b"))
-    probe = sized.select(F.explode_outer(probe_keys(F.col("line"), F.col("size"), edits)).alias("key"), F.col("id").alias("a"))
-    met = probe.join(index, "key").filter("a <> b").select("a", "b")
+    """(a, b): lines that share a segment where near-equal ones must, and whose letters are as often as in near-equal ones."""
+    sized = lines.withColumns({"size": F.char_length("line"), "_letters": letter_counts(F.col("line"))})
+    index = sized.select(F.explode_outer(segment_keys(F.col("line"), F.col("size"), edits)).alias("key"), F.col("id").alias("b"), F.col("_letters").alias("_lb"))
+    probe = sized.select(F.explode_outer(probe_keys(F.col("line"), F.col("size"), edits)).alias("key"), F.col("id").alias("a"), F.col("_letters").alias("_la"))
+    met = probe.join(index, "key").filter("a <> b").filter(letters_apart("_la", "_lb") <= 2 * edits).select("a", "b")
     # Lines of one length meet both ways round.
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -99,14 +115,26 @@ def match_bits(longer: str, shorter: str, edits: int) -> Column:
     return F.transform(shorter, lambda c, j: reduce(lambda x, y: x + y, (at(c, j, o) for o in range(2 * edits + 1))))
 
 
+def pieces_stand(longer: str, shorter: str, edits: int) -> Column:
+    """Whether enough pieces of the shorter line stand in the longer one, at most ``edits`` places off.
+
+    An edit spoils one piece at most, and the others move by no more than all edits.
+    """
+    found = []
+    for start, size in segments(F.char_length(shorter), PIECES):
+        around = F.substring(longer, F.greatest(start - edits, F.lit(0)) + 1, size + 2 * edits)
+        found.append(F.contains(around, F.substring(shorter, start + 1, size)).cast("int"))
+    return reduce(lambda x, y: x + y, found) >= PIECES - edits
+
+
 def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """The pairs within ``edits`` by the banded bit-parallel distance: (a, b)."""
+    """The pairs within ``edits`` by the banded bit-parallel distance, of those with enough pieces in common: (a, b)."""
     one = texts.select(F.col("id").alias("a"), F.col("line").alias("_one"))
     two = texts.select(F.col("id").alias("b"), F.col("line").alias("_two"))
     rows = pairs.join(one, "a").join(two, "b")
     longer = F.char_length("_one") >= F.char_length("_two")
     rows = rows.select("a", "b", F.when(longer, F.col("_one")).otherwise(F.col("_two")).alias("_l"), F.when(longer, F.col("_two")).otherwise(F.col("_one")).alias("_s"))
-    rows = cut_lineage(rows.filter(F.char_length("_l") - F.char_length("_s") <= edits))
+    rows = cut_lineage(rows.filter(F.char_length("_l") - F.char_length("_s") <= edits).filter(pieces_stand("_l", "_s", edits)))
     chars = lambda c: F.regexp_extract_all(c, F.lit(r"(?s)."), F.lit(0))
     split = cut_lineage(rows.select("a", "b", chars("_l").alias("_l"), chars("_s").alias("_s")))
     extra = F.size("_l") - F.size("_s")

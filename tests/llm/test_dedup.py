@@ -179,3 +179,16 @@ def test_near_shares_of_a_set_are_not_compared_in_full(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *rest: seen.append(pairs.count()) or whole(pairs, *rest))
     got = near_dedup.star_components(members, spark.createDataFrame(made, "key binary, items array<long>"), 80).collect()
     assert len(got) == 61 and len({bytes(r.root) for r in got}) == 60 and 1 <= sum(seen) < 10
+
+
+def test_lines_with_a_common_third_are_not_paired(spark):
+    """Variants of a line that share a segment and no more are told apart where they meet; those within two edits are linked."""
+    rng = random.Random(10)
+    lines_ = ["a common beginning of it " + "".join(rng.choice("etaonihr slcd") for _ in range(50)) for _ in range(120)]
+    lines_ += [lines_[0][:60] + "#" + lines_[0][61:], lines_[1][:40] + lines_[1][42:], lines_[2][:30] + "xx" + lines_[2][30:]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines_)], "doc_id long, text string")
+    distinct = lines.line_rows(df).select("line", "id").distinct()
+    assert lines.candidate_pairs(distinct, 2).count() < 900
+    ids = {r.line: r.id for r in distinct.collect()}
+    want = {frozenset((ids[lines_[i]], ids[lines_[120 + i]])) for i in range(3)}
+    assert {frozenset((r.a, r.b)) for r in lines.near_lines(df)[0].collect()} == want
