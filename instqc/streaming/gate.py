@@ -54,14 +54,21 @@ def _staged(spark: SparkSession, out: str, batches: list[int]) -> DataFrame:
 
 
 def _stage(batch: DataFrame, out: str, batch_id: int) -> DataFrame:
-    """Keep the batch's rows, in order of their bucket, so that row groups can be skipped by it; gives its ledger rows."""
+    """Keep the batch's rows, in order of their bucket, so that row groups can be skipped by it; gives its ledger rows.
+
+    Rows are dealt by bucket into tables of even size first, so that tasks and
+    what they sort do not grow with the files that came. The ledger rows are
+    written, as they are read several times.
+    """
     bucket = F.pmod(F.xxhash64("case_id"), F.lit(BUCKETS)).cast("int")
-    batch.withColumn("bucket", bucket).sortWithinPartitions("bucket", "case_id").write.mode("overwrite").parquet(f"{out}/staged/batch={batch_id}")
+    dealt = batch.withColumn("bucket", bucket).hint("rebalance", F.col("bucket"))
+    dealt.sortWithinPartitions("bucket", "case_id").write.mode("overwrite").parquet(f"{out}/staged/batch={batch_id}")
     rows = _staged(batch.sparkSession, out, [batch_id])
     name = F.when(F.col("expected").isNull(), F.element_at(F.split("path", "/"), -1)).otherwise("")
-    return rows.groupBy("case_id", "path", name.alias("name")).agg(
+    news = rows.groupBy("case_id", "path", name.alias("name")).agg(
         F.count("label").alias("n"), F.max("expected").alias("expected")
     ).select("case_id", "name", "path", F.lit(batch_id).cast("long").alias("batch"), "n", "expected")
+    return _written(news, f"{out}/news/batch={batch_id}", LEDGER)
 
 
 def _latest(ledger: DataFrame) -> DataFrame:

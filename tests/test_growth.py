@@ -11,6 +11,7 @@ from instqc.operators.intensity import label_intensity
 from instqc.plans.judge import build_tables
 from instqc.schemas import VOXELS, levels
 from instqc.sources import datasets
+from instqc.streaming import gate
 from suite.views import Inputs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -98,3 +99,19 @@ def test_tables_made_before_are_taken(spark):
     parts, bright = components.summary(components.components(voxels), grids), label_intensity(voxels, scans)
     tables = build_tables(voxels, grids, merge_config(), scans=scans, parts=parts, bright=bright)
     assert tables.intensity is bright and tables.components.collect() == parts.collect()
+
+
+def test_delivered_files_are_dealt_out(spark, tmp_path):
+    """One large file is sorted by many tasks, and the ledger rows of a batch are counted once."""
+    voxels = spark.createDataFrame([(f"c{x}", x, y, z, 1, "a/b.parquet", None) for x in range(40) for y in range(10) for z in range(10)],
+                                   "case_id string, x int, y int, z int, label int, path string, expected long").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    try:
+        news = gate._stage(voxels, str(tmp_path), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert len(list((tmp_path / "staged/batch=0").glob("*.parquet"))) > 1
+    assert "staged" not in plan(news)
+    assert {(r["case_id"], r["name"], r["n"], r["expected"]) for r in news.collect()} == {(f"c{x}", "b.parquet", 100, None) for x in range(40)}
