@@ -25,6 +25,8 @@ from instqc.session import cut_lineage
 
 TILE = (32, 32, 256)
 BITS = 21  # bits per coordinate in a packed run id
+#: Labels of a tile are labelled together up to about so many voxel columns.
+COLUMNS = 4096
 #: Blocks of tiles are merged in one task up to this edge, in voxels; what crosses larger blocks is contracted by rounds.
 BLOCK = 2048
 NODE = ["case_id", "label"]
@@ -106,46 +108,58 @@ def _tile_parts(tile: tuple[int, int, int]):
     """Grouped function: the columns of one tile -> its parts and border runs."""
     tx, ty, tz = tile
     n_words = -(-tz // 64)
+    lowest = (1 << BITS) - 1
+
+    def label_columns(cols: np.ndarray, words: np.ndarray, corner: list[int]) -> tuple[tuple, tuple]:
+        """Parts and border runs of whole labels, given their columns in order of label, x and y."""
+        used = max(1, int(np.flatnonzero(words.any(axis=0))[-1]) + 1)
+        held = np.unpackbits(np.ascontiguousarray(words[:, :used]).astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(bool)
+        # Runs in order of x, y and z: a voxel without one below it begins a run.
+        begins, ends = held.copy(), held.copy()
+        begins[:, 1:] &= ~held[:, :-1]
+        ends[:, :-1] &= ~held[:, 1:]
+        column, first = np.nonzero(begins)
+        last = np.nonzero(ends)[1]
+        run = (np.cumsum(begins, dtype=np.int32) - 1).reshape(begins.shape)
+        label, place = np.divmod(cols, tx * ty)
+        x, y = np.divmod(place, ty)
+        left, right = [], []
+        for step, inside in ((ty, x < tx - 1), (1, y < ty - 1)):
+            one = np.flatnonzero(inside)
+            two = np.searchsorted(cols, cols[one] + step)
+            meet = two < len(cols)
+            one, two = one[meet], two[meet]
+            meet = cols[two] == cols[one] + step
+            one, two = one[meet], two[meet]
+            # Where two runs begin to touch, one of them begins.
+            touch = held[one] & held[two] & (begins[one] | begins[two])
+            left.append(run[one][touch])
+            right.append(run[two][touch])
+        root = _roots(len(first), np.concatenate(left), np.concatenate(right))
+        label, x, y = label[column], corner[0] + x[column], corner[1] + y[column]
+        z0, z1 = corner[2] + first, corner[2] + last
+        rep = ((x << 2 * BITS) + (y << BITS) + z0)[root]
+        sizes = np.bincount(root, weights=last - first + 1, minlength=len(root)).astype(np.int64)
+        at = np.flatnonzero(sizes)
+        face = (
+            (x % tx == 0) | (x % tx == tx - 1) | (y % ty == 0) | (y % ty == ty - 1)
+            | (z0 % tz == 0) | (z1 % tz == tz - 1)
+        )
+        return (label[at], rep[at], sizes[at]), tuple(c[face] for c in (label, rep, x, y, z0, z1))
 
     def label_tile(key: tuple, table: pa.Table) -> pa.Table:
         take = lambda name: table.column(name).to_numpy()
-        labels, xs, ys = take("label"), take("x").astype(np.int64), take("y").astype(np.int64)
-        words = np.stack([take(f"_w{k}") for k in range(n_words)], axis=1)
-        order = np.lexsort((ys, xs, labels))
-        bounds = np.flatnonzero(np.diff(labels[order])) + 1
-        low = key[3].as_py() * tz
-        heads, border = [], []
-        for rows in np.split(order, bounds):
-            x, y = xs[rows], ys[rows]
-            held = np.unpackbits(np.ascontiguousarray(words[rows]).astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(bool)
-            # Runs in order of x, y and z: a voxel without one below it begins a run.
-            begins, ends = held.copy(), held.copy()
-            begins[:, 1:] &= ~held[:, :-1]
-            ends[:, :-1] &= ~held[:, 1:]
-            column, first = np.nonzero(begins)
-            z0, z1 = low + first, low + np.nonzero(ends)[1]
-            length = z1 - z0 + 1
-            box = np.full((x.max() - x.min() + 1, y.max() - y.min() + 1, held.shape[1]), -1, np.int32)
-            box[x - x.min(), y - y.min()] = np.where(held, np.cumsum(begins).reshape(begins.shape) - 1, -1)
-            pairs = []
-            for left, right in ((box[:-1], box[1:]), (box[:, :-1], box[:, 1:])):
-                both = (left >= 0) & (right >= 0)
-                pairs.append(left[both].astype(np.int64) * len(z0) + right[both])
-            edges = np.unique(np.concatenate(pairs))
-            root = _roots(len(z0), edges // len(z0), edges % len(z0))
-            x, y = x[column], y[column]
-            rep = ((x << 2 * BITS) + (y << BITS) + z0)[root]
-            sizes = np.bincount(root, weights=length, minlength=len(z0)).astype(np.int64)
-            at = np.flatnonzero(sizes)
-            label = np.full(len(z0), labels[rows[0]])
-            heads.append((label[at], rep[at], sizes[at]))
-            face = (
-                (x % tx == 0) | (x % tx == tx - 1) | (y % ty == 0) | (y % ty == ty - 1)
-                | (z0 % tz == 0) | (z1 % tz == tz - 1)
-            )
-            border.append(tuple(c[face] for c in (label, rep, x, y, z0, z1)))
-        label, rep, size = map(np.concatenate, zip(*heads))
-        face_label, face_rep, *face = map(np.concatenate, zip(*border))
+        packed = key[1].as_py()
+        corner = [t * (packed >> (2 - axis) * BITS & lowest) for axis, t in enumerate(tile)]
+        cols = take("_col")
+        order = np.argsort(cols)
+        cols, words = cols[order], np.stack([take(f"_w{k}") for k in range(n_words)], axis=1)[order]
+        # Labels are taken together up to some columns; a label has at most one per place of the tile's floor.
+        starts = np.flatnonzero(np.diff(cols // (tx * ty), prepend=cols[0] // (tx * ty) - 1))
+        chunks = starts[np.flatnonzero(np.diff(starts // COLUMNS, prepend=-1))]
+        told = [label_columns(c, w, corner) for c, w in zip(np.split(cols, chunks[1:]), np.split(words, chunks[1:]))]
+        label, rep, size = map(np.concatenate, zip(*(heads for heads, _ in told)))
+        face_label, face_rep, *face = map(np.concatenate, zip(*(border for _, border in told)))
         n, m = len(label), len(face_label)
         either = lambda a, b, kind: pa.concat_arrays([pa.nulls(n, kind) if a is None else pa.array(a, kind), pa.nulls(m, kind) if b is None else pa.array(b, kind)])
         return pa.table({
@@ -165,23 +179,24 @@ def tile_parts(voxels: DataFrame, tile: tuple[int, int, int] = TILE) -> DataFram
     columns and the labelling alike. A label's voxel column is one row of bits,
     so what a task aggregates and sorts are columns of fixed width.
     """
-    key = ["case_id", "_tx", "_ty", "_tz"]
+    key = ["case_id", "_tile"]
+    tx, ty, tz = tile
 
     def checked(axis: str) -> Column:
         # Larger ones would run into the bits of the next coordinate and join what does not touch.
         fits = F.col(axis).between(0, (1 << BITS) - 1)
         return F.when(fits, F.col(axis)).otherwise(F.raise_error(F.lit(f"coordinate {axis} is outside 0 to {(1 << BITS) - 1}")).cast("int")).alias(axis)
 
+    # Narrow rows: the tile is one number, label and place on its floor another.
     tiled = voxels.select("case_id", "label", *map(checked, "xyz")).select(
-        "case_id", "label", "x", "y", "z",
-        *[F.floor(F.col(a) / t).cast("int").alias(f"_t{a}") for a, t in zip("xyz", tile)],
+        "case_id", pack(*[F.floor(F.col(a) / t) for a, t in zip("xyz", tile)]).alias("_tile"),
+        F.expr(f"label * {tx * ty}L + (x % {tx}) * {ty} + y % {ty} AS _col"), F.expr(f"z % {tz} AS _z"),
     ).repartition(*key)
-    within = f"z - _tz * {tile[2]}"
     words = [
-        F.expr(f"coalesce(bit_or(IF(({within}) DIV 64 = {k}, shiftleft(1L, ({within}) % 64), NULL)), 0L) AS _w{k}")
-        for k in range(-(-tile[2] // 64))
+        F.expr(f"coalesce(bit_or(IF(_z DIV 64 = {k}, shiftleft(1L, _z % 64), NULL)), 0L) AS _w{k}")
+        for k in range(-(-tz // 64))
     ]
-    columns = tiled.groupBy(*key, "label", "x", "y").agg(*words)
+    columns = tiled.groupBy(*key, "_col").agg(*words)
     return columns.groupBy(*key).applyInArrow(_tile_parts(tile), PARTS)
 
 

@@ -115,3 +115,14 @@ def test_delivered_files_are_dealt_out(spark, tmp_path):
     assert len(list((tmp_path / "staged/batch=0").glob("*.parquet"))) > 1
     assert "staged" not in plan(news)
     assert {(r["case_id"], r["name"], r["n"], r["expected"]) for r in news.collect()} == {(f"c{x}", "b.parquet", 100, None) for x in range(40)}
+
+
+def test_labels_of_a_tile_in_several_goes(spark, monkeypatch):
+    """Labels that do not fit in one go together, and more words than the low one."""
+    voxels = spark.createDataFrame([("a", x, y, z, l) for l in (-3, 0, 7) for x in (4, 5) for y in (0, 6, 7) for z in (60, 63, 64, 130)], VOXELS)
+    want = {(l, s): 2 for l in (-3, 0, 7) for s in (2, 4)} | {(l, s): n for l in (-3, 0, 7) for s, n in ((2, 2), (4, 3), (8, 1))}
+    got = {}
+    monkeypatch.setattr(components, "COLUMNS", 4)
+    for r in components.components(voxels).collect():
+        got[r["label"], r["size"]] = got.get((r["label"], r["size"]), 0) + 1
+    assert got == want
