@@ -27,10 +27,10 @@ def _known(labels: str) -> Column:
     return F.expr(f"{labels}_count = 0 OR {labels}_min = {labels}_max OR {labels}_count = 2")
 
 
-def _listed(labels: str) -> Column:
-    """The different labels of a place, rising, where they are ``_known``."""
+def _between(labels: str) -> Column:
+    """The different labels of a place, rising, where they are ``_known``, from the smallest and largest alone."""
     low, high = f"{labels}_min", f"{labels}_max"
-    return F.expr(f"CASE WHEN {labels}_count = 0 THEN CAST(array() AS ARRAY<INT>) WHEN {low} = {high} THEN array({low}) ELSE array({low}, {high}) END")
+    return F.expr(f"CASE WHEN {low} IS NULL THEN CAST(array() AS ARRAY<INT>) WHEN {low} = {high} THEN array({low}) ELSE array({low}, {high}) END")
 
 
 def label_overlaps(voxels: DataFrame, levels: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def label_overlaps(voxels: DataFrame, levels: DataFrame) -> DataFrame:
     """
     place = voxels.groupBy(*POSITION).agg(*_spread("label"))
     meeting = cut_lineage(place.filter("label_min < label_max"))
-    stacked = meeting.filter(_known("label")).select("case_id", _listed("label").alias("labels"))
+    stacked = meeting.filter(_known("label")).select("case_id", _between("label").alias("labels"))
     crowded = meeting.filter(~_known("label")).select(*POSITION)
     if crowded.take(1):
         stacked = stacked.unionByName(
@@ -158,8 +158,11 @@ def joint_counts(candidate: DataFrame, gt: DataFrame) -> DataFrame:
     sides = marked.select(*POSITION, F.when(F.col("_c"), F.col("label")).alias("_cand"), F.when(~F.col("_c"), F.col("label")).alias("_gt"))
     spread = sides.groupBy(*POSITION).agg(*_spread("_cand"), *_spread("_gt"))
     known = _known("_cand") & _known("_gt")
-    nothing = F.array().cast("array<int>")
-    places = spread.select("case_id", *[F.when(known, _listed(c)).otherwise(nothing).alias(c) for c in ("_cand", "_gt")])
+    # Places alike are counted before their labels are paired, so that pairs are made once per case and not per place.
+    ends = [f"{c}_{end}" for c in ("_cand", "_gt") for end in ("min", "max")]
+    alike = spread.select("case_id", known.alias("_known"), *[F.when(known, F.col(e)).alias(e) for e in ends])
+    alike = alike.groupBy("case_id", "_known", *ends).agg(F.count(F.lit(1)).alias("_n"))
+    places = alike.select("case_id", "_n", *[_between(c).alias(c) for c in ("_cand", "_gt")])
     pair = lambda kind, g, c: F.struct(F.lit(kind).alias("per_label"), g.alias("gt_label"), c.alias("cand_label"))
     none = F.lit(None).cast("int")
     background = lambda c: F.when(F.size(c) == 0, F.array(none)).otherwise(F.col(c))
@@ -167,14 +170,14 @@ def joint_counts(candidate: DataFrame, gt: DataFrame) -> DataFrame:
     within = lambda c, v: F.when(F.array_contains(c, v), v)
     held = F.transform(F.array_union("_gt", "_cand"), lambda v: pair(True, within("_gt", v), within("_cand", v)))
     key = ["case_id", "per_label", "gt_label", "cand_label"]
-    counted = lambda df: df.select("case_id", F.inline(F.concat(met, held))).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    counted = lambda df: df.select("case_id", "_n", F.inline(F.concat(met, held))).groupBy(*key).agg(F.sum("_n").alias("n"))
     first = cut_lineage(counted(places))
     # Background met by background is no place of either map but one that is not known yet.
     unknown = F.expr("NOT per_label AND gt_label IS NULL AND cand_label IS NULL")
     if not first.filter(unknown).take(1):
         return first
     crowded = sides.join(spread.filter(~known).select(*POSITION), POSITION, "left_semi").groupBy(*POSITION).agg(
-        F.collect_set("_cand").alias("_cand"), F.collect_set("_gt").alias("_gt"))
+        F.collect_set("_cand").alias("_cand"), F.collect_set("_gt").alias("_gt")).withColumn("_n", F.lit(1).cast("long"))
     return first.filter(~unknown).unionByName(counted(crowded)).groupBy(*key).agg(F.sum("n").alias("n"))
 
 

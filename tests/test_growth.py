@@ -52,6 +52,17 @@ def test_ordinary_places_need_no_sets(spark):
     assert "collect_set" not in plan(overlap.joint_counts(voxels, voxels))
 
 
+def test_places_alike_are_counted_before_they_are_paired(spark, monkeypatch):
+    """Labels are paired per kind of place and case: a thousand places alike are one row there."""
+    seen = []
+    monkeypatch.setattr(overlap, "cut_lineage", lambda df: seen.append(df) or df)
+    voxels = spark.createDataFrame([("a", x, 0, 0, 1) for x in range(1000)], VOXELS)
+    joint = overlap.joint_counts(voxels, voxels)
+    text = plan(seen[0])
+    assert "Generate inline" in text and "partial_count(1)" in text[text.index("Generate inline"):]
+    assert sorted((r["per_label"], r["gt_label"], r["cand_label"], r["n"]) for r in joint.collect()) == [(False, 1, 1, 1000), (True, 1, 1, 1000)]
+
+
 def test_written_views_are_read_as_tables(spark):
     i = Inputs(spark, FOLDER).written("v_cases", "v_voxels")
     text = plan(i.candidate) + plan(i.grids)
