@@ -34,26 +34,35 @@ def segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
     return [(short * i + F.greatest(F.lit(i) - first_long, F.lit(0)).cast("int"), (short + F.when(F.lit(i) >= first_long, 1).otherwise(0)).cast("int")) for i in range(parts)]
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """What a line puts into the index: a hash of line length, segment number and segment."""
-    return F.array(*(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)) for i, (start, size) in enumerate(segments(length, edits + 1))))
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` (line, size) with what each puts into the index as ``key``: a hash of line length, segment number and segment."""
+    return _keys(lines, [(0, i, 0) for i in range(edits + 1)], edits)
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """The index keys of all lines, not longer, that may be within ``edits`` of this one.
+def probe_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` (line, size) with the index keys of all lines, not longer, that may be within ``edits`` of each, as ``key``.
 
     For a line shorter by ``gap``, segment i can only have moved so far that
     the edits before it and those after it both fit: from its own start by up
     to i, and from its start plus gap by up to edits - i, either way.
     """
-    out = []
-    for gap in range(edits + 1):
-        shorter = length - gap
-        for i, (start, size) in enumerate(segments(shorter, edits + 1)):
-            for move in range(max(-i, gap - (edits - i)), min(i, gap + edits - i) + 1):
-                inside = (start + move >= 0) & (start + move + size <= length)
-                out.append(F.when(inside, F.xxhash64(shorter, F.lit(i), F.substring(line, start + move + 1, size))))
-    return F.array_compact(F.array(*out))
+    shapes = [
+        (gap, i, move) for gap in range(edits + 1) for i in range(edits + 1)
+        for move in range(max(-i, gap - (edits - i)), min(i, gap + edits - i) + 1)
+    ]
+    return _keys(lines, shapes, edits)
+
+
+def _keys(lines: DataFrame, shapes: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """A row per line and shape (gap, segment, move): a line meets constants, and one short expression makes the key of each."""
+    held = F.expr("array({})".format(", ".join(f"named_struct('_gap', {gap}, '_i', {i}, '_move', {move})" for gap, i, move in shapes)))
+    parts = edits + 1
+    rows = lines.select("*", F.inline(held)).withColumn("_size", F.expr("size - _gap")).withColumns({
+        "_short": F.expr(f"CAST(floor(_size / {parts}) AS INT)"), "_long": F.expr(f"{parts} - _size % {parts}")})
+    rows = rows.withColumns({
+        "_start": F.expr("_short * _i + greatest(_i - _long, 0) + _move"), "_length": F.expr("_short + IF(_i >= _long, 1, 0)")})
+    rows = rows.filter("_start >= 0 AND _start + _length <= size")
+    return rows.select(*lines.columns, F.expr("xxhash64(_size, _i, substring(line, _start + 1, _length)) AS key"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -72,8 +81,8 @@ def letters_apart(one: str, two: str) -> Column:
 def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): lines that share a segment where near-equal ones must, and whose letters are as often as in near-equal ones."""
     sized = lines.withColumns({"size": F.char_length("line"), "_letters": letter_counts(F.col("line"))})
-    index = sized.select(F.explode_outer(segment_keys(F.col("line"), F.col("size"), edits)).alias("key"), F.col("id").alias("b"), F.col("_letters").alias("_lb"))
-    probe = sized.select(F.explode_outer(probe_keys(F.col("line"), F.col("size"), edits)).alias("key"), F.col("id").alias("a"), F.col("_letters").alias("_la"))
+    index = segment_keys(sized, edits).select("key", F.col("id").alias("b"), F.col("_letters").alias("_lb"))
+    probe = probe_keys(sized, edits).select("key", F.col("id").alias("a"), F.col("_letters").alias("_la"))
     met = probe.join(index, "key").filter("a <> b").filter(letters_apart("_la", "_lb") <= 2 * edits).select("a", "b")
     # Lines of one length meet both ways round.
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
