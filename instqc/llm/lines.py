@@ -80,7 +80,8 @@ def letters_apart(one: str, two: str) -> Column:
 
 def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): lines that share a segment where near-equal ones must, and whose letters are as often as in near-equal ones."""
-    sized = lines.withColumns({"size": F.char_length("line"), "_letters": letter_counts(F.col("line"))})
+    # Letters are counted before equal lines meet: index and probe then read one exchange and do not count again.
+    sized = lines.select("line", "id", F.char_length("line").alias("size"), letter_counts(F.col("line")).alias("_letters")).distinct()
     index = segment_keys(sized, edits).select("key", F.col("id").alias("b"), F.col("_letters").alias("_lb"))
     probe = probe_keys(sized, edits).select("key", F.col("id").alias("a"), F.col("_letters").alias("_la"))
     met = probe.join(index, "key").filter("a <> b").filter(letters_apart("_la", "_lb") <= 2 * edits).select("a", "b")
@@ -159,7 +160,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     copies is one row in the join.
     """
     rows = line_rows(docs)
-    lines = rows.filter(F.char_length("line") >= least_chars).select("line", "id").distinct()
+    lines = rows.filter(F.char_length("line") >= least_chars).select("line", "id")
     pairs = cut_lineage(candidate_pairs(lines, edits))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     texts = cut_lineage(only_keys(rows.select("id", "line"), ids, ["id"]).groupBy("id").agg(F.min("line").alias("line")))

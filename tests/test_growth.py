@@ -6,6 +6,7 @@ from contextlib import redirect_stdout
 from pyspark.sql import functions as F
 
 from instqc.config import merge_config
+from instqc.llm import lines
 from instqc.operators import components, edt, overlap
 from instqc.operators.intensity import label_intensity
 from instqc.plans.judge import build_tables
@@ -137,3 +138,12 @@ def test_labels_of_a_tile_in_several_goes(spark, monkeypatch):
     for r in components.components(voxels).collect():
         got[r["label"], r["size"]] = got.get((r["label"], r["size"]), 0) + 1
     assert got == want
+
+
+def test_letters_of_a_line_are_counted_once(spark):
+    """Index and probe share the exchange of distinct lines, and keys come from one expression and not from one per segment."""
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("text AS line", "doc_id AS id")
+    text = plan(lines.candidate_pairs(rows, 2))
+    assert text.count("replace(") <= 2 * len(lines.LETTERS) and text.count("xxhash64(") <= 4
+    distinct = rows.distinct()
+    assert lines.candidate_pairs(rows, 2).exceptAll(lines.candidate_pairs(distinct, 2)).count() == 0
