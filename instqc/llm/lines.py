@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from instqc.llm.common import only_keys
@@ -18,6 +19,10 @@ LEAST_CHARS = 24
 LETTERS = "etaonihr"
 #: Pieces of a line of which all but ``edits`` must stand in a near-equal one.
 PIECES = 8
+#: Lines under one key beyond which they do not meet there but by finer keys.
+CROWD = 32
+#: Segments of the lines of crowds, step by step; at the last all meet.
+FINER = (6, 12, 24)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -78,15 +83,93 @@ def letters_apart(one: str, two: str) -> Column:
     return reduce(lambda x, y: x + y, (F.least(off(i), 16 - off(i)) for i in range(len(LETTERS))))
 
 
-def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): lines that share a segment where near-equal ones must, and whose letters are as often as in near-equal ones."""
+def finer_keys(lines: DataFrame, parts: int, edits: int, probing: bool) -> DataFrame:
+    """``lines`` (line, size) with keys that hold all of a line but ``edits`` of ``parts`` segments, as ``key``, and of each of those a hash as ``_z0``... and letter counts as ``_l0``...
+
+    Edits of near-equal lines lie in ``edits`` segments of the shorter one at
+    most; what lies between has moved as one, by a shift that changes only
+    there and by all edits at most. Probes try each choice and its shifts,
+    for lines shorter by up to ``edits``. A segment of a probe that need not
+    be left out (it has not moved against its neighbour) has a hash only if
+    a segment before it is kept: lines whose hashes there are equal meet by
+    another choice too, the one that leaves out the first segments. ``_even``
+    tells probes for lines of the same length.
+    """
+    zones = range(edits)
+    shifts = [(0, *s, gap) for gap in range(edits + 1 if probing else 1) for s in product(range(-edits, edits + 1) if probing else (0,), repeat=edits - 1)]
+    shifts = [s for s in shifts if sum(abs(x - y) for x, y in zip(s, s[1:], strict=False)) <= edits]
+    table = lambda name, rows: F.inline(F.expr("array({})".format(
+        ", ".join("named_struct({})".format(", ".join(f"'{name}{j}', {x}" for j, x in enumerate(row))) for row in rows))))
+    rows = lines.select("*", table("_c", combinations(range(parts), edits))).select("*", table("_s", shifts))
+    rows = rows.withColumn("_size", F.expr(f"size - _s{edits}"))
+    rows = rows.withColumns({"_short": F.expr(f"CAST(floor(_size / {parts}) AS INT)"), "_long": F.expr(f"{parts} - _size % {parts}")})
+    start = lambda i: f"_short * ({i}) + greatest(({i}) - _long, 0)"
+    rows = rows.withColumns({f"_from{j}": F.expr(start(f"_c{j}")) for j in zones} | {f"_to{j}": F.expr(start(f"_c{j} + 1")) for j in zones})
+    ends = [("0", "_from0"), *((f"_to{j}", f"_from{j + 1}") for j in zones[:-1]), (f"_to{edits - 1}", "_size")]
+    rows = rows.filter(" AND ".join(f"{x} + _s{j} >= 0 AND {y} + _s{j} <= size" for j, (x, y) in enumerate(ends)))
+    runs = ", ".join(f"substring(line, {x} + _s{j} + 1, {y} - {x})" for j, (x, y) in enumerate(ends))
+    rows = rows.withColumns({f"_t{j}": F.expr(f"substring(line, _from{j} + _s{j} + 1, _to{j} + _s{j + 1} - _from{j} - _s{j})") for j in zones})
+    left = lambda j: f"xxhash64(_t{j})"
+    free = lambda j: f"IF(_s{j} = _s{j + 1} AND _c{j} <> {j}, {left(j)}, NULL)"
+    chosen = ", ".join(f"_c{j}" for j in zones)
+    return rows.select(*lines.columns, F.expr(f"xxhash64(_size, {chosen}, {runs}) AS key"), *(F.expr(f"{(free if probing else left)(j)} AS _z{j}") for j in zones),
+                       *(letter_counts(F.col(f"_t{j}")).alias(f"_l{j}") for j in zones), F.expr(f"_s{edits} = 0 AS _even"))
+
+
+def meetings(probe: DataFrame, index: DataFrame, fit: Column, crowd: int | None) -> DataFrame:
+    """(a, b): pairs under one key for which ``fit`` holds; of a key with more than ``crowd`` lines only each line that probes it, without b."""
+    if crowd is None:
+        met = probe.join(index, "key").filter((F.col("a") != F.col("b")) & fit)
+    else:
+        # The join needs the same rows together in the same order, so the window costs no shuffle. One row stands for a crowd.
+        same = Window.partitionBy("key")
+        index = index.withColumns({"_many": F.count("*").over(same) > crowd, "_first": F.min("b").over(same)})
+        index = index.filter(~F.col("_many") | (F.col("b") == F.col("_first"))).drop("_first")
+        met = probe.join(index, "key").filter(F.col("_many") | ((F.col("a") != F.col("b")) & fit))
+        met = met.withColumn("b", F.when(~F.col("_many"), F.col("b")))
+    # Lines of one length meet both ways round.
+    return met.select(F.greatest("a", "b").alias("a"), F.when(F.col("b").isNotNull(), F.least("a", "b")).alias("b")).distinct()
+
+
+def first_meetings(lines: DataFrame, edits: int) -> DataFrame:
+    """(a, b): lines that share a segment where near-equal ones must, and whose letters are as often as in near-equal ones; see meetings for crowds."""
     # Letters are counted before equal lines meet: index and probe then read one exchange and do not count again.
     sized = lines.select("line", "id", F.char_length("line").alias("size"), letter_counts(F.col("line")).alias("_letters")).distinct()
     index = segment_keys(sized, edits).select("key", F.col("id").alias("b"), F.col("_letters").alias("_lb"))
     probe = probe_keys(sized, edits).select("key", F.col("id").alias("a"), F.col("_letters").alias("_la"))
-    met = probe.join(index, "key").filter("a <> b").filter(letters_apart("_la", "_lb") <= 2 * edits).select("a", "b")
-    # Lines of one length meet both ways round.
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return meetings(probe, index, letters_apart("_la", "_lb") <= 2 * edits, CROWD)
+
+
+def with_crowds(met: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(a, b): the pairs of ``met``, written, and those that lines of its crowds make by finer keys.
+
+    Both lines of a pair that meets in a crowd are among its lines, and finer
+    keys lose no pair either, so nothing else is needed of a crowd.
+    """
+    found = [met.filter("b IS NOT NULL")]
+    for parts in FINER:
+        crowd = met.filter("b IS NULL").select(F.col("a").alias("id"))
+        if crowd.isEmpty():
+            break
+        # Few lines make very many keys each: they are dealt to all tasks.
+        tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        held = only_keys(lines, crowd, ["id"]).select("line", "id", F.char_length("line").alias("size")).distinct()
+        held = cut_lineage(held.repartition(tasks, "id"))
+        zones = [f"_{c}{j}" for c in "zl" for j in range(edits)]
+        index = finer_keys(held, parts, edits, False).select("key", F.col("id").alias("b"), *(F.col(z).alias(f"_b{z}") for z in zones))
+        probe = finer_keys(held, parts, edits, True).select("key", F.col("id").alias("a"), "_even", *zones)
+        once = ~F.col("_even") | (F.col("a") > F.col("b"))
+        free = [F.col(z).isNull() | (F.col(z) != F.col(f"_b{z}")) for z in zones[:edits]]
+        apart = reduce(lambda x, y: x + y, (letters_apart(z, f"_b{z}") for z in zones[edits:])) <= 2 * edits
+        fit = reduce(lambda x, y: x & y, [once, *free, apart])
+        met = cut_lineage(meetings(probe, index, fit, None if parts == FINER[-1] else CROWD))
+        found.append(met.filter("b IS NOT NULL"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
+    """(a, b): of ``lines`` (line, id), those that may be within ``edits`` by their segments and letters."""
+    return with_crowds(cut_lineage(first_meetings(lines, edits)), lines, edits)
 
 
 def cost_within_band(matches: str, final: str, lengths: str, edits: int) -> Column:
@@ -161,9 +244,10 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     """
     rows = line_rows(docs)
     lines = rows.filter(F.char_length("line") >= least_chars).select("line", "id")
-    pairs = cut_lineage(candidate_pairs(lines, edits))
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    met = cut_lineage(first_meetings(lines, edits))
+    ids = met.select(F.col("a").alias("id")).unionByName(met.filter("b IS NOT NULL").select(F.col("b").alias("id")))
     texts = cut_lineage(only_keys(rows.select("id", "line"), ids, ["id"]).groupBy("id").agg(F.min("line").alias("line")))
+    pairs = cut_lineage(with_crowds(met, texts, edits))
     return cut_lineage(verified(pairs, texts, edits)), rows.drop("line")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -192,3 +193,40 @@ def test_lines_with_a_common_third_are_not_paired(spark):
     ids = {r.line: r.id for r in distinct.collect()}
     want = {frozenset((ids[lines_[i]], ids[lines_[120 + i]])) for i in range(3)}
     assert {frozenset((r.a, r.b)) for r in lines.near_lines(df)[0].collect()} == want
+
+
+def _links(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r.line: r.id for r in lines.line_rows(df).select("line", "id").distinct().collect()}
+    held = list(ids)
+    want = {frozenset((ids[a], ids[b])) for n, a in enumerate(held) for b in held[:n] if abs(len(a) - len(b)) <= lines.EDITS and _distance(a, b) <= lines.EDITS}
+    return df, want, {frozenset((r.a, r.b)) for r in lines.near_lines(df)[0].collect()}
+
+
+def test_lines_of_a_crowd_meet_by_finer_keys(spark):
+    """Lines alike but for two words made of the same letters: few pairs are left, where each line met each other one."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.sample("etaonihr", 8))
+    texts = [f"here stands the same line again and {word()} so far {word()} to its end" for _ in range(100)]
+    texts += [texts[0].replace("again", "agan"), texts[1][:-1] + "!", texts[2][:30] + "x" + texts[2][30:50] + texts[2][51:]]
+    df, want, got = _links(spark, texts)
+    assert len(want) == 3 and got == want
+    assert lines.candidate_pairs(lines.line_rows(df).select("line", "id").distinct(), 2).count() < 1000
+
+
+@pytest.mark.parametrize("crowd", [1, 6])
+def test_crowds_lose_no_link(spark, monkeypatch, crowd):
+    """Moved, repeated and missing letters in lines of two letters, all of them in crowds, against all pairs."""
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    rng = random.Random(12)
+    base = ["".join(rng.choice("ab") for _ in range(n)) for n in (26, 27, 31)]
+
+    def edited(s):
+        s = list(s)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(s))
+            s[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "ba"])
+        return "".join(s)
+
+    _, want, got = _links(spark, [x for x in (edited(rng.choice(base)) for _ in range(150)) if len(x) >= lines.LEAST_CHARS])
+    assert len(want) > 300 and got == want
