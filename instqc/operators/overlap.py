@@ -41,7 +41,8 @@ def label_overlaps(voxels: DataFrame, levels: DataFrame) -> DataFrame:
     places with more rows are gathered in sorted sets (a position carries as
     many entries as labels overlap there).
     """
-    place = voxels.groupBy(*POSITION).agg(*_spread("label"))
+    # Nearly all positions differ: combined before the shuffle they would only fill the memory of a task and be spilled.
+    place = voxels.select(*POSITION, "label").repartition(*POSITION).groupBy(*POSITION).agg(*_spread("label"))
     meeting = cut_lineage(place.filter("label_min < label_max"))
     stacked = meeting.filter(_known("label")).select("case_id", _between("label").alias("labels"))
     crowded = meeting.filter(~_known("label")).select(*POSITION)

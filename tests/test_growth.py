@@ -147,3 +147,14 @@ def test_letters_of_a_line_are_counted_once(spark):
     assert text.count("replace(") <= 2 * len(lines.LETTERS) and text.count("xxhash64(") <= 4
     distinct = rows.distinct()
     assert lines.candidate_pairs(rows, 2).exceptAll(lines.candidate_pairs(distinct, 2)).count() == 0
+
+
+def test_positions_are_not_combined_before_their_shuffle(spark, monkeypatch):
+    """Positions are nearly unique, so that counting them on the map side would hold, sort and spill a scan's whole share."""
+    seen = []
+    monkeypatch.setattr(overlap, "cut_lineage", lambda df: seen.append(df) or df)
+    voxels = spark.createDataFrame([("a", 1, 1, 1, 20), ("a", 1, 1, 1, 21), ("a", 1, 1, 2, 20), ("b", 1, 1, 1, 20), ("b", 1, 1, 1, 20)], VOXELS)
+    levels = spark.createDataFrame([(20, "C1"), (21, "C2")], "label int, level_name string")
+    assert [tuple(r) for r in overlap.label_overlaps(voxels, levels).collect()] == [("a", 20, 21, "C1", "C2", 1)]
+    text = plan(seen[0])
+    assert text.count("Exchange") == 1 and text.index("partial_count") < text.index("Exchange")
