@@ -8,7 +8,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from instqc.llm.common import only_keys
+from instqc.llm.common import bounded, only_keys
 from instqc.session import cut_lineage
 
 #: Edits between near-equal lines.
@@ -117,7 +117,11 @@ def finer_keys(lines: DataFrame, parts: int, edits: int, probing: bool) -> DataF
 
 
 def meetings(probe: DataFrame, index: DataFrame, fit: Column, crowd: int | None) -> DataFrame:
-    """(a, b): pairs under one key for which ``fit`` holds; of a key with more than ``crowd`` lines only each line that probes it, without b."""
+    """(a, b): pairs under one key for which ``fit`` holds; of a key with more than ``crowd`` lines only each line that probes it, without b.
+
+    Never by broadcast: lines make up to thousands of keys each, which Spark's estimate of the size leaves out.
+    """
+    index = index.hint("merge")
     if crowd is None:
         met = probe.join(index, "key").filter((F.col("a") != F.col("b")) & fit)
     else:
@@ -224,7 +228,7 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """The pairs within ``edits`` by the banded bit-parallel distance, of those with enough pieces in common: (a, b)."""
     one = texts.select(F.col("id").alias("a"), F.col("line").alias("_one"))
     two = texts.select(F.col("id").alias("b"), F.col("line").alias("_two"))
-    rows = pairs.join(one, "a").join(two, "b")
+    rows = bounded(pairs).join(one, "a").join(two.hint("merge"), "b")
     longer = F.char_length("_one") >= F.char_length("_two")
     rows = rows.select("a", "b", F.when(longer, F.col("_one")).otherwise(F.col("_two")).alias("_l"), F.when(longer, F.col("_two")).otherwise(F.col("_one")).alias("_s"))
     rows = cut_lineage(rows.filter(F.char_length("_l") - F.char_length("_s") <= edits).filter(pieces_stand("_l", "_s", edits)))
@@ -264,11 +268,11 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     place = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_th", "pos")
     firsts = rows.groupBy("id").agg(F.min(place).alias("first"))
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    known = cut_lineage(only_keys(firsts, both, ["id"]))
+    known = bounded(cut_lineage(only_keys(firsts, both, ["id"])))
     reach = both.join(known, "id").join(known.select(F.col("id").alias("other"), F.col("first").alias("_before")), "other")
     reach = cut_lineage(reach.groupBy("id").agg(F.count("*").alias("links"), F.max(F.col("_before") < F.col("first")).alias("near")))
-    told = firsts.join(reach, "id", "left")
-    joined = rows.join(told, "id").withColumns({
+    told = firsts.join(bounded(reach), "id", "left")
+    joined = rows.join(told.hint("merge"), "id").withColumns({
         "copy": place != F.col("first"), "near": F.coalesce("near", F.lit(False)), "links": F.coalesce("links", F.lit(0)),
     })
     return joined.select("doc_id", "_th", "pos", (~F.col("copy") & ~F.col("near")).alias("kept"), "copy", "near", "links")
@@ -289,7 +293,7 @@ def line_report(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     )
     every = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
     every = every.groupBy("_id", "_t").agg(F.count("*").alias("_m"))
-    joined = every.join(told, every["_id"].eqNullSafe(told["doc_id"]) & (every["_t"] == told["_th"]), "left")
+    joined = every.join(told.hint("merge"), every["_id"].eqNullSafe(told["doc_id"]) & (every["_t"] == told["_th"]), "left")
     # Rows alike have added up their lines; each gets the numbers of one.
     one = lambda c: F.coalesce((F.col(c) / F.col("_m")).cast("long"), F.lit(0)).alias(c)
     numbers = joined.select(F.col("_id").alias("doc_id"), "_m", *map(one, ("n_lines", "n_kept", "n_copies", "n_near", "n_links")))

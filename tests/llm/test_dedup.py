@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from instqc.llm import exact_dedup, lines, near_dedup
+from instqc.llm import common, exact_dedup, lines, near_dedup
 from instqc.llm.components import components
 
 
@@ -230,3 +230,48 @@ def test_crowds_lose_no_link(spark, monkeypatch, crowd):
 
     _, want, got = _links(spark, [x for x in (edited(rng.choice(base)) for _ in range(150)) if len(x) >= lines.LEAST_CHARS])
     assert len(want) > 300 and got == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_lines_are_not_broadcast(spark, tmp_path):
+    """A small file of lines, as Spark sees it, makes very many keys; joined by broadcast they would all go through the driver."""
+    spark.range(500).selectExpr("concat('some line of ordinary words ', id) AS line", "id", "char_length(concat('some line of ordinary words ', id)) AS size").write.parquet(f"{tmp_path}/held")
+    held = spark.read.parquet(f"{tmp_path}/held")
+    index = lines.finer_keys(held, 6, 2, False).selectExpr("key", "id AS b")
+    probe = lines.finer_keys(held, 6, 2, True).selectExpr("key", "id AS a")
+    for crowd in (None, 32):
+        assert "BroadcastHashJoin" not in plan_of(lines.meetings(probe, index, probe["a"] > index["b"], crowd))
+    rows = held.select("line", "id")
+    assert "BroadcastHashJoin" not in plan_of(lines.first_meetings(rows, 2))
+
+
+def test_many_keys_are_not_broadcast(spark, monkeypatch):
+    """Beyond the bound keys go by shuffle, however small their file is; only rows with a marked hash are shuffled, and all rows that count come out."""
+    big = spark.range(20_000).selectExpr("id AS n", "CASE WHEN id % 7 = 0 THEN NULL ELSE id % 5000 END AS k", "cast(id % 3 AS string) AS j")
+    keys = spark.range(0, 4000, 4).selectExpr("id AS k", "cast(id % 3 AS string) AS j").unionByName(spark.range(40).selectExpr("id AS k", "'1' AS j"))
+    expected = big.join(keys, ["k", "j"], "left_semi").collect()
+    assert 0 < len(expected) < 4000
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 50)
+    got = common.only_keys(big, keys, ["k", "j"])
+    plan = plan_of(got)
+    assert got.columns == big.columns and sorted(map(tuple, got.collect())) == sorted((r["n"], r["k"], r["j"]) for r in expected)
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") == 1 and plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")
+    assert common.maybe_in(big, keys, ["k", "j"]).count() < 1.1 * len(expected)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5000)
+    assert "SortMergeJoin" not in plan_of(common.only_keys(big, keys, ["k", "j"]))
+
+
+def test_lines_beyond_the_bound(spark, monkeypatch):
+    """With every table beyond the bound, lines get what they get by broadcast."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("etaonihrs dlu") for _ in range(40)) for _ in range(30)]
+    texts = ["\n".join(line[:i] + "xy"[: (n + i) % 3] + line[i + 1 :] for i, line in enumerate(base)) for n in range(9)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)] + [(3, texts[4]), (None, texts[0]), (40, None)], "doc_id long, text string")
+    read = lambda: sorted(map(tuple, lines.line_report(docs).collect()), key=str)
+    expected = read()
+    assert sum(r[-1] for r in expected) > 0
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert read() == expected
