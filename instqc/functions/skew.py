@@ -22,11 +22,13 @@ def salted_join(
     columns and ``per_key`` is repeated once per sub-key, so a key holding a
     third of ``big`` is worked on by ``salts`` tasks, which adaptive skew
     handling may split further. Adaptive execution may also turn the join into
-    a broadcast when ``per_key`` proves small.
+    a broadcast when ``per_key`` proves small. The sub-keys come from a join, as
+    Spark's estimate of the size, by which it chooses a broadcast beforehand,
+    counts the rows that a join makes but not those of a generator.
     """
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", salt)
-    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = per_key.crossJoin(F.broadcast(per_key.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias("_salt"))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

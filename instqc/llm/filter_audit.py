@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from instqc.llm.common import WORD, attach
+from instqc.llm.common import WORD, attach, bounded
 from instqc.session import cut_lineage
 
 #: Filters whose orders are listed one by one; beyond, ask for shares only.
@@ -114,7 +114,7 @@ def document_failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     E: the text is identical to that of a smaller doc_id anywhere in the
     table. Equal texts are found by their SHA-256, reduced per task to the
     least id before the shuffle; only digests with more than one row are
-    joined back, salted unless few. A row without a doc_id has no smaller one
+    joined back, salted unless few. Labels go by shuffle too unless few. A row without a doc_id has no smaller one
     and does not fail E; nor does it have labels. Where ``labels`` has an id
     more than once, one row with quality 1 (toxic 1) is enough. Rows that
     repeat a doc_id count apart. The part is ``lang``.
@@ -127,5 +127,5 @@ def document_failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = attach(rows, groups, ["digest"], ["doc_id"], "left")
     flags = labels.filter("doc_id IS NOT NULL AND (quality = 1 OR toxic = 1)").groupBy("doc_id").agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
-    rows = rows.withColumn("mask", F.col("mask") + F.when(F.col("first") < F.col("doc_id"), F.lit(16)).otherwise(F.lit(0))).join(flags, "doc_id", "left")
+    rows = rows.withColumn("mask", F.col("mask") + F.when(F.col("first") < F.col("doc_id"), F.lit(16)).otherwise(F.lit(0))).join(bounded(cut_lineage(flags)), "doc_id", "left")
     return rows.select("part", "mask", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))

@@ -6,7 +6,7 @@ from math import factorial
 
 import pytest
 
-from instqc.llm import filter_audit
+from instqc.llm import common, filter_audit
 
 
 def test_ways():
@@ -67,3 +67,18 @@ def test_nothing(spark, empty):
     assert filter_audit.audit(filter_audit.document_failures(empty, labels), "ABCDE").collect() == []
     with pytest.raises(ValueError):
         filter_audit.audit(filter_audit.document_failures(empty, labels), "AAB")
+
+
+def test_many_labels_and_copies_are_not_broadcast(spark, monkeypatch):
+    """Beyond the bound neither the labels nor the digests of copies are joined by broadcast, and the rows stay the same."""
+    docs = spark.createDataFrame([(n, f"text {n % 30}", "en") for n in range(90)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(n, n % 2, int(n % 7 == 0)) for n in range(0, 90, 3)], "doc_id long, quality int, toxic int")
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+    few = filter_audit.document_failures(docs, labels)
+    assert joins(few) == 2
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 20)
+    # Labels that count: 20 of 30.
+    many = filter_audit.document_failures(docs, labels.unionByName(labels.selectExpr("doc_id + 1 AS doc_id", "1 AS quality", "0 AS toxic")))
+    assert joins(many) <= 1
+    many = filter_audit.document_failures(docs, labels.unionByName(labels.selectExpr("doc_id + 1000 AS doc_id", "1 AS quality", "0 AS toxic")))
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))

@@ -260,3 +260,15 @@ def test_relabelling_and_shift_invariance(spark):
     moved = voxels.select("case_id", (F.col("x") + 40).alias("x"), "y", "z", (F.col("label") + 5).alias("label"))
     sizes = lambda df, by: sorted((r["label"] - by, r["size"]) for r in components.components(df, (5, 5, 5)).collect())
     assert sizes(voxels, 0) == sizes(moved, 5)
+
+
+def test_salted_rows_are_not_broadcast(spark, tmp_path):
+    """One row per key in a small file is 64 rows per key after salting, which Spark must not think small."""
+    spark.range(100_000).selectExpr("id AS k", "id % 2 = 0 AS v").write.parquet(f"{tmp_path}/keys")
+    small = spark.read.parquet(f"{tmp_path}/keys")
+    big = spark.range(0, 6_000_000, 3).selectExpr("id AS k", "id AS n")
+    for how in ("inner", "left"):
+        joined = salted_join(big, small, ["k"], ["n"], how)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert joined.columns == ["k", "n", "v"] and joined.filter("v = (k % 2 = 0)").count() == 33_334
